@@ -252,7 +252,7 @@ def oracle_sql() -> dict[str, str]:
                                 recursive=True),
         "trace_fixpoint_sizes": _fix_sizes(),
         "trace_2_rounds": _with(TX, CARDS_CTE, *g_half, _depth(2),
-                                body=f"SELECT card FROM {_s(2)[1:-1]}", recursive=True),
+                                body="SELECT card FROM r WHERE d = 2", recursive=True),
         "trace_closed_fixpoint": _with(TX, CARDS_CTE, *g_closed_nb, FIX,
                                        body="SELECT card FROM f", recursive=True),
         "trace_edges_4": _with(TX, CARDS_CTE, *g_closed_nb, _depth(3), body=(

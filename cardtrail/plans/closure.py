@@ -163,7 +163,8 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
                 break
             if stop == "set":
                 if r == 1:
-                    inter = reached(1).join(seed_set, CARD, "left_semi").count()
+                    sd = seed_set.select(F.col(CARD).alias("__sd"))
+                    inter = reached(1).join(sd, F.col(CARD) == F.col("__sd"), "left_semi").count()
                     if n1 == n_seed_set and inter == n1:
                         break
                 elif sizes[r] == sizes[r - 1]:
@@ -171,8 +172,8 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
             # Round r+1.
             if method == "delta":
                 if r == 1:
-                    probe = reached(1).join(seed_set, reached(1)[CARD] == seed_set[CARD],
-                                            "left_anti")
+                    sd = seed_set.select(F.col(CARD).alias("__sd"))
+                    probe = reached(1).join(sd, F.col(CARD) == F.col("__sd"), "left_anti")
                     probe_rows = sizes[1]            # an upper bound of S1 - S0
                 else:
                     probe = (spark.read.schema(f"{CARD} string, {_ROUND} int")
@@ -180,9 +181,9 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
                     probe_rows = sizes[r] - sizes[r - 1]
             else:
                 probe, probe_rows = reached(r), sizes[r]
-            known = reached(r)
+            known = reached(r).select(F.col(CARD).alias("__known"))
             fresh = expand(adj, probe, probe_rows)
-            fresh = fresh.join(known, fresh[CARD].eqNullSafe(known[CARD]), "left_anti")
+            fresh = fresh.join(known, F.col(CARD).eqNullSafe(F.col("__known")), "left_anti")
             n_new = _write_counted(fresh, f"{frontier_path}/{_ROUND}={r + 1}")
             sizes.append(sizes[r] + n_new)
             r += 1
