@@ -66,20 +66,35 @@ def legs_extract(df: DataFrame, cards: DataFrame, legs: Sequence[str],
     return rep.join(keys, F.col(_LEG) == F.col(_KEY), "left_semi").select(*cols)
 
 
-def _listed(col: str, keys: DataFrame) -> Column:
-    return F.col(col).isin(keys)
+def _broadcastable(cards: DataFrame, known_rows: int | None) -> bool:
+    return known_rows is not None and known_rows <= broadcast_row_limit(cards.sparkSession)
 
 
 def touching(df: DataFrame, cards: DataFrame, cols: Sequence[str],
              known_rows: int | None = None) -> DataFrame:
     """Rows with any of ``cols`` listed, each row once (``c1 IN list OR c2 IN
-    list``). Planned as hash existence joins; no row id or dedup is needed, so
-    duplicate rows of the history stay duplicates."""
-    keys = card_keys(cards, known_rows)
-    cond = F.lit(False)
+    list``); no row id or dedup is needed, so duplicate history rows stay
+    duplicates.
+
+    A list of checked small size is broadcast and the test is a chain of hash
+    existence joins over one scan. Otherwise the rows are split into disjoint
+    legs: listed by ``c1``; else (anti join) listed by ``c2``; and so on. Those
+    are semi and anti joins, whose hot keys AQE can split across tasks (it
+    cannot split an existence join), so a hub account does not stall one task.
+    """
+    if _broadcastable(cards, known_rows):
+        keys = card_keys(cards, known_rows)
+        cond = F.lit(False)
+        for c in cols:
+            cond = cond | F.col(c).isin(keys)
+        return df.filter(cond)
+    out, rest = None, df
     for c in cols:
-        cond = cond | _listed(c, keys)
-    return df.filter(cond)
+        keys = card_keys(cards, None)
+        hit = rest.join(keys, F.col(c) == F.col(_KEY), "left_semi")
+        out = hit if out is None else out.unionAll(hit)
+        rest = rest.join(keys, F.col(c) == F.col(_KEY), "left_anti")
+    return out
 
 
 def consumption_of(df: DataFrame, cards: DataFrame, pri: str = PRI_COL,

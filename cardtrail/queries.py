@@ -335,3 +335,16 @@ QUERIES: dict[str, Query] = {
     "trace_rounds_consume": trace_rounds_consume,
     "trace_rounds_transfer": trace_rounds_transfer,
 }
+
+
+def trace_closed_fixpoint_full(spark, sf_dir):
+    """As ``trace_closed_fixpoint`` with the reference's full-frontier probe."""
+    r = closure.preset_edges(_view(spark, sf_dir), _cards(spark), BEGIN, END, max_rounds=None,
+                             method="full")
+    return r.result.cards()
+
+
+# Bench-only variants (same results as a registered query, another plan).
+BENCH_EXTRA: dict[str, Query] = {
+    "trace_closed_fixpoint_full": trace_closed_fixpoint_full,
+}

@@ -99,3 +99,17 @@ def test_row_text(spark):
 def test_cards_from_arg(spark):
     assert [r["card"] for r in cards_from_arg(spark, "a,b,a").collect()] == ["a", "b", "a"]
     assert cards_from_arg(spark, "").count() == 0
+
+
+def test_touching_both_plans_agree(spark):
+    rows = spark.createDataFrame([("p", "k", "k", "S33", "1", "1"),
+                                  ("p", "k", "k", "S33", "1", "1"),
+                                  ("p", None, "k", "S33", "1", "1"),
+                                  ("p", "j", None, "S33", "1", "1"),
+                                  ("p", "x", "y", "S33", "1", "1"),
+                                  ("p", None, None, "S33", "1", "1")], COLS)
+    cards = cards_from_list(spark, ["k", "j", "k"])
+    cols = ["tfr_in_acct_no", "tfr_out_acct_no"]
+    small = sorted(map(tuple, semi.touching(rows, cards, cols, known_rows=3).collect()), key=str)
+    big = sorted(map(tuple, semi.touching(rows, cards, cols, known_rows=None).collect()), key=str)
+    assert small == big and len(small) == 4
