@@ -131,11 +131,17 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
         raise ValueError(f"unknown method {method!r}")
     spark = rows.sparkSession
     base = scratch_path(spark, "trace")
-    seed_list = seeds.select(F.col(CARD).cast("string").alias(CARD))
     seed_path = f"{base}/seeds"
-    n_list = _write_counted(seed_list, f"{seed_path}-list")
-    n_seed_set = _write_counted(spark.read.parquet(f"{seed_path}-list").distinct(), seed_path)
-    seed_set = spark.read.parquet(seed_path)
+    # One job writes the distinct seeds; the list length (duplicates count)
+    # and the set size are both observed on the written rows.
+    seen = Observation()
+    seed_set_rows = (seeds.groupBy(F.col(CARD).cast("string").alias(CARD))
+                     .agg(F.count(F.lit(1)).alias("m"))
+                     .observe(seen, F.count(F.lit(1)).alias("n"),
+                              F.coalesce(F.sum("m"), F.lit(0)).alias("listed")))
+    seed_set_rows.write.mode("overwrite").parquet(seed_path)
+    n_seed_set, n_list = int(seen.get["n"]), int(seen.get["listed"])
+    seed_set = spark.read.parquet(seed_path).select(CARD)
     frontier_path = f"{base}/frontier"
     sizes = [n_list]
     result = TraceResult(spark, base, 0, sizes, seed_set, n_seed_set, frontier_path)
