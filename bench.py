@@ -28,6 +28,8 @@ HEADLINE = [
     "trace_closed_fixpoint_full",
     "trace_consume_5",
     "trace_rounds_transfer",
+    "trace_history_fixpoint",
+    "trace_history_transfers",
     "card_digest",
 ]
 

@@ -116,9 +116,10 @@ def _bfs_first_rounds() -> list[str]:
     ]
 
 
-def _fix_sizes() -> str:
+def _fix_sizes(graph: list[str] | None = None) -> str:
+    graph = graph or _graph(HALF + f" AND {SUCCESS}", OUT, IN, True)
     return _with(
-        TX, CARDS_CTE, *_graph(HALF + f" AND {SUCCESS}", OUT, IN, True), *_bfs_first_rounds(),
+        TX, CARDS_CTE, *graph, *_bfs_first_rounds(),
         "rounds AS (SELECT CAST(range AS INTEGER) AS round FROM "
         "range(1, (SELECT max(round) FROM fr) + 2))",
         "sz AS (SELECT 0 AS round, (SELECT count(*) FROM cards) AS n_cards UNION ALL "
@@ -273,6 +274,18 @@ def oracle_sql() -> dict[str, str]:
                                       body="SELECT card, CAST(min(d) AS INTEGER) AS round FROM r "
                                            "WHERE d <= (SELECT last FROM stop) GROUP BY card",
                                       recursive=True),
+        "trace_history_fixpoint": _with(TX, CARDS_CTE, *_graph("TRUE", IN, OUT, True), FIX,
+                                        body="SELECT card FROM f", recursive=True),
+        "trace_history_sizes": _fix_sizes(_graph("TRUE", IN, OUT, True)),
+        "trace_history_transfers": _with(TX, CARDS_CTE, *_graph("TRUE", OUT, IN, False), _depth(4),
+                                         body=(f"SELECT * FROM ({_traced('TRUE')}) t "
+                                               f"WHERE {OUT} IN {_s(4)} OR {IN} IN {_s(4)}"),
+                                         recursive=True),
+        "pair_amount_round0_set": _with(TX, CARDS_CTE, body=(
+            f"SELECT {IN}, {OUT}, CAST(SUM(TRY_CAST(trans_at AS BIGINT)) AS BIGINT) AS amount "
+            f"FROM tx WHERE {CLOSED} AND trans_id = 'S33' AND ({IN} IN (SELECT card FROM cards) "
+            f"OR {OUT} IN (SELECT card FROM cards) OR {PRI} IN (SELECT card FROM cards)) "
+            f"GROUP BY {IN}, {OUT}")),
         "trace_rounds_consume": _every_round("pri"),
         "trace_rounds_transfer": _every_round("touch"),
     }

@@ -15,11 +15,13 @@ Semantics (those of the traced jobs, each with a test):
 
 Plan, built for a history far larger than any frontier:
 
-* The rows are reduced once to a distinct edge list and then to a symmetric
-  adjacency ``(a, b)`` (each edge in both directions, null ``a`` dropped),
-  written to the shared checkpoint folder and cached. A round is one semi
-  join of the adjacency with a probe set and one aggregation: the new set is
-  ``distinct(a, b)`` of the matched adjacency rows.
+* The rows are reduced once to a symmetric adjacency ``(a, b)`` (each edge in
+  both directions, distinct, null ``a`` dropped), written to the shared
+  checkpoint folder and cached. A round is one semi join of the adjacency
+  with a probe set, then the endpoints ``a, b`` of the matched rows minus the
+  cards already reached: a broadcast anti join while those are few (size
+  known from the previous round), else one aggregation of tagged endpoints
+  and known cards sharing a single shuffle.
 * ``method="delta"`` (default) probes only the cards first reached in the
   previous round: ``S(i+1) = S(i) + N(S(i) - S(i-1))`` holds for every
   ``i >= 1`` because ``S(i) ⊆ N(S(i))`` and ``N(S(i) ∩ S(i-1)) ⊆ S(i)``.
@@ -61,19 +63,47 @@ def _write_counted(df: DataFrame, path: str) -> int:
 
 
 def adjacency(rows: DataFrame, src: str, dest: str) -> DataFrame:
-    """Distinct edges in both directions; an edge with a null end keeps only the
-    direction whose ``a`` is not null (null never matches a card)."""
-    edges = rows.select(F.col(src).alias(_A), F.col(dest).alias(_B)).distinct()
-    back = edges.select(F.col(_B).alias(_A), F.col(_A).alias(_B))
-    return edges.filter(F.col(_A).isNotNull()).unionAll(back.filter(F.col(_A).isNotNull()))
+    """Distinct ``(a, b)`` pairs over both directions of every edge, null ``a``
+    dropped (null never matches a card). One scan and one aggregation, with a
+    map-side partial step that collapses repeated transfers of a pair before
+    the shuffle."""
+    both = F.explode(F.array(
+        F.struct(F.col(src).alias(_A), F.col(dest).alias(_B)),
+        F.struct(F.col(dest).alias(_A), F.col(src).alias(_B)))).alias("__e")
+    return (rows.select(both).select(F.col(f"__e.{_A}").alias(_A), F.col(f"__e.{_B}").alias(_B))
+            .filter(F.col(_A).isNotNull()).distinct())
+
+
+def endpoints(adj: DataFrame, probe: DataFrame, probe_rows: int | None) -> DataFrame:
+    """Endpoints (with repeats) of the adjacency rows whose ``a`` is in ``probe``."""
+    keys = semi.card_keys(probe.filter(F.col(CARD).isNotNull()), probe_rows)
+    hit = adj.join(keys, F.col(_A) == F.col("__ct_card"), "left_semi")
+    return hit.select(F.explode(F.array(F.col(_A), F.col(_B))).alias(CARD))
 
 
 def expand(adj: DataFrame, probe: DataFrame, probe_rows: int | None) -> DataFrame:
     """``N(probe)``: distinct endpoints of the adjacency rows whose ``a`` is in
     ``probe``."""
-    keys = semi.card_keys(probe.filter(F.col(CARD).isNotNull()), probe_rows)
-    hit = adj.join(keys, F.col(_A) == F.col("__ct_card"), "left_semi")
-    return hit.select(F.explode(F.array(F.col(_A), F.col(_B))).alias(CARD)).distinct()
+    return endpoints(adj, probe, probe_rows).distinct()
+
+
+def new_cards(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
+              known: DataFrame, known_rows: int) -> DataFrame:
+    """``N(probe) - known``, null-safe (a null end already known stays known).
+
+    A known set of checked small size is broadcast to a null-safe anti join
+    after the distinct. Beyond the bound, one aggregation does both: endpoints
+    tagged 1 and known cards tagged 0 share one shuffle, and a card is new when
+    its smallest tag is 1 (grouping treats null as a key).
+    """
+    if known_rows <= broadcast_row_limit(adj.sparkSession):
+        k = F.broadcast(known.select(F.col(CARD).alias("__known")))
+        return expand(adj, probe, probe_rows).join(
+            k, F.col(CARD).eqNullSafe(F.col("__known")), "left_anti")
+    tagged = (endpoints(adj, probe, probe_rows).select(CARD, F.lit(1).alias("__t"))
+              .unionAll(known.select(CARD, F.lit(0).alias("__t"))))
+    return (tagged.groupBy(CARD).agg(F.min("__t").alias("__t"))
+            .filter(F.col("__t") == 1).select(CARD))
 
 
 @dataclass
@@ -152,9 +182,14 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
     adjacency(rows, src, dest).write.parquet(adj_path)
     adj = spark.read.parquet(adj_path).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def reached(upto: int) -> DataFrame:
-        return (spark.read.schema(f"{CARD} string, {_ROUND} int").parquet(frontier_path)
-                .filter(F.col(_ROUND) <= upto).select(CARD))
+    def frontier() -> DataFrame:
+        # One listing of the frontier folder per round; probe and known sets
+        # are partition-pruned views of it.
+        return spark.read.schema(f"{CARD} string, {_ROUND} int").parquet(frontier_path)
+
+    def reached(upto: int, fr: DataFrame | None = None) -> DataFrame:
+        fr = frontier() if fr is None else fr
+        return fr.filter(F.col(_ROUND) <= upto).select(CARD)
 
     try:
         # Round 1 probes the seeds.
@@ -176,20 +211,18 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
                 elif sizes[r] == sizes[r - 1]:
                     break
             # Round r+1.
+            fr = frontier()
             if method == "delta":
                 if r == 1:
                     sd = seed_set.select(F.col(CARD).alias("__sd"))
-                    probe = reached(1).join(sd, F.col(CARD) == F.col("__sd"), "left_anti")
+                    probe = reached(1, fr).join(sd, F.col(CARD) == F.col("__sd"), "left_anti")
                     probe_rows = sizes[1]            # an upper bound of S1 - S0
                 else:
-                    probe = (spark.read.schema(f"{CARD} string, {_ROUND} int")
-                             .parquet(frontier_path).filter(F.col(_ROUND) == r).select(CARD))
+                    probe = fr.filter(F.col(_ROUND) == r).select(CARD)
                     probe_rows = sizes[r] - sizes[r - 1]
             else:
-                probe, probe_rows = reached(r), sizes[r]
-            known = reached(r).select(F.col(CARD).alias("__known"))
-            fresh = expand(adj, probe, probe_rows)
-            fresh = fresh.join(known, F.col(CARD).eqNullSafe(F.col("__known")), "left_anti")
+                probe, probe_rows = reached(r, fr), sizes[r]
+            fresh = new_cards(adj, probe, probe_rows, reached(r, fr), sizes[r])
             n_new = _write_counted(fresh, f"{frontier_path}/{_ROUND}={r + 1}")
             sizes.append(sizes[r] + n_new)
             r += 1
@@ -265,13 +298,13 @@ def edge_rows(history: DataFrame, src: str, dest: str, window: Column,
 def preset_fixpoint(history, seeds, begin, end, src=OUT_COL, dest=IN_COL, **kw) -> TraceResult:
     """Half-open window, successful transactions, blank ends dropped, until the
     count stops changing."""
-    rows = edge_rows(history, src, dest, P.date_half_open(begin, end), P.successful())
+    rows = edge_rows(history, src, dest, P.date_window(begin, end, False), P.successful())
     return trace(rows, seeds, src, dest, max_rounds=None, **kw)
 
 
 def preset_two_rounds(history, seeds, begin, end, src=IN_COL, dest=OUT_COL, **kw) -> TraceResult:
     """Half-open window, blank ends dropped, at most 2 rounds."""
-    rows = edge_rows(history, src, dest, P.date_half_open(begin, end))
+    rows = edge_rows(history, src, dest, P.date_window(begin, end, False))
     return trace(rows, seeds, src, dest, max_rounds=2, **kw)
 
 
@@ -285,7 +318,7 @@ def preset_edges(history, seeds, begin, end, src=IN_COL, dest=OUT_COL,
                  max_rounds: int | None = 4, **kw) -> EdgeTrace:
     """Closed window, blank ends dropped, at most 4 rounds; keeps the last
     round's touched edges."""
-    rows = edge_rows(history, src, dest, P.date_closed(begin, end))
+    rows = edge_rows(history, src, dest, P.date_window(begin, end, True))
     res = trace(rows, seeds, src, dest, max_rounds=max_rounds, **kw)
     edges = touching_rows(rows, res, [src, dest]).select(src, dest).distinct()
     return EdgeTrace(res, edges)
@@ -298,18 +331,24 @@ class RowTrace:
     transfers: DataFrame
 
 
-def traced_rows(history, begin, end, src=OUT_COL, dest=IN_COL) -> DataFrame:
-    """Closed window, the 10 traced columns, src/dest trimmed; no blank filter."""
-    return (history.filter(P.date_closed(begin, end))
+def traced_rows(history, begin, end, src=OUT_COL, dest=IN_COL,
+                drop_blank: bool = False) -> DataFrame:
+    """Closed window (either bound may be None), the 10 traced columns, src/dest
+    trimmed. Blank ends are kept unless ``drop_blank`` (the jobs keep them, so a
+    blank end spreads to every blank-ended row)."""
+    cond = P.date_window(begin, end, True)
+    if drop_blank:
+        cond = cond & P.nonblank(src, dest)
+    return (history.filter(cond)
             .select(*TRACED_COLUMNS, F.trim(F.col(src)).alias(src),
                     F.trim(F.col(dest)).alias(dest)))
 
 
 def preset_all_rows(history, seeds, begin, end, src=OUT_COL, dest=IN_COL,
-                    max_rounds: int | None = 5, **kw) -> RowTrace:
+                    max_rounds: int | None = 5, drop_blank: bool = False, **kw) -> RowTrace:
     """All rows of the window (blank ends spread), at most 5 rounds; keeps the
     last round's consumption of the cards and its touching rows."""
-    rows = traced_rows(history, begin, end, src, dest)
+    rows = traced_rows(history, begin, end, src, dest, drop_blank)
     res = trace(rows, seeds, src, dest, max_rounds=max_rounds, **kw)
     consumption = pri_rows(rows.filter(P.is_consumption()), res)
     transfers = touching_rows(rows, res, [src, dest])
@@ -317,15 +356,15 @@ def preset_all_rows(history, seeds, begin, end, src=OUT_COL, dest=IN_COL,
 
 
 def preset_every_round(history, seeds, begin, end, src=OUT_COL, dest=IN_COL,
-                       max_rounds: int | None = 4, **kw) -> RowTrace:
+                       max_rounds: int | None = 4, drop_blank: bool = False, **kw) -> RowTrace:
     """As ``preset_all_rows`` with at most 4 rounds, keeping every round: all
     transactions of the cards and the touching rows, with a ``round`` column."""
-    rows = traced_rows(history, begin, end, src, dest)
+    rows = traced_rows(history, begin, end, src, dest, drop_blank)
     res = trace(rows, seeds, src, dest, max_rounds=max_rounds, **kw)
     return RowTrace(res, rows_per_round(rows, res, [PRI_COL]),
                     rows_per_round(rows, res, [src, dest]))
 
 
 __all__ = ["trace", "TraceResult", "adjacency", "expand", "touching_rows", "pri_rows",
-           "rows_per_round", "preset_fixpoint", "preset_two_rounds", "preset_edges",
+           "rows_per_round", "new_cards", "endpoints", "preset_fixpoint", "preset_two_rounds", "preset_edges",
            "preset_all_rows", "preset_every_round"]

@@ -48,9 +48,20 @@ class TwoRounds:
 
 
 def run(history: DataFrame, cards: DataFrame, known_rows: int | None = None,
-        method: str = "explode", materialize: bool = False) -> TwoRounds:
-    """``history`` is already restricted to the window."""
-    extract = round0_extract(history, cards, known_rows, method)
+        method: str = "explode", materialize: bool = False,
+        semantics: str = "bag") -> TwoRounds:
+    """``history`` is already restricted to the window.
+
+    ``semantics="bag"`` (the jobs' behaviour) sums amounts over the bags, so a
+    transfer between two listed cards counts once per matching leg;
+    ``"set"`` counts each matched row once (the legs become one ``OR`` test).
+    """
+    if semantics not in ("bag", "set"):
+        raise ValueError(f"unknown semantics {semantics!r}")
+    if semantics == "set":
+        extract = semi.touching(history, cards, [IN_COL, OUT_COL, PRI_COL], known_rows)
+    else:
+        extract = round0_extract(history, cards, known_rows, method)
     if materialize:
         path = scratch_path(history.sparkSession, "round0")
         extract.write.parquet(path)
@@ -60,7 +71,11 @@ def run(history: DataFrame, cards: DataFrame, known_rows: int | None = None,
     cards0 = sets.endpoint_set(transfers0, [IN_COL, OUT_COL])
     # The size of cards0 is not known here: AQE picks broadcast or shuffle
     # from the measured size of its aggregation.
-    rows1 = round1_rows(history, cards0, None, method)
+    if semantics == "set":
+        transfers = history.filter(P.is_transfer()).select(IN_COL, OUT_COL, AMOUNT_COL)
+        rows1 = semi.touching(transfers, cards0, [IN_COL, OUT_COL], None)
+    else:
+        rows1 = round1_rows(history, cards0, None, method)
     pairs1 = summary.pair_amount(rows1)
     cards1 = sets.endpoint_set(rows1, [IN_COL, OUT_COL])
     return TwoRounds(extract, pairs0, cards0, rows1, pairs1, cards1,

@@ -288,6 +288,31 @@ def frontier_first_round(spark, sf_dir):
     return closure.preset_all_rows(_view(spark, sf_dir), _cards(spark), BEGIN, END).result.frontier
 
 
+def trace_history_fixpoint(spark, sf_dir):
+    """The whole history, blank ends dropped, to the fixed point."""
+    r = closure.preset_edges(transaction_view(spark, sf_dir), _cards(spark), None, None,
+                             max_rounds=None)
+    return r.result.cards()
+
+
+def trace_history_sizes(spark, sf_dir):
+    r = closure.preset_edges(transaction_view(spark, sf_dir), _cards(spark), None, None,
+                             max_rounds=None)
+    return r.result.sizes_df()
+
+
+def trace_history_transfers(spark, sf_dir):
+    """The whole history, blank ends kept, 5 rounds: the last round's touching rows."""
+    return closure.preset_all_rows(transaction_view(spark, sf_dir), _cards(spark),
+                                   None, None).transfers
+
+
+def pair_amount_round0_set(spark, sf_dir):
+    """Round-0 pair amounts with each matched row counted once."""
+    return two_round.run(_closed(spark, sf_dir), _cards(spark), len(CARDS),
+                         semantics="set").round0_pairs
+
+
 QUERIES: dict[str, Query] = {
     "scan_project": scan_project,
     "scan_transfers": scan_transfers,
@@ -334,6 +359,10 @@ QUERIES: dict[str, Query] = {
     "frontier_first_round": frontier_first_round,
     "trace_rounds_consume": trace_rounds_consume,
     "trace_rounds_transfer": trace_rounds_transfer,
+    "trace_history_fixpoint": trace_history_fixpoint,
+    "trace_history_sizes": trace_history_sizes,
+    "trace_history_transfers": trace_history_transfers,
+    "pair_amount_round0_set": pair_amount_round0_set,
 }
 
 

@@ -149,3 +149,22 @@ def test_frontier_first_rounds(spark):
     assert [tuple(r) for r in res.sizes_df().orderBy("round").collect()] == \
         [(0, 1), (1, 2), (2, 3), (3, 4), (4, 4)]
     assert res.frontier.filter(F.col("card").isNull()).count() == 0
+
+
+def test_large_known_set_plan_agrees(spark):
+    """Forcing every size over the broadcast bound takes the shuffle plans."""
+    edges = [("a", "b"), ("b", None), ("c", ""), ("", "d"), ("b", "c"), ("e", "f")]
+    small, got_small = _run(spark, edges, ["a"])
+    spark.conf.set("cardtrail.broadcast.maxRows", "0")
+    try:
+        big, got_big = _run(spark, edges, ["a"])
+        rows = spark.createDataFrame(edges, SCHEMA)
+        per_big = sorted(map(str, closure.rows_per_round(rows, big, ["s", "d"]).collect()))
+        touch_big = closure.touching_rows(rows, big, ["s", "d"]).count()
+    finally:
+        spark.conf.unset("cardtrail.broadcast.maxRows")
+    per_small = sorted(map(str, closure.rows_per_round(rows, small, ["s", "d"]).collect()))
+    assert got_small == got_big == {"a", "b", "c", "d", "", None}
+    assert small.sizes == big.sizes
+    assert per_small == per_big
+    assert touch_big == closure.touching_rows(rows, small, ["s", "d"]).count()
