@@ -55,7 +55,9 @@ def anti_search(spark: SparkSession, args: SearchArgs, fmt: str = "table",
 def two_rounds_job(spark: SparkSession, history: DataFrame, cards: DataFrame, begin: str,
                    end: str, out_dir: str) -> int:
     """Round 0 and round 1 into tables; returns the number of suspect cards."""
-    t = two_round.run(history.filter(P.date_closed(begin, end)), cards, materialize=True)
+    # Counting the list (a small input) gives its broadcast a proven size.
+    t = two_round.run(history.filter(P.date_closed(begin, end)), cards, cards.count(),
+                      materialize=True)
     sinks.write_table(t.extract, f"{out_dir}/extract")
     sinks.write_delimited(t.round0_pairs, f"{out_dir}/pairs_round0")
     sinks.write_table(t.round0_cards, f"{out_dir}/cards_round0")
@@ -69,8 +71,8 @@ def two_rounds_job(spark: SparkSession, history: DataFrame, cards: DataFrame, be
 def extract_job(history: DataFrame, cards: DataFrame, begin: str, end: str,
                 out: str) -> None:
     """The three-leg extract of a window into a table."""
-    sinks.write_table(two_round.round0_extract(history.filter(P.date_closed(begin, end)), cards),
-                      out)
+    sinks.write_table(two_round.round0_extract(history.filter(P.date_closed(begin, end)), cards,
+                                               cards.count()), out)
 
 
 def transfer_cards(extract: DataFrame) -> DataFrame:

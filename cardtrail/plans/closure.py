@@ -49,19 +49,12 @@ from ..constants import CARD, IN_COL, OUT_COL, PRI_COL, TRACED_COLUMNS
 from ..functions import predicates as P
 from ..operators import semi
 from ..session import broadcast_row_limit, scratch_path
+from ..sinks import write_counted
 
 _A, _B = "a", "b"
 _ROUND = "round"
 
 
-def _write_counted(df: DataFrame, path: str) -> int:
-    """Write ``df`` as Parquet and return its row count from an observed metric
-    (one job, no second scan)."""
-    obs = Observation()
-    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    return int(obs.get["n"])
-
-
 def adjacency(rows: DataFrame, src: str, dest: str) -> DataFrame:
     """Distinct ``(a, b)`` pairs over both directions of every edge, null ``a``
     dropped (null never matches a card). One scan and one aggregation, with a
@@ -194,7 +187,7 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
     try:
         # Round 1 probes the seeds.
         s1 = expand(adj, seed_set, n_seed_set)
-        n1 = _write_counted(s1, f"{frontier_path}/{_ROUND}=1")
+        n1 = write_counted(s1, f"{frontier_path}/{_ROUND}=1")
         sizes.append(n1)
         r = 1
         while True:
@@ -223,7 +216,7 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
             else:
                 probe, probe_rows = reached(r, fr), sizes[r]
             fresh = new_cards(adj, probe, probe_rows, reached(r, fr), sizes[r])
-            n_new = _write_counted(fresh, f"{frontier_path}/{_ROUND}={r + 1}")
+            n_new = write_counted(fresh, f"{frontier_path}/{_ROUND}={r + 1}")
             sizes.append(sizes[r] + n_new)
             r += 1
     finally:

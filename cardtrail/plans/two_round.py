@@ -6,21 +6,21 @@ listed (a bag: a row matching k legs appears k times); transfer amounts by
 the window with either end among those cards (a two-leg bag), their pair
 amounts, their distinct cards and the number of them.
 
-All steps are lazy DataFrames; ``materialize`` writes the round-0 extract to
-the shared checkpoint folder once (the reference keeps it as a table), so its
-three consumers do not rescan the history.
+The round-0 cards are written to the shared checkpoint folder (one small
+job) so that round 1 knows their exact number; everything else is lazy.
+``materialize`` also writes the round-0 extract once, so its consumers do not
+rescan the history.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 
 from ..constants import AMOUNT_COL, IN_COL, OUT_COL, PRI_COL
 from ..functions import predicates as P
 from ..operators import semi, sets, summary
 from ..session import scratch_path
+from ..sinks import write_counted
 
 
 def round0_extract(history: DataFrame, cards: DataFrame, known_rows: int | None = None,
@@ -36,15 +36,52 @@ def round1_rows(history: DataFrame, cards: DataFrame, known_rows: int | None = N
     return semi.legs_extract(transfers, cards, [IN_COL, OUT_COL], known_rows, method)
 
 
-@dataclass
 class TwoRounds:
-    extract: DataFrame        # round-0 rows, all columns, a bag
-    round0_pairs: DataFrame   # tfr_in_acct_no, tfr_out_acct_no, amount
-    round0_cards: DataFrame   # card
-    round1_rows: DataFrame    # tfr_in_acct_no, tfr_out_acct_no, trans_at
-    round1_pairs: DataFrame   # tfr_in_acct_no, tfr_out_acct_no, amount
-    round1_cards: DataFrame   # card
-    suspect_count: DataFrame  # n_cards
+    """Outputs of the two rounds. Round-0 frames are lazy; the round-0 cards are
+    written (and counted) on first use of a round-1 output."""
+
+    def __init__(self, history: DataFrame, extract: DataFrame, method: str, semantics: str):
+        self.history = history
+        self.extract = extract                     # round-0 rows, all columns
+        self.method = method
+        self.semantics = semantics
+        transfers0 = extract.filter(P.is_transfer())
+        self.round0_pairs = summary.pair_amount(transfers0)   # in, out, amount
+        self.round0_cards = sets.endpoint_set(transfers0, [IN_COL, OUT_COL])  # card
+        self._round1 = None
+
+    def _handover(self) -> DataFrame:
+        # The round-0 cards are handed over as a table (written once, counted
+        # while written), so round 1 joins them with a proven size: broadcast
+        # under the bound, without shuffling the window's transfers first.
+        if self._round1 is None:
+            spark = self.history.sparkSession
+            path = scratch_path(spark, "cards0")
+            n0 = write_counted(self.round0_cards, path)
+            cards0 = spark.read.parquet(path)
+            if self.semantics == "set":
+                transfers = (self.history.filter(P.is_transfer())
+                             .select(IN_COL, OUT_COL, AMOUNT_COL))
+                self._round1 = semi.touching(transfers, cards0, [IN_COL, OUT_COL], n0)
+            else:
+                self._round1 = round1_rows(self.history, cards0, n0, self.method)
+        return self._round1
+
+    @property
+    def round1_rows(self) -> DataFrame:     # in, out, trans_at (a bag)
+        return self._handover()
+
+    @property
+    def round1_pairs(self) -> DataFrame:    # in, out, amount
+        return summary.pair_amount(self._handover())
+
+    @property
+    def round1_cards(self) -> DataFrame:    # card
+        return sets.endpoint_set(self._handover(), [IN_COL, OUT_COL])
+
+    @property
+    def suspect_count(self) -> DataFrame:   # n_cards
+        return summary.distinct_count(self.round1_cards)
 
 
 def run(history: DataFrame, cards: DataFrame, known_rows: int | None = None,
@@ -66,17 +103,4 @@ def run(history: DataFrame, cards: DataFrame, known_rows: int | None = None,
         path = scratch_path(history.sparkSession, "round0")
         extract.write.parquet(path)
         extract = history.sparkSession.read.parquet(path)
-    transfers0 = extract.filter(P.is_transfer())
-    pairs0 = summary.pair_amount(transfers0)
-    cards0 = sets.endpoint_set(transfers0, [IN_COL, OUT_COL])
-    # The size of cards0 is not known here: AQE picks broadcast or shuffle
-    # from the measured size of its aggregation.
-    if semantics == "set":
-        transfers = history.filter(P.is_transfer()).select(IN_COL, OUT_COL, AMOUNT_COL)
-        rows1 = semi.touching(transfers, cards0, [IN_COL, OUT_COL], None)
-    else:
-        rows1 = round1_rows(history, cards0, None, method)
-    pairs1 = summary.pair_amount(rows1)
-    cards1 = sets.endpoint_set(rows1, [IN_COL, OUT_COL])
-    return TwoRounds(extract, pairs0, cards0, rows1, pairs1, cards1,
-                     summary.distinct_count(cards1))
+    return TwoRounds(history, extract, method, semantics)

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from .functions.text import row_text
 
 
+def write_counted(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Write ``df`` as Parquet and return its row count, observed during the
+    write (one job, no second scan)."""
+    obs = Observation()
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
+    return int(obs.get["n"])
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> None:
     """``INSERT OVERWRITE``-style write of a whole result."""
