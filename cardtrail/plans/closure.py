@@ -133,14 +133,16 @@ class TraceResult:
                                           f"{_ROUND} int, n_cards long")
 
     def lookup(self) -> DataFrame:
-        """``(card, first_round, is_seed)`` for every non-null seed or reached card."""
-        fr = self.frontier.filter(F.col(CARD).isNotNull())
-        sd = self.seeds.filter(F.col(CARD).isNotNull()).select(
-            F.col(CARD).alias("__sd"), F.lit(True).alias("is_seed"))
-        j = fr.join(sd, fr[CARD] == sd["__sd"], "full_outer")
-        return j.select(F.coalesce(F.col(CARD), F.col("__sd")).alias(CARD),
-                        F.col(_ROUND).alias("first_round"),
-                        F.coalesce(F.col("is_seed"), F.lit(False)).alias("is_seed"))
+        """``(card, first_round, is_seed)`` for every non-null seed or reached
+        card: one aggregation over the union of both (one shuffle, bounded by
+        the frontier and the seed list)."""
+        fr = self.frontier.select(CARD, F.col(_ROUND).alias("first_round"),
+                                  F.lit(False).alias("is_seed"))
+        sd = self.seeds.select(CARD, F.lit(None).cast("int").alias("first_round"),
+                               F.lit(True).alias("is_seed"))
+        return (fr.unionAll(sd).filter(F.col(CARD).isNotNull()).groupBy(CARD)
+                .agg(F.min("first_round").alias("first_round"),
+                     F.max("is_seed").alias("is_seed")))
 
 
 def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
