@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from ..constants import CARD, IN_COL, OUT_COL, PRI_COL, TRACED_COLUMNS
 from ..functions import predicates as P
 from ..operators import semi
-from ..session import broadcast_row_limit, scratch_path
+from ..session import broadcast_row_limit, delete_path, scratch_path
 from ..sinks import write_counted
 
 _A, _B = "a", "b"
@@ -117,6 +117,11 @@ class TraceResult:
         return (self.spark.read.schema(f"{CARD} string, {_ROUND} int")
                 .parquet(self.frontier_path).select(CARD, _ROUND))
 
+    def cleanup(self) -> None:
+        """Delete this trace's folder (frontier and seeds) once its outputs are
+        written; frames from this result cannot be read afterwards."""
+        delete_path(self.spark, self.path)
+
     def known_rows(self, r: int) -> int:
         return self.seed_set_size if r == 0 else self.sizes[r]
 
@@ -222,7 +227,10 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
             sizes.append(sizes[r] + n_new)
             r += 1
     finally:
+        # The adjacency can be as large as the window's transfers; nothing
+        # reads it after the loop.
         adj.unpersist()
+        delete_path(spark, adj_path)
     result.rounds = r
     return result
 

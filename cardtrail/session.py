@@ -89,6 +89,15 @@ def broadcast_row_limit(spark: SparkSession, row_bytes: int = 64) -> int:
     return max(thr // row_bytes, 0) if thr > 0 else 0
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Recursively delete a folder of the shared file system (through Hadoop's
+    FileSystem, so HDFS/S3/local alike)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(p, True))
+
+
 def local_scratch() -> str:
     """A fresh local folder, for tests only."""
     return tempfile.mkdtemp(prefix="cardtrail-", dir=os.environ.get("TMPDIR", "/tmp"))
