@@ -175,7 +175,7 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
     frontier_path = f"{base}/frontier"
     sizes = [n_list]
     result = TraceResult(spark, base, 0, sizes, seed_set, n_seed_set, frontier_path)
-    if n_list == 0:
+    if n_list == 0 or (max_rounds is not None and max_rounds <= 0):
         return result
 
     adj_path = f"{base}/adjacency"

@@ -76,6 +76,11 @@ def test_empty_seed_list(spark):
     assert closure.rows_per_round(rows, res, ["s", "d"]).count() == 0
 
 
+def test_zero_rounds(spark):
+    res, got = _run(spark, [("a", "b")], ["a", "z"], max_rounds=0)
+    assert res.rounds == 0 and res.sizes == [2] and got == {"a", "z"}
+
+
 def test_max_rounds(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")]
     res, got = _run(spark, edges, ["a"], max_rounds=2)
