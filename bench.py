@@ -21,6 +21,7 @@ HEADLINE = [
     "three_leg_extract",
     "three_leg_extract_union",
     "touching_cards",
+    "touching_segment_cards",
     "suspect_card_count",
     "edge_list",
     "trace_fixpoint",

@@ -12,7 +12,7 @@ unbounded traces come from a breadth-first search keyed by card.
 from __future__ import annotations
 
 from .functions.digest import pads_hex
-from .queries import BEGIN, CARDS, DIGEST_KEY, END, PREVIEW_ROWS, SECOND_RANGE
+from .queries import BEGIN, CARDS, DIGEST_KEY, END, PREVIEW_ROWS, SECOND_RANGE, SEGMENT
 from .sources.testdata import VIEW_SQL
 
 IN, OUT, PRI = "tfr_in_acct_no", "tfr_out_acct_no", "pri_acct_no_conv"
@@ -25,6 +25,8 @@ ALL_COLS = ("pri_key, trans_id, pri_acct_no_conv, tfr_out_acct_no, tfr_in_acct_n
 TX = f"tx AS ({VIEW_SQL})"
 CARDS_CTE = ("cards AS (SELECT * FROM (VALUES "
              + ", ".join(f"('{c}')" for c in CARDS) + ") t(card))")
+SEGMENT_CTE = ("cards AS (SELECT 'A' || CAST(c_custkey AS VARCHAR) AS card FROM customer "
+               f"WHERE c_mktsegment = '{SEGMENT}')")
 CLOSED = f"pdate >= '{BEGIN}' AND pdate <= '{END}'"
 HALF = f"pdate >= '{BEGIN}' AND pdate < '{END}'"
 NONBLANK = f"trim({IN}) <> '' AND trim({OUT}) <> ''"
@@ -286,6 +288,12 @@ def oracle_sql() -> dict[str, str]:
             f"FROM tx WHERE {CLOSED} AND trans_id = 'S33' AND ({IN} IN (SELECT card FROM cards) "
             f"OR {OUT} IN (SELECT card FROM cards) OR {PRI} IN (SELECT card FROM cards)) "
             f"GROUP BY {IN}, {OUT}")),
+        "touching_segment_cards": _with(TX, SEGMENT_CTE, body=(
+            f"SELECT * FROM ({_traced(CLOSED)}) t WHERE {IN} IN (SELECT card FROM cards) "
+            f"OR {OUT} IN (SELECT card FROM cards)")),
+        "extract_segment_cards": _with(TX, SEGMENT_CTE, body=_three_leg(CLOSED)),
+        "trace_segment_2_rounds": _with(TX, SEGMENT_CTE, *g_half, _depth(2),
+                                        body="SELECT card FROM r WHERE d = 2", recursive=True),
         "trace_rounds_consume": _every_round("pri"),
         "trace_rounds_transfer": _every_round("touch"),
     }

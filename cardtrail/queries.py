@@ -28,6 +28,7 @@ CARDS = ["A1", "A2", "A3", "A4", "A5", "A6", "A7", "A8", "A9", "A10"]
 BEGIN, END = "19970101", "19970331"
 SECOND_RANGE = ("19980601", "19980615")
 DIGEST_KEY = "demo-key"
+SEGMENT = "BUILDING"
 PREVIEW_ROWS = 50
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,6 +314,30 @@ def pair_amount_round0_set(spark, sf_dir):
                          semantics="set").round0_pairs
 
 
+def _segment_cards(spark, sf_dir) -> DataFrame:
+    """Every account of one market segment: a card list that grows with the
+    tables and whose size is not known in advance (no broadcast hint; AQE
+    decides from measured sizes, and the touching test takes its skew-safe
+    semi/anti legs)."""
+    cust = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return (cust.filter(F.col("c_mktsegment") == SEGMENT)
+            .select(F.concat(F.lit("A"), F.col("c_custkey").cast("string")).alias(CARD)))
+
+
+def touching_segment_cards(spark, sf_dir):
+    rows = _traced(_closed(spark, sf_dir), OUT_COL, IN_COL)
+    return semi.touching(rows, _segment_cards(spark, sf_dir), [IN_COL, OUT_COL])
+
+
+def extract_segment_cards(spark, sf_dir):
+    return two_round.round0_extract(_closed(spark, sf_dir), _segment_cards(spark, sf_dir))
+
+
+def trace_segment_2_rounds(spark, sf_dir):
+    return closure.preset_two_rounds(_view(spark, sf_dir), _segment_cards(spark, sf_dir),
+                                     BEGIN, END).cards()
+
+
 QUERIES: dict[str, Query] = {
     "scan_project": scan_project,
     "scan_transfers": scan_transfers,
@@ -363,6 +388,9 @@ QUERIES: dict[str, Query] = {
     "trace_history_sizes": trace_history_sizes,
     "trace_history_transfers": trace_history_transfers,
     "pair_amount_round0_set": pair_amount_round0_set,
+    "touching_segment_cards": touching_segment_cards,
+    "extract_segment_cards": extract_segment_cards,
+    "trace_segment_2_rounds": trace_segment_2_rounds,
 }
 
 

@@ -46,19 +46,35 @@ def checkpoint_root(spark: SparkSession) -> str:
     because a machine-local folder does not survive the loss of an executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.sparkContext.master or ""
+        master = (sc.master if sc is not None else spark.conf.get("spark.master", "")) or ""
         if not master.startswith("local"):
             raise RuntimeError(
                 "set spark.checkpoint.dir to a shared folder (HDFS/S3/...) "
                 "before tracing on a cluster")
         root = tempfile.mkdtemp(prefix="cardtrail-ckpt-")
-        spark.sparkContext.setCheckpointDir(root)
+        spark.conf.set("spark.checkpoint.dir", root)
+        if sc is not None:
+            sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session, None for a Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no context
+        return None
+
+
+def parallelism(spark: SparkSession) -> int | None:
+    sc = _context(spark)
+    return sc.defaultParallelism if sc is not None else None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/cardtrail/{name}-{uuid.uuid4().hex}"
@@ -92,9 +108,11 @@ def broadcast_row_limit(spark: SparkSession, row_bytes: int = 64) -> int:
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Recursively delete a folder of the shared file system (through Hadoop's
     FileSystem, so HDFS/S3/local alike)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    sc = _context(spark)
+    if sc is None:      # a Connect client cannot reach the file system; keep it
+        return False
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
     return bool(fs.delete(p, True))
 
 

@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import parallelism
+
 
 def _s(c: str | Column) -> Column:
     col = F.col(c) if isinstance(c, str) else c
@@ -61,9 +63,9 @@ def transaction_view(spark: SparkSession, sf_dir: str, begin: str | None = None,
     # many cores there are. Spread the (pruned, filtered) rows by order key when
     # the scan has fewer splits than the session's parallelism; a table of many
     # files is left as it is. Hash, not round robin: deterministic on retry.
-    parallelism = spark.sparkContext.defaultParallelism
-    if li.rdd.getNumPartitions() < parallelism:
-        li = li.repartition(parallelism, "l_orderkey")
+    cores = parallelism(spark)
+    if cores is not None and li.rdd.getNumPartitions() < cores:
+        li = li.repartition(cores, "l_orderkey")
 
     j = li.join(od, li["l_orderkey"] == od["o_orderkey"])
     flag = F.col("l_returnflag")
