@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..constants import DATE_COL
 from ..functions import predicates as P
 
 
@@ -22,15 +23,25 @@ def history_schema(names: Iterable[str]) -> T.StructType:
 
 def read_history(spark: SparkSession, source: str, begin: str | None = None,
                  end: str | None = None, end_inclusive: bool = True,
-                 fmt: str = "parquet") -> DataFrame:
+                 fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
     """History rows, optionally restricted to a ``pdate`` window.
 
     ``source`` is a table name (``fmt="table"``) or a path. The window compares
     strings, so it becomes partition pruning on a ``pdate``-partitioned table
     and a pushed filter otherwise; columns not selected later are pruned by
-    Catalyst.
+    Catalyst. A path read without ``schema`` infers a ``pdate`` partition as a
+    number; it is turned back into the string it is (pruning still applies,
+    the filter references only the partition column).
     """
-    df = spark.table(source) if fmt == "table" else spark.read.format(fmt).load(source)
+    if fmt == "table":
+        df = spark.table(source)
+    else:
+        reader = spark.read.format(fmt)
+        if schema is not None:
+            reader = reader.schema(schema)
+        df = reader.load(source)
+    if DATE_COL in df.columns and df.schema[DATE_COL].dataType != T.StringType():
+        df = df.withColumn(DATE_COL, df[DATE_COL].cast("string"))
     if begin is not None or end is not None:
         df = df.filter(P.date_window(begin, end, end_inclusive))
     return df
