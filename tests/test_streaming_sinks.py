@@ -66,6 +66,14 @@ def test_jobs(spark):
     assert res.sizes == [10, 17, 25, 31, 34, 36, 37, 39, 40, 40]
     res = jobs.every_round_job(history, seeds, BEGIN, END, f"{tmp}/every")
     assert spark.read.parquet(f"{tmp}/every/transfers").count() == 384
+    res = jobs.edges_job(history, seeds, BEGIN, END, f"{tmp}/edges")
+    assert res.sizes == [10, 25, 55, 119, 200]
+    assert spark.read.text(f"{tmp}/edges").count() == 203
+    res = jobs.all_rows_job(history, seeds, BEGIN, END, f"{tmp}/all")
+    assert spark.read.text(f"{tmp}/all/consumption").count() == 97
+    assert spark.read.text(f"{tmp}/all/transfers").count() == 315
+    jobs.extract_job(history, seeds, BEGIN, END, f"{tmp}/extract")
+    assert spark.read.parquet(f"{tmp}/extract").count() == 30
     plain = cards_from_list(spark, ["6222021234567890"])
     assert jobs.digest_cards(plain, "demo-key").first()["card"] == "25eb098adee3cea314e45c2f8ef0181d"
 
