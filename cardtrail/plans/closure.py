@@ -26,6 +26,11 @@ Plan, built for a history far larger than any frontier:
   previous round: ``S(i+1) = S(i) + N(S(i) - S(i-1))`` holds for every
   ``i >= 1`` because ``S(i) ⊆ N(S(i))`` and ``N(S(i) ∩ S(i-1)) ⊆ S(i)``.
   ``method="full"`` probes all of ``S(i)``, as the reference does.
+* Above ``cardtrail.trace.bucketRows`` adjacency rows, the adjacency is not
+  cached whole but rewritten partitioned by a hash bucket of ``a``; the probe
+  joins on (bucket, card), and dynamic partition pruning from the broadcast
+  probe reads only its buckets, so a late round with a few new cards reads a
+  few files instead of the whole adjacency.
 * The probe is broadcast when its exact row count (known from the previous
   round) is under the session's bound; otherwise the join is shuffled and AQE
   splits hot adjacency partitions. The adjacency is never hash-partitioned by
@@ -67,21 +72,65 @@ def adjacency(rows: DataFrame, src: str, dest: str) -> DataFrame:
             .filter(F.col(_A).isNotNull()).distinct())
 
 
-def endpoints(adj: DataFrame, probe: DataFrame, probe_rows: int | None) -> DataFrame:
-    """Endpoints (with repeats) of the adjacency rows whose ``a`` is in ``probe``."""
-    keys = semi.card_keys(probe.filter(F.col(CARD).isNotNull()), probe_rows)
-    hit = adj.join(keys, F.col(_A) == F.col("__ct_card"), "left_semi")
+_BUCKET = "bucket"
+_SALTS = 4
+
+
+def bucket_of(card, buckets: int):
+    """Hash bucket of a card (``xxhash64``: stable across runs and machines)."""
+    c = F.col(card) if isinstance(card, str) else card
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+
+def _bucket_plan(spark, adj_rows: int) -> int | None:
+    """Buckets for the adjacency, or None to keep it whole and cached.
+
+    Above ``cardtrail.trace.bucketRows`` rows (default 100M) a round should not
+    scan all of it: it is rewritten partitioned by a hash bucket of ``a``, so
+    that a round's probe prunes it to its own buckets (dynamic partition
+    pruning from the broadcast probe). ``cardtrail.trace.buckets`` fixes the
+    count; by default ~2M rows a bucket, between 64 and 8192.
+    """
+    limit = int(spark.conf.get("cardtrail.trace.bucketRows", str(100_000_000)))
+    if adj_rows <= limit:
+        return None
+    fixed = spark.conf.get("cardtrail.trace.buckets", None)
+    if fixed is not None:
+        return max(int(fixed), 1)
+    return min(max(adj_rows // 2_000_000, 64), 8192)
+
+
+def _probe_keys(probe: DataFrame, probe_rows: int | None, buckets: int | None) -> DataFrame:
+    keys = probe.filter(F.col(CARD).isNotNull()).select(F.col(CARD).alias("__ct_card"))
+    if buckets:
+        keys = keys.withColumn("__ct_bucket", bucket_of("__ct_card", buckets))
+    if probe_rows is not None and probe_rows <= broadcast_row_limit(probe.sparkSession):
+        keys = F.broadcast(keys)
+    return keys
+
+
+def endpoints(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
+              buckets: int | None = None) -> DataFrame:
+    """Endpoints (with repeats) of the adjacency rows whose ``a`` is in ``probe``.
+    On a bucketed adjacency the join also matches buckets, which lets the
+    probe prune the adjacency's partitions."""
+    keys = _probe_keys(probe, probe_rows, buckets)
+    cond = F.col(_A) == F.col("__ct_card")
+    if buckets:
+        cond = (F.col(_BUCKET) == F.col("__ct_bucket")) & cond
+    hit = adj.join(keys, cond, "left_semi")
     return hit.select(F.explode(F.array(F.col(_A), F.col(_B))).alias(CARD))
 
 
-def expand(adj: DataFrame, probe: DataFrame, probe_rows: int | None) -> DataFrame:
+def expand(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
+           buckets: int | None = None) -> DataFrame:
     """``N(probe)``: distinct endpoints of the adjacency rows whose ``a`` is in
     ``probe``."""
-    return endpoints(adj, probe, probe_rows).distinct()
+    return endpoints(adj, probe, probe_rows, buckets).distinct()
 
 
 def new_cards(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
-              known: DataFrame, known_rows: int) -> DataFrame:
+              known: DataFrame, known_rows: int, buckets: int | None = None) -> DataFrame:
     """``N(probe) - known``, null-safe (a null end already known stays known).
 
     A known set of checked small size is broadcast to a null-safe anti join
@@ -91,9 +140,9 @@ def new_cards(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
     """
     if known_rows <= broadcast_row_limit(adj.sparkSession):
         k = F.broadcast(known.select(F.col(CARD).alias("__known")))
-        return expand(adj, probe, probe_rows).join(
+        return expand(adj, probe, probe_rows, buckets).join(
             k, F.col(CARD).eqNullSafe(F.col("__known")), "left_anti")
-    tagged = (endpoints(adj, probe, probe_rows).select(CARD, F.lit(1).alias("__t"))
+    tagged = (endpoints(adj, probe, probe_rows, buckets).select(CARD, F.lit(1).alias("__t"))
               .unionAll(known.select(CARD, F.lit(0).alias("__t"))))
     return (tagged.groupBy(CARD).agg(F.min("__t").alias("__t"))
             .filter(F.col("__t") == 1).select(CARD))
@@ -179,8 +228,22 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
         return result
 
     adj_path = f"{base}/adjacency"
-    adjacency(rows, src, dest).write.parquet(adj_path)
-    adj = spark.read.parquet(adj_path).persist(StorageLevel.MEMORY_AND_DISK)
+    adj_rows = write_counted(adjacency(rows, src, dest), adj_path)
+    buckets = _bucket_plan(spark, adj_rows)
+    cached = buckets is None
+    if cached:
+        adj = spark.read.parquet(adj_path).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        # One pass over the adjacency (not the history). A salt from ``b``
+        # spreads a hub's bucket over several files and tasks.
+        bucketed_path = f"{base}/adjacency-buckets"
+        salt = F.pmod(F.xxhash64(F.col(_B)), F.lit(_SALTS))
+        (spark.read.parquet(adj_path).withColumn(_BUCKET, bucket_of(_A, buckets))
+         .repartition(buckets * _SALTS, F.col(_BUCKET), salt)
+         .write.partitionBy(_BUCKET).parquet(bucketed_path))
+        delete_path(spark, adj_path)
+        adj_path = bucketed_path
+        adj = spark.read.parquet(adj_path)
 
     def frontier() -> DataFrame:
         # One listing of the frontier folder per round; probe and known sets
@@ -193,7 +256,7 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
 
     try:
         # Round 1 probes the seeds.
-        s1 = expand(adj, seed_set, n_seed_set)
+        s1 = expand(adj, seed_set, n_seed_set, buckets)
         n1 = write_counted(s1, f"{frontier_path}/{_ROUND}=1")
         sizes.append(n1)
         r = 1
@@ -222,14 +285,15 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
                     probe_rows = sizes[r] - sizes[r - 1]
             else:
                 probe, probe_rows = reached(r, fr), sizes[r]
-            fresh = new_cards(adj, probe, probe_rows, reached(r, fr), sizes[r])
+            fresh = new_cards(adj, probe, probe_rows, reached(r, fr), sizes[r], buckets)
             n_new = write_counted(fresh, f"{frontier_path}/{_ROUND}={r + 1}")
             sizes.append(sizes[r] + n_new)
             r += 1
     finally:
         # The adjacency can be as large as the window's transfers; nothing
         # reads it after the loop.
-        adj.unpersist()
+        if cached:
+            adj.unpersist()
         delete_path(spark, adj_path)
     result.rounds = r
     return result
