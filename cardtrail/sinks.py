@@ -48,3 +48,17 @@ def write_rounds(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "
     """Per-round outputs as one table partitioned by ``round``
     (``path/round=1``, ``path/round=2``, ...)."""
     write_table(df, path, mode, fmt, ["round"])
+
+
+def ensure_table(spark, name: str, schema, fmt: str = "parquet") -> bool:
+    """``CREATE TABLE IF NOT EXISTS``: create an empty catalog table with the
+    given schema unless it exists; returns whether it was created."""
+    if spark.catalog.tableExists(name):
+        return False
+    spark.catalog.createTable(name, source=fmt, schema=schema)
+    return True
+
+
+def drop_table(spark, name: str) -> None:
+    """``DROP TABLE IF EXISTS``."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")

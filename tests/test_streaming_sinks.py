@@ -104,3 +104,17 @@ def test_trace_cleanup_removes_its_folder(spark):
     assert os.path.exists(res.path.replace("file:", "") + "/frontier")
     res.cleanup()
     assert not os.path.exists(res.path.replace("file:", ""))
+
+
+def test_catalog_tables(spark):
+    from cardtrail.sources.history import history_schema
+    name = "ct_cards_" + os.urandom(4).hex()
+    schema = history_schema(["card"])
+    assert sinks.ensure_table(spark, name, schema) is True
+    assert sinks.ensure_table(spark, name, schema) is False
+    cards_from_list(spark, ["a", "b"]).write.mode("append").insertInto(name)
+    assert spark.table(name).count() == 2
+    sinks.save_table(cards_from_list(spark, ["c"]), name)
+    assert [r["card"] for r in spark.table(name).collect()] == ["c"]
+    sinks.drop_table(spark, name)
+    assert not spark.catalog.tableExists(name)
