@@ -91,8 +91,10 @@ FIX = ("f(card) AS (SELECT card FROM s1 UNION "
        "SELECT adj2.b FROM f JOIN adj2 ON adj2.a = f.card)")
 
 
-def _s(k: int) -> str:
-    return "(SELECT card FROM cards)" if k == 0 else f"(SELECT card FROM r WHERE d = {k})"
+# S(R-1), the set that drove the last executed round R (``stop.last``): the
+# seeds when R = 1, else depth R-1 of ``r``.
+LAST = ("(SELECT card FROM r WHERE d = (SELECT last FROM stop) - 1 "
+        "UNION ALL SELECT card FROM cards WHERE (SELECT last FROM stop) = 1)")
 
 
 def _bounded_sizes(k: int) -> str:
@@ -254,18 +256,19 @@ def oracle_sql() -> dict[str, str]:
         "trace_fixpoint": _with(TX, CARDS_CTE, *g_half_ok, FIX, body="SELECT card FROM f",
                                 recursive=True),
         "trace_fixpoint_sizes": _fix_sizes(),
-        "trace_2_rounds": _with(TX, CARDS_CTE, *g_half, _depth(2),
-                                body="SELECT card FROM r WHERE d = 2", recursive=True),
+        "trace_2_rounds": _with(TX, CARDS_CTE, *g_half, _depth(2), _bounded_sizes(2),
+                                body="SELECT card FROM r WHERE d = (SELECT last FROM stop)",
+                                recursive=True),
         "trace_closed_fixpoint": _with(TX, CARDS_CTE, *g_closed_nb, FIX,
                                        body="SELECT card FROM f", recursive=True),
-        "trace_edges_4": _with(TX, CARDS_CTE, *g_closed_nb, _depth(3), body=(
-            f"SELECT s AS {IN}, d AS {OUT} FROM edges WHERE s IN {_s(3)} OR d IN {_s(3)}"),
+        "trace_edges_4": _with(TX, CARDS_CTE, *g_closed_nb, _depth(4), _bounded_sizes(4), body=(
+            f"SELECT s AS {IN}, d AS {OUT} FROM edges WHERE s IN {LAST} OR d IN {LAST}"),
             recursive=True),
-        "trace_consume_5": _with(TX, CARDS_CTE, *g_closed_all, _depth(4), body=(
+        "trace_consume_5": _with(TX, CARDS_CTE, *g_closed_all, _depth(5), _bounded_sizes(5), body=(
             f"SELECT * FROM ({_traced(CLOSED + ' AND ' + CONSUMPTION)}) t "
-            f"WHERE {PRI} IN {_s(4)}"), recursive=True),
-        "trace_transfer_5": _with(TX, CARDS_CTE, *g_closed_all, _depth(4), body=(
-            f"SELECT * FROM ({_traced(CLOSED)}) t WHERE {OUT} IN {_s(4)} OR {IN} IN {_s(4)}"),
+            f"WHERE {PRI} IN {LAST}"), recursive=True),
+        "trace_transfer_5": _with(TX, CARDS_CTE, *g_closed_all, _depth(5), _bounded_sizes(5), body=(
+            f"SELECT * FROM ({_traced(CLOSED)}) t WHERE {OUT} IN {LAST} OR {IN} IN {LAST}"),
             recursive=True),
         "frontier_sizes": _with(TX, CARDS_CTE, *g_closed_all, _depth(5), _bounded_sizes(5),
                                 body="SELECT CAST(round AS INTEGER) AS round, "
@@ -279,9 +282,10 @@ def oracle_sql() -> dict[str, str]:
         "trace_history_fixpoint": _with(TX, CARDS_CTE, *_graph("TRUE", IN, OUT, True), FIX,
                                         body="SELECT card FROM f", recursive=True),
         "trace_history_sizes": _fix_sizes(_graph("TRUE", IN, OUT, True)),
-        "trace_history_transfers": _with(TX, CARDS_CTE, *_graph("TRUE", OUT, IN, False), _depth(4),
+        "trace_history_transfers": _with(TX, CARDS_CTE, *_graph("TRUE", OUT, IN, False), _depth(5),
+                                         _bounded_sizes(5),
                                          body=(f"SELECT * FROM ({_traced('TRUE')}) t "
-                                               f"WHERE {OUT} IN {_s(4)} OR {IN} IN {_s(4)}"),
+                                               f"WHERE {OUT} IN {LAST} OR {IN} IN {LAST}"),
                                          recursive=True),
         "pair_amount_round0_set": _with(TX, CARDS_CTE, body=(
             f"SELECT {IN}, {OUT}, CAST(SUM(TRY_CAST(trans_at AS BIGINT)) AS BIGINT) AS amount "
@@ -292,8 +296,9 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT * FROM ({_traced(CLOSED)}) t WHERE {IN} IN (SELECT card FROM cards) "
             f"OR {OUT} IN (SELECT card FROM cards)")),
         "extract_segment_cards": _with(TX, SEGMENT_CTE, body=_three_leg(CLOSED)),
-        "trace_segment_2_rounds": _with(TX, SEGMENT_CTE, *g_half, _depth(2),
-                                        body="SELECT card FROM r WHERE d = 2", recursive=True),
+        "trace_segment_2_rounds": _with(TX, SEGMENT_CTE, *g_half, _depth(2), _bounded_sizes(2),
+                                        body="SELECT card FROM r WHERE d = (SELECT last FROM stop)",
+                                        recursive=True),
         "trace_rounds_consume": _every_round("pri"),
         "trace_rounds_transfer": _every_round("touch"),
     }
