@@ -4,6 +4,12 @@
   two-rounds SOURCE CARDS BEGIN END OUT     round 0 and 1 tables
   extract SOURCE CARDS BEGIN END OUT        three-leg extract
   digest PLAIN OUT                          blacklist digests (key from stdin)
+  edges SOURCE SEEDS BEGIN END OUT          4-round trace, last round's edges as text
+  all-rows SOURCE SEEDS BEGIN END OUT       5-round trace, consumption + transfers as text
+  every-round SOURCE SEEDS BEGIN END OUT    4-round trace, every round's rows by round
+
+SOURCE is a table name, or a path when it contains '/'; CARDS/SEEDS is a text
+file with one card per line.
 """
 
 from __future__ import annotations
@@ -35,6 +41,14 @@ def main(argv: list[str]) -> int:
             jobs.extract_job(history, card_df, begin, end, out)
         else:
             print(jobs.two_rounds_job(spark, history, card_df, begin, end, out))
+    elif cmd in ("edges", "all-rows", "every-round"):
+        source, seeds, begin, end, out = rest
+        history = read_history(spark, source, fmt="table" if "/" not in source else "parquet")
+        job = {"edges": jobs.edges_job, "all-rows": jobs.all_rows_job,
+               "every-round": jobs.every_round_job}[cmd]
+        res = job(history, cards_from_text(spark, seeds), begin, end, out)
+        for i, n in enumerate(res.sizes):
+            print(f"round {i}\t{n}")
     elif cmd == "digest":
         plain, out = rest
         key = sys.stdin.readline().rstrip("\n")

@@ -77,3 +77,18 @@ def test_cli_trace(spark, capsys):
                      "tfr_in_acct_no", "a"]) == 0
     out = capsys.readouterr().out.split("\n")
     assert out[:4] == ["round 0\t1", "round 1\t2", "round 2\t3", "round 3\t3"]
+
+
+def test_cli_edges(spark, capsys):
+    tmp = tempfile.mkdtemp(prefix="ct-cli2-")
+    rows = [("a", "b", "20160701"), ("b", "c", "20160702"), ("c", "d", "20160703")]
+    spark.createDataFrame(rows, "tfr_in_acct_no string, tfr_out_acct_no string, pdate string") \
+        .write.parquet(f"{tmp}/h")
+    with open(f"{tmp}/seeds.txt", "w") as f:
+        f.write("a\n")
+    assert cli.main(["edges", f"{tmp}/h", f"{tmp}/seeds.txt", "20160701", "20160731",
+                     f"{tmp}/out"]) == 0
+    out = capsys.readouterr().out.split("\n")
+    assert out[:5] == ["round 0\t1", "round 1\t2", "round 2\t3", "round 3\t4", "round 4\t4"]
+    lines = sorted(r["value"] for r in spark.read.text(f"{tmp}/out").collect())
+    assert lines == ["[a,b]", "[b,c]", "[c,d]"]
