@@ -101,7 +101,9 @@ def _bucket_plan(spark, adj_rows: int) -> int | None:
 
 
 def _probe_keys(probe: DataFrame, probe_rows: int | None, buckets: int | None) -> DataFrame:
-    keys = probe.filter(F.col(CARD).isNotNull()).select(F.col(CARD).alias("__ct_card"))
+    # A null card never matches the equi-join (Catalyst adds the not-null
+    # filter itself), so none is written here.
+    keys = probe.select(F.col(CARD).alias("__ct_card"))
     if buckets:
         keys = keys.withColumn("__ct_bucket", bucket_of("__ct_card", buckets))
     if probe_rows is not None and probe_rows <= broadcast_row_limit(probe.sparkSession):
@@ -139,7 +141,7 @@ def new_cards(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
     its smallest tag is 1 (grouping treats null as a key).
     """
     if known_rows <= broadcast_row_limit(adj.sparkSession):
-        k = F.broadcast(known.select(F.col(CARD).alias("__known")))
+        k = F.broadcast(known.withColumnRenamed(CARD, "__known"))
         return expand(adj, probe, probe_rows, buckets).join(
             k, F.col(CARD).eqNullSafe(F.col("__known")), "left_anti")
     tagged = (endpoints(adj, probe, probe_rows, buckets).select(CARD, F.lit(1).alias("__t"))
