@@ -57,10 +57,10 @@ def two_rounds_job(spark: SparkSession, history: DataFrame, cards: DataFrame, be
     """Round 0 and round 1 into tables; returns the number of suspect cards."""
     # Counting the list (a small input) gives its broadcast a proven size.
     t = two_round.run(history.filter(P.date_closed(begin, end)), cards, cards.count(),
-                      materialize=True)
+                      materialize=True, cards_path=f"{out_dir}/cards_round0")
     sinks.write_table(t.extract, f"{out_dir}/extract")
     sinks.write_delimited(t.round0_pairs, f"{out_dir}/pairs_round0")
-    sinks.write_table(t.round0_cards, f"{out_dir}/cards_round0")
+    # Round 1 hands the round-0 cards over through their output folder.
     sinks.write_table(t.round1_rows, f"{out_dir}/rows_round1")
     sinks.write_delimited(t.round1_pairs, f"{out_dir}/pairs_round1")
     sinks.write_table(t.round1_cards, f"{out_dir}/cards_round1")

@@ -40,8 +40,10 @@ class TwoRounds:
     """Outputs of the two rounds. Round-0 frames are lazy; the round-0 cards are
     written (and counted) on first use of a round-1 output."""
 
-    def __init__(self, history: DataFrame, extract: DataFrame, method: str, semantics: str):
+    def __init__(self, history: DataFrame, extract: DataFrame, method: str, semantics: str,
+                 cards_path: str | None = None):
         self.history = history
+        self.cards_path = cards_path
         self.extract = extract                     # round-0 rows, all columns
         self.method = method
         self.semantics = semantics
@@ -56,7 +58,7 @@ class TwoRounds:
         # under the bound, without shuffling the window's transfers first.
         if self._round1 is None:
             spark = self.history.sparkSession
-            path = scratch_path(spark, "cards0")
+            path = self.cards_path or scratch_path(spark, "cards0")
             n0 = write_counted(self.round0_cards, path)
             cards0 = spark.read.parquet(path)
             if self.semantics == "set":
@@ -86,8 +88,9 @@ class TwoRounds:
 
 def run(history: DataFrame, cards: DataFrame, known_rows: int | None = None,
         method: str = "explode", materialize: bool = False,
-        semantics: str = "bag") -> TwoRounds:
-    """``history`` is already restricted to the window.
+        semantics: str = "bag", cards_path: str | None = None) -> TwoRounds:
+    """``history`` is already restricted to the window. ``cards_path`` is where
+    the round-0 cards are handed over (a scratch folder by default).
 
     ``semantics="bag"`` (the jobs' behaviour) sums amounts over the bags, so a
     transfer between two listed cards counts once per matching leg;
@@ -103,4 +106,4 @@ def run(history: DataFrame, cards: DataFrame, known_rows: int | None = None,
         path = scratch_path(history.sparkSession, "round0")
         extract.write.parquet(path)
         extract = history.sparkSession.read.parquet(path)
-    return TwoRounds(history, extract, method, semantics)
+    return TwoRounds(history, extract, method, semantics, cards_path)

@@ -59,6 +59,7 @@ def test_jobs(spark):
     history = transaction_view(spark, SF001)
     assert jobs.two_rounds_job(spark, history, seeds, BEGIN, END, f"{tmp}/two") == 20
     assert spark.read.parquet(f"{tmp}/two/extract").count() == 30
+    assert spark.read.parquet(f"{tmp}/two/cards_round0").count() == 12
     history.write.parquet(f"{tmp}/hist")
     args = jobs.SearchArgs.parse([BEGIN, END, f"{tmp}/hist", "tfr_out_acct_no",
                                   "tfr_in_acct_no", ",".join(CARDS)])
