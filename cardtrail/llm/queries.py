@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardtrail.llm import byte_bpe, exact_topk, main_text, mixing, secrets, warc
+from cardtrail.llm import byte_bpe, exact_topk, main_text, mixing, neardup, secret_scan, warc
 from cardtrail.llm.common import table
 from cardtrail.session import scratch_path
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,12 +34,12 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_warc, op7_byte_bpe, op8_exact_topk, op9_secrets, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_mixing, op5_warc, op7_byte_bpe, op8_exact_topk, op9_secrets, op10_main_text)}
 ORACLE_SQL: dict[str, str] = {}

@@ -7,13 +7,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardtrail.llm import byte_bpe, mixing, secrets
+from cardtrail.llm import byte_bpe, mixing, neardup, secret_scan
 from cardtrail.llm.common import Scratch, table
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of the smallest doc_id, of each near-duplicate group."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, the values of secrets in their texts replaced."""
-    return secrets.redact_secrets(docs)
+    return secret_scan.redact_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +32,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("MinHash near-dedup", drop_near_duplicates),
     ("secret scans", redact_secrets),
     ("mixing sources to target weights", mix_sources),
     ("byte-level BPE encoding and decoding", encode),
