@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardtrail.llm import byte_bpe, exact_topk, main_text, mixing, neardup, secret_scan, warc
+from cardtrail.llm import byte_bpe, exact_topk, main_text, mixing, neardup, ppm, secret_scan, warc
 from cardtrail.llm.common import table
 from cardtrail.session import scratch_path
 
@@ -18,6 +18,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -41,5 +45,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_mixing, op5_warc, op7_byte_bpe, op8_exact_topk, op9_secrets, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_mixing, op4_ppm_score, op5_warc, op7_byte_bpe, op8_exact_topk, op9_secrets, op10_main_text)}
 ORACLE_SQL: dict[str, str] = {}
