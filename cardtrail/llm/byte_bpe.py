@@ -218,7 +218,7 @@ class ByteBpe:
         """The ids of all texts, one after another, and where each text's ids end."""
         pieces = [self.split(t) for t in texts]
         cache = self.cache
-        new = list(set().union(*pieces) - cache.keys())
+        new = list(set().union(*pieces).difference(cache))
         if len(cache) + len(new) > self.most_cached:
             cache.clear()
             new = list(set().union(*pieces))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardtrail.llm import byte_bpe, exact_topk, main_text, mixing, neardup, ppm, secret_scan, warc
+from cardtrail.llm import byte_bpe, exact_topk, main_text, mixing, neardup, ppm, secret_scan, toxicity, warc
 from cardtrail.llm.common import table
 from cardtrail.session import scratch_path
 
@@ -28,6 +28,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_mixing, op4_ppm_score, op5_warc, op7_byte_bpe, op8_exact_topk, op9_secrets, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_mixing, op4_ppm_score, op5_warc, op6_toxicity, op7_byte_bpe, op8_exact_topk, op9_secrets, op10_main_text)}
 ORACLE_SQL: dict[str, str] = {}

@@ -7,10 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardtrail.llm import byte_bpe, mixing, neardup, secret_scan
+from cardtrail.llm import byte_bpe, mixing, neardup, secret_scan, toxicity
 from cardtrail.llm.common import Scratch, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity score doesn't reject."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest doc_id, of each near-duplicate group."""
     return neardup.drop_near_duplicates(docs)
@@ -32,6 +37,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("MinHash near-dedup", drop_near_duplicates),
     ("secret scans", redact_secrets),
     ("mixing sources to target weights", mix_sources),
