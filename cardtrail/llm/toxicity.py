@@ -134,12 +134,13 @@ class Lexicon:
             known[word] = float(best) if best or word not in CLASSES["threat"] else -1.0
 
     def features(self, text: str) -> tuple[float, float, float]:
-        """log of the summed clause scores, the highest one, log of the words."""
+        """log of the summed clause scores, the highest one, log of the words; all 0 for a
+        text without matches."""
         words = WORDS.findall(text)
         distinct = set(words)
         self.weigh(distinct)
         if not any(map(self.known.__getitem__, distinct)):
-            return 0.0, 0.0, float(np.log1p(len(words)))
+            return 0.0, 0.0, 0.0
         total = highest = 0.0
         for score in self.clauses(text):
             total += score
