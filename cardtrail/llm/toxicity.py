@@ -122,15 +122,19 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = {**dict.fromkeys(SEEDS, SEED_WEIGHT), **weights}
+        self.heads = {c[:3] for c in self.weights} | {w[:3] for w in CLASSES["threat"]}
         self.known: dict[str, float] = {}
 
     def weigh(self, words: set[str]) -> None:
         if len(self.known) > 1_000_000:
             self.known.clear()
-        get = self.weights.get
+        get, heads = self.weights.get, self.heads
         known = self.known
         for word in [w for w in words if w not in known]:
-            best = max((get(c, 0.0) for c in cues(word)), default=0.0)
+            if word[:3] not in heads:
+                known[word] = 0.0
+                continue
+            best = max(get(c, 0.0) for c in cues(word))
             known[word] = float(best) if best or word not in CLASSES["threat"] else -1.0
 
     def features(self, text: str) -> tuple[float, float, float]:
