@@ -2,7 +2,7 @@
 
 ``write_warc`` writes one WARC/1.1 record per page through Spark's text writer, whose line
 separator is the record terminator, so that archives can lie in any store that Spark
-reaches. ``read_warc`` reads archives back without trusting the magic: every task scans
+reaches; each is compressed with gzip. ``read_warc`` reads archives back without trusting the magic: every task scans
 its archives for anything that looks like a record header, also inside payloads, and
 emits (offset, offset of the successor that the header's length implies). Pointer jumping
 from offset 0 of each archive then doubles the reach of every link per round and keeps
@@ -19,6 +19,8 @@ empty result. Only page_id, url and html are read.
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import re
 
 import pandas as pd
@@ -33,20 +35,28 @@ HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)")
 URN = "urn:page:"
 
 
-def plan_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
+#: Payloads with copies that may be broadcast: rows of under 100 bytes.
+MOST_BROADCAST = 100_000
+
+
+def plan_records(pages: DataFrame, scratch: Scratch, min_revisit: int = 100) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to (null: response)."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2(F.encode("payload", "utf-8"), 256)})
     same = F.col("payload_bytes") >= min_revisit
     first = (rows.where(same).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
              .where("copies > 1").select("payload_digest", "first_id"))
+    first = scratch.cut(first, "first")
+    if first.count() <= MOST_BROADCAST:
+        first = F.broadcast(first)  # else the payloads are shuffled by digest, and AQE splits a frequent one
     rows = rows.join(first, "payload_digest", "left")
     return rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
 
 
 def write_warc(pages: DataFrame, path: str, min_revisit: int = 100, archive_records: int = 4096) -> None:
     """Write archives of up to ``archive_records`` records each to the folder ``path``."""
-    rows = plan_records(pages, min_revisit)
+    scratch = Scratch(pages.sparkSession, "warc-plan")
+    rows = plan_records(pages, scratch, min_revisit)
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     safe_url = F.regexp_replace("url", r"[\r\n]", " ")
@@ -63,7 +73,8 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 100, archive_reco
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
     (rows.select(F.concat(head, F.lit(END), block).alias("value"))
-     .write.option("lineSep", END).option("maxRecordsPerFile", archive_records).text(path))
+     .write.option("lineSep", END).option("maxRecordsPerFile", archive_records).option("compression", "gzip").text(path))
+    scratch.drop("first")
 
 
 LINKS = "archive string, at long, next long, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, valid boolean"
@@ -73,14 +84,13 @@ def candidates(spark, path: str) -> DataFrame:
     """A row for each header found at any offset of the archives under ``path``: where it
     is, where its successor should be, and what it says. ``valid`` tells whether a
     response's bytes have the digest that its header names."""
-    import hashlib
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def run(batches):
         for pdf in batches:
             rows = []
             for name, data in zip(pdf["path"], pdf["content"]):
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 at = data.find(MAGIC)
                 while at >= 0:
                     stop = data.find(b"\r\n\r\n", at)
