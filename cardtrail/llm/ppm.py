@@ -33,6 +33,7 @@ an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -202,6 +203,19 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
+def squeeze(values: np.ndarray, rising: bool = False) -> bytes:
+    """An array as bytes: byte by byte plane, compressed; differences if it rises."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def unsqueeze(data: bytes, dtype, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+    return np.cumsum(values, dtype=dtype) if rising else values
+
+
 def _word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
@@ -260,11 +274,13 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_c
         g_keys, g_counts = counted(np.concatenate([k for k, _ in grams]), np.concatenate([c for _, c in grams]))
         w_keys = np.fromiter(map(_word_key, words), dtype=np.int64, count=len(words))
         w_counts = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+        order = np.argsort(w_keys)
+        w_keys, w_counts = w_keys[order], w_counts[order]
         g_to, w_to = _bucket((g_keys >> np.int64(BITS)) & mask(2), buckets), _bucket(w_keys, buckets)
         rows = []
         for bucket in range(buckets):
             g, w = g_to == bucket, w_to == bucket
-            rows.append((key[0], bucket, g_keys[g].tobytes(), g_counts[g].astype(np.int32).tobytes(), w_keys[w].tobytes(), w_counts[w].astype(np.int32).tobytes()))
+            rows.append((key[0], bucket, squeeze(g_keys[g], True), squeeze(g_counts[g]), squeeze(w_keys[w], True), squeeze(w_counts[w])))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "grams", "gram_counts", "words", "word_counts"])
 
     asked = dealt.groupBy("chunk").applyInPandas(
@@ -272,9 +288,9 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_c
 
     def answer(pdf):
         def summed(keys, counts):
-            k = [np.frombuffer(x, dtype=np.int64) for x in pdf[keys]]
+            k = [unsqueeze(x, np.int64, True) for x in pdf[keys]]
             unique, inverse = np.unique(np.concatenate(k), return_inverse=True)
-            c = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in pdf[counts]])
+            c = np.concatenate([unsqueeze(x, np.int64) for x in pdf[counts]])
             total = np.bincount(inverse, weights=c, minlength=len(unique)).astype(np.int64)
             return k, unique, total, np.split(inverse, np.cumsum([len(x) for x in k])[:-1])
 
@@ -283,15 +299,15 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_c
         _, _, word_total, word_where = summed("words", "word_counts")
         return pd.DataFrame({
             "chunk": pdf["chunk"], "grams": pdf["grams"], "chances": [chances[i].tobytes() for i in where],
-            "words": pdf["words"], "counts": [word_total[i].tobytes() for i in word_where],
+            "words": pdf["words"], "counts": [squeeze(word_total[i]) for i in word_where],
             "n": int(word_total.sum()), "v": int((word_total > 0).sum())})
 
     answers = asked.groupBy("bucket").applyInPandas(answer, "chunk long, grams binary, chances binary, words binary, counts binary, n long, v long")
 
     def score(pdf, replies):
         texts = _texts(pdf)
-        joined = {c: np.frombuffer(b"".join(replies[c]), dtype=t) for c, t in
-                  (("grams", np.int64), ("chances", np.float32), ("words", np.int64), ("counts", np.int64))}
+        joined = {c: np.concatenate([unsqueeze(x, np.int64, c != "counts") for x in replies[c]]) for c in ("grams", "words", "counts")}
+        joined["chances"] = np.frombuffer(b"".join(replies["chances"]), dtype=np.float32)
         n, v = int(replies["n"].sum()), int(replies["v"].sum())
         chance = Lookup(joined["grams"], joined["chances"])
         order = np.argsort(joined["words"])

@@ -17,8 +17,9 @@ smallest hashes, whole texts; every document is scored over its whole text.
 
 Defined results: null texts count as empty and get the score of a text without matches.
 Labels other than 0 and 1, and labels without a document, are left out; a doc_id with
-several labels counts as toxic if one is 1. Without labelled rows of both kinds the score
-is the logistic function of the seed lexicon with fixed coefficients. Repeated rows come
+several labels counts as toxic if one is 1. With fewer than ``LEAST_LABELS`` labelled rows
+of either kind the score is the logistic function of the seed lexicon with fixed
+coefficients. Repeated rows come
 back as often as they came. An empty table gives an empty result. Of documents only
 doc_id and text are read, of labels doc_id and toxic; labels, lang, source and doc_id
 don't enter a score.
@@ -223,6 +224,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return np.append(slopes, w[-1] - slopes @ middle)
 
 
+LEAST_LABELS = 5
 #: Coefficients without labels: features, intercept.
 UNFITTED = np.array([1.5, 0.5, -0.3, -2.0])
 
@@ -234,8 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2
     # at most max_rows rows of two numbers: small enough to broadcast whatever the input
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic", _half("doc_id").alias("half")).cache()
     try:
-        kinds = {r["toxic"] for r in rows.groupBy("toxic").count().collect()}
-        if kinds != {0, 1}:
+        kinds = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        if min(kinds.get(0, 0), kinds.get(1, 0)) < LEAST_LABELS:
             return {}, UNFITTED
         *crossed, weights = learn_cues(rows)
         lexicons = rows.sparkSession.sparkContext.broadcast(crossed)

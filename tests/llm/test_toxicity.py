@@ -1,0 +1,116 @@
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from cardtrail.llm import toxicity
+from cardtrail.llm.queries import op6_toxicity
+
+from .helpers import SF001, documents
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def auc(rows):
+    rows = sorted(rows)
+    ranks, i = {}, 0
+    while i < len(rows):
+        j = i
+        while j < len(rows) and rows[j][0] == rows[i][0]:
+            j += 1
+        for k in range(i, j):
+            ranks[k] = (i + j + 1) / 2
+        i = j
+    positive = [ranks[k] for k, (_, y) in enumerate(rows) if y]
+    n = len(positive)
+    return (sum(positive) - n * (n + 1) / 2) / (n * (len(rows) - n))
+
+
+def corpus(n=1200, seed=4):
+    """Texts of made-up words; toxic ones hold an unknown insult or a word of an unknown stem."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["ta", "ri", "mo", "ke", "su", "lan", "po"]) for _ in range(rng.randint(1, 3)))
+    rows, labels = [], []
+    for i in range(n):
+        text, toxic = [word() for _ in range(rng.randint(0, 80))], int(rng.random() < 0.15)
+        if toxic:
+            for _ in range(3):
+                text.insert(rng.randint(0, len(text)), rng.choice(["zurgle", "vexi" + word()]))
+        rows.append((i, " ".join(text), "en", "a", 1))
+        labels.append((i, 1, toxic))
+    return rows, labels
+
+
+def test_learns_insults_and_stems(spark):
+    rows, labels = corpus()
+    got = toxicity.score_documents(documents(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    toxic = {i: t for i, _, t in labels}
+    assert len(got) == len(rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    held = [(r["score"], toxic[r["doc_id"]]) for r in got if r["held_out"]]
+    assert auc(held) > 0.97
+    assert sum(p >= 0.3 for p, y in held if not y) <= 0.02 * len(held)
+
+
+def test_held_out_labels_and_columns_do_not_matter(spark):
+    rows, labels = corpus(300)
+    scores = lambda r, l: {x["doc_id"]: x["score"] for x in toxicity.score_documents(documents(spark, r), spark.createDataFrame(l, LABELS)).collect()}
+    flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]
+    other = [(i, t, "xx", "zz", 9) for i, t, *_ in rows]
+    assert scores(rows, labels) == scores(other, flipped)
+
+
+def test_held_out_accuracy_on_the_whole_table(spark):
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF001}/labels.parquet").collect()}
+    got = [r for r in op6_toxicity(spark, SF001).collect()]
+    held = [(r["score"], toxic[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in toxic]
+    assert auc(held) > 0.8
+    assert sum(p >= 0.3 for p, y in held if not y) <= 0.03 * len(held)
+
+
+@pytest.mark.parametrize("milder, stronger", [
+    ("that is not an idiot", "that is an idiot"), ("she said the man is an idiot", "the man is an idiot"),
+    ("the word \"idiot\" is old", "the word idiot is old"), ("an idiot is here", "you are an idiot"),
+    ("not now. an idiot", "not now. you idiot")])
+def test_clauses(milder, stronger):
+    reader = toxicity.Lexicon({})
+    score = lambda t: reader.features(t)[1]
+    assert 0 < score(milder) < score(stronger)
+
+
+def test_threats_need_a_target():
+    reader = toxicity.Lexicon({})
+    assert reader.features("i will kill you")[1] == toxicity.THREAT
+    assert reader.features("i will kill time")[1] == 0
+    assert reader.features("i will kill. you see")[1] == 0
+
+
+def test_composition_is_the_product_of_the_parts():
+    parts = [toxicity._negation, toxicity._report, toxicity._target, toxicity._threat]
+    rng = random.Random(1)
+    for _ in range(200):
+        states, state = [0, (0, 0), 0, 0], toxicity.START
+        for _ in range(12):
+            name = rng.choice(toxicity.ALPHABET)
+            moves = [p(s, name) for p, s in zip(parts, states)]
+            states = [m[0] for m in moves]
+            want = 1.0
+            for m in moves:
+                want *= m[1]
+            state, factor, added = toxicity.GRAMMAR[state, name]
+            assert state == tuple(states) and factor == pytest.approx(want) and added == sum(m[2] for m in moves)
+
+
+def test_awkward_rows(spark):
+    docs = documents(spark, clash=True)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 1, 1), (2, 1, None), (3, 1, 0), (3, 1, 0), (77, 0, 1), (6, 0, 5)], LABELS).withColumn("text", F.lit("clash"))
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert not any(r["predicted"] for r in got)
+    none = labels.limit(0)
+    assert toxicity.score_documents(documents(spark, []), none).count() == 0
+    rude = documents(spark, [(1, "you are a stupid worthless idiot", "en", "a", 1), (2, "", "en", "a", 0), (3, None, None, None, None)])
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(rude, none).collect()} == {1: 1, 2: 0, 3: 0}
+    assert sorted(r["doc_id"] for r in toxicity.drop_toxic(rude, none).collect()) == [2, 3]
