@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardtrail.llm.common import Scratch, map_batches
+from cardtrail.llm.common import Scratch, map_batches, slices
 
 WIDTH = 5
 K = 64
@@ -56,7 +56,7 @@ def shingle_set(text: str | None) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     if len(words) < WIDTH:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64).view(np.int64)
-    if len(_WORD_HASHES) > 500_000:
+    if len(_WORD_HASHES) > 200_000:
         _WORD_HASHES.clear()
     known = _WORD_HASHES
     hashes = list(map(known.get, words))
@@ -82,14 +82,17 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                s = shingle_set(text)
-                mark = xxhash.xxh3_128_intdigest(s.tobytes())
-                rows.append((len(s), (mark >> 64) - (1 << 63), (mark & (1 << 64) - 1) - (1 << 63), s[:K]))
-            out = pd.DataFrame(rows, columns=["n_shingles", "print_a", "print_b", "sketch"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield out
+            texts = [t or "" for t in pdf["text"]]
+            for a, b in slices(texts):
+                rows = []
+                for text in texts[a:b]:
+                    s = shingle_set(text)
+                    mark = xxhash.xxh3_128_intdigest(s.tobytes())
+                    # a copy: a view would keep the whole set
+                    rows.append((len(s), (mark >> 64) - (1 << 63), (mark & (1 << 64) - 1) - (1 << 63), s[:K].copy()))
+                out = pd.DataFrame(rows, columns=["n_shingles", "print_a", "print_b", "sketch"])
+                out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].astype("Int64").to_numpy())
+                yield out
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, print_a long, print_b long, sketch array<long>")
 
@@ -225,7 +228,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def full_sets(batches):
         for pdf in batches:
-            yield pd.DataFrame({"class_id": pdf["doc_id"], "shingles": [shingle_set(t).tobytes() for t in pdf["text"]]})
+            texts = [t or "" for t in pdf["text"]]
+            for a, b in slices(texts):
+                yield pd.DataFrame({"class_id": pdf["doc_id"].iloc[a:b], "shingles": [shingle_set(t).tobytes() for t in texts[a:b]]})
 
     wanted = members.select(F.col("class_id").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
