@@ -41,7 +41,7 @@ def _sf(path: str) -> float | str:
 
 
 def main() -> None:
-    from cardtrail.queries import BENCH_EXTRA, QUERIES
+    from cardtrail.queries import QUERIES
     from cardtrail.session import build_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -50,10 +50,9 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     spark = build_session(f"local[{cpus}]", app="cardtrail-bench", shuffle_partitions=cpus,
                           extra={"spark.driver.memory": "8g"})
-    table = {**QUERIES, **BENCH_EXTRA}
     timings: dict[str, float] = {}
     for name in names:
-        q = table[name]
+        q = QUERIES[name]
 
         def once() -> float:
             t0 = time.perf_counter()

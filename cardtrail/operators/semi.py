@@ -45,13 +45,18 @@ def semi_join(df: DataFrame, cards: DataFrame, on: str,
 
 
 def legs_extract(df: DataFrame, cards: DataFrame, legs: Sequence[str],
-                 known_rows: int | None = None, method: str = "explode") -> DataFrame:
+                 known_rows: int | None = None, method: str = "auto") -> DataFrame:
     """Bag union of one semi join per leg: a row matching k legs appears k times.
 
-    ``method="explode"`` scans ``df`` once: each row is repeated once per leg
-    value, then one semi join keeps the listed ones. ``method="union"`` is the
-    literal ``UNION ALL`` of one semi join per leg (one scan per leg).
+    ``method="explode"`` scans ``df`` once: each row is repeated once per non-null
+    leg value, then one semi join keeps the listed ones. ``method="union"`` is the
+    literal ``UNION ALL`` of one semi join per leg (one scan per leg): its keys are
+    columns of the scan, so that runtime filters made from the list can reach it
+    before the shuffle. ``"auto"`` explodes under the broadcast bound, where nothing
+    is shuffled, and unites beyond it, as it must for a list of unknown size.
     """
+    if method == "auto":
+        method = "explode" if _broadcastable(cards, known_rows) or df.isStreaming else "union"
     if method == "union":
         out = None
         for leg in legs:
@@ -62,7 +67,8 @@ def legs_extract(df: DataFrame, cards: DataFrame, legs: Sequence[str],
         raise ValueError(f"unknown method {method!r}")
     keys = card_keys(cards, known_rows)
     cols = df.columns
-    rep = df.select("*", F.explode(F.array(*[F.col(c) for c in legs])).alias(_LEG))
+    values = F.filter(F.array(*[F.col(c) for c in legs]), lambda v: v.isNotNull())
+    rep = df.select("*", F.explode(values).alias(_LEG))
     return rep.join(keys, F.col(_LEG) == F.col(_KEY), "left_semi").select(*cols)
 
 
@@ -78,9 +84,11 @@ def touching(df: DataFrame, cards: DataFrame, cols: Sequence[str],
 
     A list of checked small size is broadcast and the test is a chain of hash
     existence joins over one scan. Otherwise the rows are split into disjoint
-    legs: listed by ``c1``; else (anti join) listed by ``c2``; and so on. Those
-    are semi and anti joins, whose hot keys AQE can split across tasks (it
-    cannot split an existence join), so a hub account does not stall one task.
+    legs: listed by ``c1``; listed by ``c2`` but not by ``c1``; and so on. Each leg
+    is a semi join of a scan first (one shuffle of the history, less what runtime
+    filters drop) and anti joins of its few matches after. AQE can split the hot
+    keys of semi and anti joins across tasks (it cannot split an existence join),
+    so a hub account does not stall one task.
     """
     if _broadcastable(cards, known_rows):
         keys = card_keys(cards, known_rows)
@@ -88,12 +96,13 @@ def touching(df: DataFrame, cards: DataFrame, cols: Sequence[str],
         for c in cols:
             cond = cond | F.col(c).isin(keys)
         return df.filter(cond)
-    out, rest = None, df
-    for c in cols:
+    out = None
+    for i, c in enumerate(cols):
         keys = card_keys(cards, None)
-        hit = rest.join(keys, F.col(c) == F.col(_KEY), "left_semi")
+        hit = df.join(keys, F.col(c) == F.col(_KEY), "left_semi")
+        for earlier in cols[:i]:
+            hit = hit.join(keys, F.col(earlier) == F.col(_KEY), "left_anti")
         out = hit if out is None else out.unionAll(hit)
-        rest = rest.join(keys, F.col(c) == F.col(_KEY), "left_anti")
     return out
 
 

@@ -136,12 +136,12 @@ def _fix_sizes(graph: list[str] | None = None) -> str:
         recursive=True)
 
 
-def _every_round(kind: str) -> str:
+def _every_round(kind: str, cards: str = CARDS_CTE) -> str:
     """Rows of each round 1..4 of the closed all-rows trace, with ``round``."""
     rows = f"rows AS ({_traced(CLOSED)})"
     member = ("m AS (SELECT card, 1 AS round FROM cards UNION "
               "SELECT card, d + 1 AS round FROM r WHERE d <= 3)")
-    ctes = [TX, CARDS_CTE, *_graph(CLOSED, OUT, IN, False), _depth(4), _bounded_sizes(4), rows,
+    ctes = [TX, cards, *_graph(CLOSED, OUT, IN, False), _depth(4), _bounded_sizes(4), rows,
             member]
     cols = f"{TRACED}, {OUT}, {IN}"
     if kind == "pri":
@@ -198,6 +198,8 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT * FROM tx WHERE ({CLOSED}) OR (pdate >= '{b0}' AND pdate <= '{e0}')")),
         "nonblank_ends": _with(TX, body=f"SELECT * FROM tx WHERE {CLOSED} AND {NONBLANK}"),
         "success_only": _with(TX, body=(
+            f"SELECT * FROM tx WHERE {CLOSED} AND {SUCCESS}")),
+        "success_nonblank": _with(TX, body=(
             f"SELECT * FROM tx WHERE {CLOSED} AND {NONBLANK} AND {SUCCESS}")),
         "transfers_only": _with(TX, body=f"SELECT * FROM tx WHERE {CLOSED} AND trans_id = 'S33'"),
         "nonblank_untrimmed": _with(TX, body=(
@@ -299,6 +301,38 @@ def oracle_sql() -> dict[str, str]:
         "trace_segment_2_rounds": _with(TX, SEGMENT_CTE, *g_half, _depth(2), _bounded_sizes(2),
                                         body="SELECT card FROM r WHERE d = (SELECT last FROM stop)",
                                         recursive=True),
+        "trace_segment_fixpoint": _with(TX, SEGMENT_CTE, *g_closed_nb, FIX, body="SELECT card FROM f",
+                                        recursive=True),
+        "trace_segment_rounds_transfer": _every_round("touch", SEGMENT_CTE),
+        "trace_closed_fixpoint_full": _with(TX, CARDS_CTE, *g_closed_nb, FIX,
+                                            body="SELECT card FROM f", recursive=True),
+        "trace_early_stop": _with(TX, (
+            f"e AS (SELECT DISTINCT trim({OUT}) AS s, trim({IN}) AS d FROM tx WHERE {CLOSED} AND {NONBLANK})"),
+            "ends AS (SELECT card FROM (SELECT s AS card FROM e UNION ALL SELECT d FROM e) t "
+            "GROUP BY card HAVING count(*) = 1)",
+            "seed AS (SELECT min(s) AS s FROM e WHERE s IN (SELECT card FROM ends) AND d IN (SELECT card FROM ends))",
+            body="SELECT s AS card FROM e WHERE s = (SELECT s FROM seed) "
+                 "UNION ALL SELECT d AS card FROM e WHERE s = (SELECT s FROM seed)"),
+        "pair_amount_decimal": _with(*TWO, body=(
+            f"SELECT {IN}, {OUT}, CAST(c // 100 AS VARCHAR) || CASE WHEN c % 100 = 0 THEN '' "
+            "ELSE '.' || rtrim(lpad(CAST(c % 100 AS VARCHAR), 2, '0'), '0') END AS amount "
+            f"FROM (SELECT {IN}, {OUT}, CAST(SUM(CAST(trans_at AS BIGINT)) AS BIGINT) AS c "
+            f"FROM ext WHERE trans_id = 'S33' GROUP BY {IN}, {OUT}) t")),
+        "pair_amount_unreadable": _with(*TWO, body=(
+            "SELECT count(*) FILTER (WHERE CAST(trans_at AS BIGINT) % 100 <> 0) AS n_unreadable FROM ext "
+            "WHERE trans_id = 'S33'")),
+        "insert_overwrite": _with(TX, body=(
+            f"SELECT {PRI} AS card, trans_id AS kind, trans_at AS amount, pdate AS day FROM tx "
+            f"WHERE {CLOSED} AND {SUCCESS}")),
+        "delimited_roundtrip": _with(*TWO, body=_pairs("ext", "trans_id = 'S33'")),
+        "create_if_absent": _with(TX, body=(
+            f"SELECT {PRI}, {OUT}, {IN}, CAST(NULL AS VARCHAR) AS extra_255, 256 AS n_columns FROM tx "
+            f"WHERE {CLOSED} AND trans_id = 'S33'")),
+        "drop_and_recreate": f"WITH {SEGMENT_CTE} SELECT card FROM cards",
+        "text_seeds": f"WITH {SEGMENT_CTE} SELECT card FROM cards",
+        "appended_cards": (f"WITH {SEGMENT_CTE} SELECT card FROM cards UNION ALL "
+                           "SELECT 'A' || CAST(c_custkey AS VARCHAR) AS card FROM customer"),
+        "rows_round1_readback": _with(*TWO, body="SELECT * FROM r1"),
         "trace_rounds_consume": _every_round("pri"),
         "trace_rounds_transfer": _every_round("touch"),
     }

@@ -33,8 +33,7 @@ Plan, built for a history far larger than any frontier:
   few files instead of the whole adjacency.
 * The probe is broadcast when its exact row count (known from the previous
   round) is under the session's bound; otherwise the join is shuffled and AQE
-  splits hot adjacency partitions. The adjacency is never hash-partitioned by
-  card, so a hub account does not land in one task.
+  splits hot adjacency partitions, so a hub account does not land in one task.
 * Each round appends the cards it reached first to a ``round``-partitioned
   Parquet table in the checkpoint folder: that cuts the lineage every round,
   survives lost executors, and gives ``S(r)`` as ``round <= r``. The only
@@ -73,7 +72,8 @@ def adjacency(rows: DataFrame, src: str, dest: str) -> DataFrame:
 
 
 _BUCKET = "bucket"
-_SALTS = 4
+#: Rows of a file of the bucketed adjacency.
+_BUCKET_ROWS = 2_000_000
 
 
 def bucket_of(card, buckets: int):
@@ -229,24 +229,6 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
     if n_list == 0 or (max_rounds is not None and max_rounds <= 0):
         return result
 
-    adj_path = f"{base}/adjacency"
-    adj_rows = write_counted(adjacency(rows, src, dest), adj_path)
-    buckets = _bucket_plan(spark, adj_rows)
-    cached = buckets is None
-    if cached:
-        adj = spark.read.parquet(adj_path).persist(StorageLevel.MEMORY_AND_DISK)
-    else:
-        # One pass over the adjacency (not the history). A salt from ``b``
-        # spreads a hub's bucket over several files and tasks.
-        bucketed_path = f"{base}/adjacency-buckets"
-        salt = F.pmod(F.xxhash64(F.col(_B)), F.lit(_SALTS))
-        (spark.read.parquet(adj_path).withColumn(_BUCKET, bucket_of(_A, buckets))
-         .repartition(buckets * _SALTS, F.col(_BUCKET), salt)
-         .write.partitionBy(_BUCKET).parquet(bucketed_path))
-        delete_path(spark, adj_path)
-        adj_path = bucketed_path
-        adj = spark.read.parquet(adj_path)
-
     def frontier() -> DataFrame:
         # One listing of the frontier folder per round; probe and known sets
         # are partition-pruned views of it.
@@ -256,7 +238,25 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
         fr = frontier() if fr is None else fr
         return fr.filter(F.col(_ROUND) <= upto).select(CARD)
 
+    adj_path, bucketed_path = f"{base}/adjacency", f"{base}/adjacency-buckets"
+    cached, r = None, 0
     try:
+        adj_rows = write_counted(adjacency(rows, src, dest), adj_path)
+        buckets = _bucket_plan(spark, adj_rows)
+        if buckets is None:
+            adj = cached = spark.read.parquet(adj_path).persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            # One pass over the adjacency (not the history). Rows of a bucket are dealt
+            # to as many files as its measured size asks for: a hub's bucket to many.
+            flat = spark.read.parquet(adj_path).withColumn(_BUCKET, bucket_of(_A, buckets))
+            sizes_of = flat.groupBy(_BUCKET).agg(F.ceil(F.count("*") / _BUCKET_ROWS).alias("__files"))
+            # at most ``buckets`` rows of two numbers, and ``buckets`` is bounded
+            (flat.join(F.broadcast(sizes_of), _BUCKET)
+             .withColumn("__salt", F.pmod(F.xxhash64(F.col(_B)), F.col("__files")))
+             .repartition(max(buckets, adj_rows // _BUCKET_ROWS), F.col(_BUCKET), F.col("__salt")).drop("__files", "__salt")
+             .write.partitionBy(_BUCKET).parquet(bucketed_path))
+            delete_path(spark, adj_path)
+            adj = spark.read.parquet(bucketed_path)
         # Round 1 probes the seeds.
         s1 = expand(adj, seed_set, n_seed_set, buckets)
         n1 = write_counted(s1, f"{frontier_path}/{_ROUND}=1")
@@ -294,9 +294,10 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
     finally:
         # The adjacency can be as large as the window's transfers; nothing
         # reads it after the loop.
-        if cached:
-            adj.unpersist()
+        if cached is not None:
+            cached.unpersist()
         delete_path(spark, adj_path)
+        delete_path(spark, bucketed_path)
     result.rounds = r
     return result
 
@@ -337,6 +338,12 @@ def rows_per_round(rows: DataFrame, result: TraceResult, cols) -> DataFrame:
     how = "inner" if len(cols) == 1 else "left"
     j = rows
     firsts, seeds_hit = [], []
+    if not small and len(cols) > 1:
+        # Beyond the bound: first the rows that some round matched (semi joins, which
+        # runtime filters can reach), then look their first rounds up.
+        matched = lk.filter(F.col("is_seed") | (F.col("first_round") <= R - 1)).select(CARD)
+        rows = semi.touching(rows, matched, cols)
+        j = rows
     for k, c in enumerate(cols):
         side = lk.select(F.col(CARD).alias(f"__k{k}"), F.col("first_round").alias(f"__f{k}"),
                          F.col("is_seed").alias(f"__s{k}"))

@@ -9,18 +9,22 @@ window 19970101 to 19970331. Every query scans the whole view (all of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
 from .constants import CARD, IN_COL, OUT_COL, PRI_COL, TRACED_COLUMNS
 from .functions import predicates as P
 from .functions.digest import card_digest, card_message
 from .functions.text import row_text
 from .operators import semi, sets, summary
 from .plans import closure, two_round
-from .sources.cards import cards_from_list
+from .session import scratch_path
+from .sources.cards import append_cards, cards_from_list, cards_from_text
+from .sources.history import history_schema
 from .sources.testdata import transaction_view
 
 # Query parameters of the fixtures.
@@ -92,6 +96,10 @@ def nonblank_ends(spark, sf_dir):
 
 
 def success_only(spark, sf_dir):
+    return _closed(spark, sf_dir).filter(P.successful())
+
+
+def success_nonblank(spark, sf_dir):
     return _closed(spark, sf_dir).filter(P.nonblank(IN_COL, OUT_COL) & P.successful())
 
 
@@ -157,11 +165,29 @@ def two_leg_expand(spark, sf_dir):
 # ---- aggregations and sets ---------------------------------------------------
 
 def pair_amount_round0(spark, sf_dir):
-    return two_round.run(_closed(spark, sf_dir), _cards(spark), len(CARDS)).round0_pairs
+    return two_round.run(_closed(spark, sf_dir), _cards(spark), len(CARDS), amount_type="bigint").round0_pairs
 
 
 def pair_amount_round1(spark, sf_dir):
-    return two_round.run(_closed(spark, sf_dir), _cards(spark), len(CARDS)).round1_pairs
+    return two_round.run(_closed(spark, sf_dir), _cards(spark), len(CARDS), amount_type="bigint").round1_pairs
+
+
+def _in_cents(rows: DataFrame) -> DataFrame:
+    """The same rows with amounts as decimal text, in units of a hundred."""
+    units = F.col("trans_at").cast("decimal(28,0)") / F.lit(100).cast("decimal(3,0)")
+    return rows.withColumn("trans_at", units.cast("decimal(28,2)").cast("string"))
+
+
+def pair_amount_decimal(spark, sf_dir):
+    """Round-0 pair amounts over amounts with decimals, summed exactly, as text."""
+    pairs = two_round.run(_in_cents(_closed(spark, sf_dir)), _cards(spark), len(CARDS)).round0_pairs
+    return pairs.withColumn("amount", summary.plain_amount("amount"))
+
+
+def pair_amount_unreadable(spark, sf_dir):
+    """How many decimal amounts of the extract don't fit whole numbers."""
+    ext = two_round.run(_in_cents(_closed(spark, sf_dir)), _cards(spark), len(CARDS), amount_type="bigint")
+    return ext.round0_unreadable
 
 
 def transfer_cards_bag(spark, sf_dir):
@@ -311,7 +337,7 @@ def trace_history_transfers(spark, sf_dir):
 def pair_amount_round0_set(spark, sf_dir):
     """Round-0 pair amounts with each matched row counted once."""
     return two_round.run(_closed(spark, sf_dir), _cards(spark), len(CARDS),
-                         semantics="set").round0_pairs
+                         semantics="set", amount_type="bigint").round0_pairs
 
 
 def _segment_cards(spark, sf_dir) -> DataFrame:
@@ -333,6 +359,112 @@ def extract_segment_cards(spark, sf_dir):
     return two_round.round0_extract(_closed(spark, sf_dir), _segment_cards(spark, sf_dir))
 
 
+def trace_segment_fixpoint(spark, sf_dir):
+    """The whole segment's cards, blank ends dropped, to the fixed point."""
+    r = closure.preset_edges(_view(spark, sf_dir), _segment_cards(spark, sf_dir), BEGIN, END, max_rounds=None)
+    return r.result.cards()
+
+
+def trace_segment_rounds_transfer(spark, sf_dir):
+    """Every round's touching rows from the whole segment's cards."""
+    return closure.preset_every_round(_view(spark, sf_dir), _segment_cards(spark, sf_dir), BEGIN, END).transfers
+
+
+def _equal_count_seeds(spark, sf_dir) -> DataFrame:
+    """As many cards as the first round reaches from one edge's two ends: the count
+    stop ends the trace after round 1 although the sets differ."""
+    edges = summary.edge_list(_closed(spark, sf_dir).filter(P.nonblank(OUT_COL, IN_COL)), OUT_COL, IN_COL)
+    bag = sets.endpoint_bag(edges, [OUT_COL, IN_COL])
+    once = bag.groupBy(CARD).count().filter("count = 1")
+    lonely = (edges.join(once.withColumnRenamed(CARD, "__o"), F.col(OUT_COL) == F.col("__o"), "left_semi")
+              .join(once.withColumnRenamed(CARD, "__i"), F.col(IN_COL) == F.col("__i"), "left_semi"))
+    first = lonely.agg(F.min(OUT_COL).alias(CARD))
+    return first.unionAll(first.select(F.lit("no such card").alias(CARD)))
+
+
+def trace_early_stop(spark, sf_dir):
+    """A trace that the count stop ends in round 1."""
+    return closure.preset_edges(_view(spark, sf_dir), _equal_count_seeds(spark, sf_dir), BEGIN, END,
+                                max_rounds=None).result.cards()
+
+
+# ---- stored tables and files ---------------------------------------------------
+
+def _table_name(kind: str) -> str:
+    return f"ct_{kind}_{uuid.uuid4().hex}"
+
+
+def insert_overwrite(spark, sf_dir):
+    """K1: consumption rows of the cards replace, by position, what a delimited
+    table held; its columns and format stay."""
+    name = _table_name("k1")
+    columns = ["card", "kind", "amount", "day"]
+    spark.sql(f"CREATE TABLE {name} ({', '.join(c + ' STRING' for c in columns)}) USING csv OPTIONS (sep '\t')")
+    rows = _closed(spark, sf_dir)
+    sinks.save_table(rows.filter(P.is_transfer()).select(PRI_COL, "trans_id", "trans_at", "pdate"), name)
+    sinks.save_table(rows.filter(P.successful()).select(PRI_COL, "trans_id", "trans_at", "pdate"), name)
+    return spark.table(name)
+
+
+def delimited_roundtrip(spark, sf_dir):
+    """K5, K7: the round-0 pair amounts through an unquoted tab-delimited file."""
+    path = scratch_path(spark, "tabs")
+    pairs = pair_amount_round0(spark, sf_dir)
+    sinks.write_delimited(pairs, path)
+    back = sinks.read_delimited(spark, path, pairs.columns)
+    return back.withColumn("amount", F.col("amount").cast("bigint"))
+
+
+WIDE = 256
+
+
+def create_if_absent(spark, sf_dir):
+    """K4: a table of 256 string columns, created once, filled with the touching rows;
+    the columns that they don't have stay null. Reads back four columns and the width."""
+    name = _table_name("k4")
+    rows = _closed(spark, sf_dir).filter(P.is_transfer())
+    names = rows.columns + [f"extra_{i}" for i in range(len(rows.columns), WIDE)]
+    sinks.ensure_table(spark, name, history_schema(names))
+    if sinks.ensure_table(spark, name, history_schema(names[:1])):
+        raise AssertionError("the table was created twice")
+    full = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names])
+    sinks.save_table(full, name)
+    table = spark.table(name)
+    return table.select(PRI_COL, OUT_COL, IN_COL, f"extra_{WIDE - 1}", F.lit(len(table.columns)).alias("n_columns"))
+
+
+def drop_and_recreate(spark, sf_dir):
+    """K6: a dropped table is gone; a new one of the name holds only its own rows."""
+    name = _table_name("k6")
+    sinks.save_table(_customer_cards(spark, sf_dir), name)
+    sinks.drop_table(spark, name)
+    sinks.drop_table(spark, name)
+    sinks.ensure_table(spark, name, history_schema([CARD]))
+    sinks.save_table(_segment_cards(spark, sf_dir), name, overwrite=False)
+    return spark.table(name)
+
+
+def text_seeds(spark, sf_dir):
+    """S2: a card list through a text file, one card a line."""
+    path = scratch_path(spark, "seeds")
+    _segment_cards(spark, sf_dir).write.text(path)
+    return cards_from_text(spark, path)
+
+
+def appended_cards(spark, sf_dir):
+    """S3: a card list appended to a stored one."""
+    path = scratch_path(spark, "listed")
+    append_cards(_segment_cards(spark, sf_dir), path)
+    append_cards(_customer_cards(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+def rows_round1_readback(spark, sf_dir):
+    """S6: the round-1 rows written once and read back, as the two-rounds job does."""
+    t = two_round.run(_closed(spark, sf_dir), _cards(spark), len(CARDS), rows_path=scratch_path(spark, "rows1"))
+    return t.round1_rows
+
+
 def trace_segment_2_rounds(spark, sf_dir):
     return closure.preset_two_rounds(_view(spark, sf_dir), _segment_cards(spark, sf_dir),
                                      BEGIN, END).cards()
@@ -346,6 +478,7 @@ QUERIES: dict[str, Query] = {
     "date_multi_range": date_multi_range,
     "nonblank_ends": nonblank_ends,
     "success_only": success_only,
+    "success_nonblank": success_nonblank,
     "transfers_only": transfers_only,
     "nonblank_untrimmed": nonblank_untrimmed,
     "consumption_of_cards": consumption_of_cards,
@@ -391,6 +524,18 @@ QUERIES: dict[str, Query] = {
     "touching_segment_cards": touching_segment_cards,
     "extract_segment_cards": extract_segment_cards,
     "trace_segment_2_rounds": trace_segment_2_rounds,
+    "trace_segment_fixpoint": trace_segment_fixpoint,
+    "trace_segment_rounds_transfer": trace_segment_rounds_transfer,
+    "trace_early_stop": trace_early_stop,
+    "pair_amount_decimal": pair_amount_decimal,
+    "pair_amount_unreadable": pair_amount_unreadable,
+    "insert_overwrite": insert_overwrite,
+    "delimited_roundtrip": delimited_roundtrip,
+    "create_if_absent": create_if_absent,
+    "drop_and_recreate": drop_and_recreate,
+    "text_seeds": text_seeds,
+    "appended_cards": appended_cards,
+    "rows_round1_readback": rows_round1_readback,
 }
 
 
@@ -401,7 +546,4 @@ def trace_closed_fixpoint_full(spark, sf_dir):
     return r.result.cards()
 
 
-# Bench-only variants (same results as a registered query, another plan).
-BENCH_EXTRA: dict[str, Query] = {
-    "trace_closed_fixpoint_full": trace_closed_fixpoint_full,
-}
+QUERIES["trace_closed_fixpoint_full"] = trace_closed_fixpoint_full

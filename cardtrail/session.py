@@ -3,7 +3,6 @@ and the size bound under which a side may be broadcast."""
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -114,8 +113,3 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
     return bool(fs.delete(p, True))
-
-
-def local_scratch() -> str:
-    """A fresh local folder, for tests only."""
-    return tempfile.mkdtemp(prefix="cardtrail-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -25,9 +25,14 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     w.save(path)
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
-    """Into the session catalog."""
-    df.write.mode(mode).saveAsTable(name)
+def save_table(df: DataFrame, name: str, overwrite: bool = True) -> None:
+    """``INSERT OVERWRITE`` (or ``INSERT INTO``) a catalog table. An existing table
+    keeps its columns, format and partitions, and takes the columns of ``df`` by
+    position; one that doesn't exist is created from ``df``."""
+    if df.sparkSession.catalog.tableExists(name):
+        df.write.insertInto(name, overwrite=overwrite)
+    else:
+        df.write.saveAsTable(name)
 
 
 def write_row_text(df: DataFrame, path: str, columns: list[str] | None = None,
@@ -39,9 +44,22 @@ def write_row_text(df: DataFrame, path: str, columns: list[str] | None = None,
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "overwrite",
                     null_value: str = "\\N") -> None:
-    """A delimited text table (Hive's default null marker ``\\N``)."""
-    (df.write.mode(mode).option("sep", sep).option("nullValue", null_value)
-       .option("emptyValue", "").csv(path))
+    """A delimited text table as Hive reads it: no quotes, null as ``\\N``. Such a
+    file can't hold a value with the separator or a line break in it (or the text
+    of the null marker): the write fails on one rather than shift columns."""
+    def cell(c):
+        text = F.col(f"`{c}`").cast("string")
+        wrong = text.contains(sep) | text.contains("\n") | text.contains("\r") | (text == null_value)
+        return F.when(wrong, F.raise_error(F.concat(F.lit(f"column {c} can't be written delimited: "), text))
+                      ).otherwise(F.coalesce(text, F.lit(null_value)))
+    df.select(F.concat_ws(sep, *[cell(c) for c in df.columns]).alias("value")).write.mode(mode).text(path)
+
+
+def read_delimited(spark, path: str, names: list[str], sep: str = "\t", null_value: str = "\\N") -> DataFrame:
+    """A table that ``write_delimited`` wrote, all columns strings."""
+    parts = F.split("value", f"\\Q{sep}\\E", -1)
+    cell = lambda i: F.when(parts[i] != null_value, parts[i])
+    return spark.read.text(path).select(*[cell(i).alias(n) for i, n in enumerate(names)])
 
 
 def write_rounds(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:

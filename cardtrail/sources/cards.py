@@ -26,13 +26,12 @@ def cards_from_list(spark: SparkSession, cards: Iterable[str]) -> DataFrame:
 
 
 def cards_from_arg(spark: SparkSession, arg: str, sep: str = ",") -> DataFrame:
-    """Seeds given as one separated string (``a,b,c``)."""
-    return cards_from_list(spark, arg.split(sep)) if arg else cards_from_list(spark, [])
-
-
-def cards_of(df: DataFrame, column: str) -> DataFrame:
-    """A column of another DataFrame as a card list."""
-    return df.select(F.col(column).alias(CARD))
+    """Seeds given as one separated string (``a,b,c``). Empty parts at the end are
+    dropped, those between stay (``a,,b,`` is ``a``, an empty card, ``b``)."""
+    parts = arg.split(sep)
+    while parts and not parts[-1]:
+        parts.pop()
+    return cards_from_list(spark, parts)
 
 
 def append_cards(cards: DataFrame, path: str, fmt: str = "parquet") -> None:

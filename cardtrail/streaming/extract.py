@@ -3,9 +3,11 @@
 The history grows by whole days; instead of re-running the extract over the
 window, new files are read as a stream and joined (stream-static left semi
 join) with the card list, appending their listed rows to the extract table.
-The card list is static for the run. Progress is kept in a checkpoint under
-the shared checkpoint folder, so a restarted or failed run resumes where it
-stopped without duplicating rows.
+The card list is static for the run. Progress is kept in a checkpoint beside
+the rows, ``_checkpoint`` in the sink's folder unless another is named, so a
+restarted or failed run on the same sink resumes where it stopped without
+duplicating or losing rows. (The sink numbers its batches per output folder;
+progress kept anywhere else must be kept as long as the sink.)
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..constants import IN_COL, OUT_COL, PRI_COL
 from ..functions import predicates as P
 from ..operators import semi
-from ..session import scratch_path
 
 
 def extract_stream(spark: SparkSession, source: str, schema: T.StructType, cards: DataFrame,
@@ -32,6 +33,6 @@ def extract_stream(spark: SparkSession, source: str, schema: T.StructType, cards
     rows = semi.legs_extract(stream, cards, [IN_COL, OUT_COL, PRI_COL], known_rows)
     w = (rows.writeStream.format("parquet").outputMode("append")
          .option("path", sink)
-         .option("checkpointLocation", checkpoint or scratch_path(spark, "extract-stream")))
+         .option("checkpointLocation", checkpoint or f"{sink.rstrip('/')}/_checkpoint"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -44,7 +44,7 @@ def test_sinks_roundtrip(spark):
     assert lines == ["[a,null]", "[b,x]"]
     sinks.write_delimited(df.select("c", "d"), f"{tmp}/tsv")
     raw = "".join(open(os.path.join(f"{tmp}/tsv", f)).read()
-                  for f in os.listdir(f"{tmp}/tsv") if f.endswith(".csv"))
+                  for f in os.listdir(f"{tmp}/tsv") if f.endswith(".txt"))
     assert sorted(raw.split("\n")[:-1]) == ["a\t\\N", "b\tx"]
     sinks.write_rounds(df, f"{tmp}/rounds")
     assert {d for d in os.listdir(f"{tmp}/rounds") if d.startswith("round=")} == \
@@ -63,8 +63,15 @@ def test_jobs(spark):
     history.write.parquet(f"{tmp}/hist")
     args = jobs.SearchArgs.parse([BEGIN, END, f"{tmp}/hist", "tfr_out_acct_no",
                                   "tfr_in_acct_no", ",".join(CARDS)])
-    res = jobs.anti_search(spark, args, fmt="parquet")
-    assert res.sizes == [10, 17, 25, 31, 34, 36, 37, 39, 40, 40]
+    res = jobs.parametric_trace(spark, args, fmt="parquet")
+    assert res == [10, 17, 25, 31, 34, 36, 37, 39, 40, 40]
+    res = jobs.parametric_trace(spark, args, out=f"{tmp}/trace", fmt="parquet")
+    assert spark.read.parquet(f"{tmp}/trace/cards").count() == 40
+    res = jobs.two_round_trace_job(history, seeds, BEGIN, END, f"{tmp}/trace2")
+    assert res == [10, 25, 54] and spark.read.parquet(f"{tmp}/trace2/cards").count() == 54
+    jobs.transfer_cards_job(spark.read.parquet(f"{tmp}/two/extract"), f"{tmp}/transfer-cards")
+    assert spark.read.parquet(f"{tmp}/transfer-cards").count() == 12
+    assert [r["n_unreadable"] for r in spark.read.parquet(f"{tmp}/two/unreadable").collect()] == [0, 0]
     res = jobs.every_round_job(history, seeds, BEGIN, END, f"{tmp}/every")
     assert spark.read.parquet(f"{tmp}/every/transfers").count() == 384
     res = jobs.edges_job(history, seeds, BEGIN, END, f"{tmp}/edges")
