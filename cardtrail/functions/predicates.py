@@ -42,11 +42,15 @@ def date_window(begin=None, end=None, end_inclusive: bool = True, col: str = DAT
 
 
 def date_ranges(ranges: Iterable[tuple], col: str = DATE_COL) -> Column:
-    """Union of closed ranges: ``(b1 <= pdate <= e1) or (b2 <= pdate <= e2) ...``."""
+    """Union of closed ranges: ``(b1 <= pdate <= e1) or (b2 <= pdate <= e2) ...``,
+    within the range from the first to the last, which can be pushed as it is."""
+    ranges = list(ranges)
+    if not ranges:
+        return F.lit(False)
     cond = F.lit(False)
     for b, e in ranges:
         cond = cond | date_closed(b, e, col)
-    return cond
+    return date_closed(min(b for b, _ in ranges), max(e for _, e in ranges), col) & cond
 
 
 def nonblank(*cols: str) -> Column:

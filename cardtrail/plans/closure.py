@@ -32,8 +32,9 @@ Plan, built for a history far larger than any frontier:
   probe reads only its buckets, so a late round with a few new cards reads a
   few files instead of the whole adjacency.
 * The probe is broadcast when its exact row count (known from the previous
-  round) is under the session's bound; otherwise the join is shuffled and AQE
-  splits hot adjacency partitions, so a hub account does not land in one task.
+  round) is under the session's bound. Beyond it the adjacency is laid out once
+  more, bucketed on ``a`` with the rows of hubs apart (``WideAdjacency``), and a
+  round shuffles only its probe.
 * Each round appends the cards it reached first to a ``round``-partitioned
   Parquet table in the checkpoint folder: that cuts the lineage every round,
   survives lost executors, and gives ``S(r)`` as ``round <= r``. The only
@@ -43,6 +44,7 @@ Plan, built for a history far larger than any frontier:
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -111,11 +113,58 @@ def _probe_keys(probe: DataFrame, probe_rows: int | None, buckets: int | None) -
     return keys
 
 
+class WideAdjacency:
+    """The adjacency laid out for probes too large to broadcast.
+
+    Written on first use: a catalog table bucketed on ``a``, so that a round's join
+    moves only the probe, and apart from it the rows of hubs, cards of more than
+    ``_BUCKET_ROWS`` rows. There are at most rows / ``_BUCKET_ROWS`` hubs, so the
+    probe's hubs are broadcast and their rows read by file, by any number of tasks.
+    """
+
+    def __init__(self, adj: DataFrame, path: str, buckets: int):
+        self.adj, self.path, self.buckets = adj, path, buckets
+        self.spark = adj.sparkSession
+        self.name = f"ct_adjacency_{uuid.uuid4().hex}"
+        self.written = False
+
+    def _write(self) -> None:
+        degrees = self.adj.groupBy(F.col(_A).alias("__hub")).count().filter(F.col("count") > _BUCKET_ROWS)
+        degrees.select("__hub").write.parquet(f"{self.path}/hubs")
+        self.hubs = self.spark.read.schema("__hub string").parquet(f"{self.path}/hubs")
+        is_hub = F.col(_A) == F.col("__hub")
+        self.adj.join(F.broadcast(self.hubs), is_hub, "left_semi").select(_A, _B).write.parquet(f"{self.path}/hub-rows")
+        (self.adj.join(F.broadcast(self.hubs), is_hub, "left_anti").select(_A, _B)
+         .repartition(self.buckets, _A).write.bucketBy(self.buckets, _A)
+         .option("path", f"{self.path}/rows").saveAsTable(self.name))
+        self.written = True
+
+    def endpoints(self, probe: DataFrame) -> DataFrame:
+        if not self.written:
+            self._write()
+        keys = probe.select(F.col(CARD).alias("__ct_card"))
+        hit = F.col(_A) == F.col("__ct_card")
+        plain = self.spark.table(self.name).join(keys, hit, "left_semi")
+        probed_hubs = keys.join(F.broadcast(self.hubs), F.col("__ct_card") == F.col("__hub"), "left_semi")
+        rows = self.spark.read.schema(f"{_A} string, {_B} string").parquet(f"{self.path}/hub-rows")
+        both = plain.unionAll(rows.join(F.broadcast(probed_hubs), hit, "left_semi"))
+        return both.select(F.explode(F.array(F.col(_A), F.col(_B))).alias(CARD))
+
+    def drop(self) -> None:
+        if self.written:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, self.path)
+
+
 def endpoints(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
-              buckets: int | None = None) -> DataFrame:
+              buckets: int | None = None, wide: WideAdjacency | None = None) -> DataFrame:
     """Endpoints (with repeats) of the adjacency rows whose ``a`` is in ``probe``.
     On a bucketed adjacency the join also matches buckets, which lets the
-    probe prune the adjacency's partitions."""
+    probe prune the adjacency's partitions. A probe beyond the broadcast bound
+    goes to the ``wide`` layout if there is one."""
+    small = probe_rows is not None and probe_rows <= broadcast_row_limit(probe.sparkSession)
+    if wide is not None and not small:
+        return wide.endpoints(probe)
     keys = _probe_keys(probe, probe_rows, buckets)
     cond = F.col(_A) == F.col("__ct_card")
     if buckets:
@@ -125,14 +174,15 @@ def endpoints(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
 
 
 def expand(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
-           buckets: int | None = None) -> DataFrame:
+           buckets: int | None = None, wide: WideAdjacency | None = None) -> DataFrame:
     """``N(probe)``: distinct endpoints of the adjacency rows whose ``a`` is in
     ``probe``."""
-    return endpoints(adj, probe, probe_rows, buckets).distinct()
+    return endpoints(adj, probe, probe_rows, buckets, wide).distinct()
 
 
 def new_cards(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
-              known: DataFrame, known_rows: int, buckets: int | None = None) -> DataFrame:
+              known: DataFrame, known_rows: int, buckets: int | None = None,
+              wide: WideAdjacency | None = None) -> DataFrame:
     """``N(probe) - known``, null-safe (a null end already known stays known).
 
     A known set of checked small size is broadcast to a null-safe anti join
@@ -142,9 +192,9 @@ def new_cards(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
     """
     if known_rows <= broadcast_row_limit(adj.sparkSession):
         k = F.broadcast(known.withColumnRenamed(CARD, "__known"))
-        return expand(adj, probe, probe_rows, buckets).join(
+        return expand(adj, probe, probe_rows, buckets, wide).join(
             k, F.col(CARD).eqNullSafe(F.col("__known")), "left_anti")
-    tagged = (endpoints(adj, probe, probe_rows, buckets).select(CARD, F.lit(1).alias("__t"))
+    tagged = (endpoints(adj, probe, probe_rows, buckets, wide).select(CARD, F.lit(1).alias("__t"))
               .unionAll(known.select(CARD, F.lit(0).alias("__t"))))
     return (tagged.groupBy(CARD).agg(F.min("__t").alias("__t"))
             .filter(F.col("__t") == 1).select(CARD))
@@ -239,7 +289,7 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
         return fr.filter(F.col(_ROUND) <= upto).select(CARD)
 
     adj_path, bucketed_path = f"{base}/adjacency", f"{base}/adjacency-buckets"
-    cached, r = None, 0
+    cached, wide, r = None, None, 0
     try:
         adj_rows = write_counted(adjacency(rows, src, dest), adj_path)
         buckets = _bucket_plan(spark, adj_rows)
@@ -257,8 +307,9 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
              .write.partitionBy(_BUCKET).parquet(bucketed_path))
             delete_path(spark, adj_path)
             adj = spark.read.parquet(bucketed_path)
+        wide = WideAdjacency(adj, f"{base}/adjacency-wide", max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         # Round 1 probes the seeds.
-        s1 = expand(adj, seed_set, n_seed_set, buckets)
+        s1 = expand(adj, seed_set, n_seed_set, buckets, wide)
         n1 = write_counted(s1, f"{frontier_path}/{_ROUND}=1")
         sizes.append(n1)
         r = 1
@@ -287,7 +338,7 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
                     probe_rows = sizes[r] - sizes[r - 1]
             else:
                 probe, probe_rows = reached(r, fr), sizes[r]
-            fresh = new_cards(adj, probe, probe_rows, reached(r, fr), sizes[r], buckets)
+            fresh = new_cards(adj, probe, probe_rows, reached(r, fr), sizes[r], buckets, wide)
             n_new = write_counted(fresh, f"{frontier_path}/{_ROUND}={r + 1}")
             sizes.append(sizes[r] + n_new)
             r += 1
@@ -296,6 +347,8 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
         # reads it after the loop.
         if cached is not None:
             cached.unpersist()
+        if wide is not None:
+            wide.drop()
         delete_path(spark, adj_path)
         delete_path(spark, bucketed_path)
     result.rounds = r
@@ -442,5 +495,5 @@ def preset_every_round(history, seeds, begin, end, src=OUT_COL, dest=IN_COL,
 
 
 __all__ = ["trace", "TraceResult", "adjacency", "expand", "touching_rows", "pri_rows",
-           "rows_per_round", "new_cards", "endpoints", "preset_fixpoint", "preset_two_rounds", "preset_edges",
+           "rows_per_round", "WideAdjacency", "new_cards", "endpoints", "preset_fixpoint", "preset_two_rounds", "preset_edges",
            "preset_all_rows", "preset_every_round"]

@@ -87,7 +87,7 @@ def date_closed(spark, sf_dir):
 
 
 def date_multi_range(spark, sf_dir):
-    return (transaction_view(spark, sf_dir)
+    return (_view(spark, sf_dir, BEGIN, SECOND_RANGE[1])
             .filter(P.date_ranges([(BEGIN, END), SECOND_RANGE])))
 
 

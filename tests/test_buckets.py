@@ -56,4 +56,37 @@ def test_probe_prunes_bucket_partitions(spark):
     out = closure.expand(spark.read.parquet(f"{tmp}/adj"), probe, 1, buckets=8)
     assert sorted(r["card"] for r in out.collect()) == ["c7", "c8"]
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruningexpression" in plan
+    # a pruning subquery, not the literal true that stands where pruning is off
+    assert "dynamicpruningexpression" in plan and "dynamicpruningexpression(true)" not in plan
+
+
+def test_wide_rounds_do_not_shuffle_the_adjacency(spark, monkeypatch):
+    monkeypatch.setattr(closure, "_BUCKET_ROWS", 50)
+    tmp = tempfile.mkdtemp(prefix="ct-wide-")
+    rows = [(f"c{i}", f"c{i + 1}") for i in range(300)] + [("hub", f"x{i}") for i in range(150)]
+    adj = closure.adjacency(spark.createDataFrame(rows, "s string, d string"), "s", "d")
+    wide = closure.WideAdjacency(adj, f"{tmp}/wide", 8)
+    probe = spark.createDataFrame([(f"c{i}",) for i in range(0, 300, 7)] + [("hub",), ("x3",)], "card string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = wide.endpoints(probe)
+        want = closure.endpoints(adj, probe, None)
+        assert sorted(r["card"] for r in got.collect()) == sorted(r["card"] for r in want.collect())
+        assert [r["__hub"] for r in wide.hubs.collect()] == ["hub"]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        final = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+        assert "Bucketed: true" in final and "hashpartitioning(a" not in final and "hashpartitioning(b" not in final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    wide.drop()
+    assert not spark.catalog.tableExists(wide.name)
+
+
+def test_trace_beyond_the_broadcast_bound_matches_fixture(spark):
+    spark.conf.set("cardtrail.broadcast.maxRows", "0")
+    try:
+        r = closure.preset_edges(transaction_view(spark, SF001, BEGIN, END), cards_from_list(spark, CARDS), BEGIN, END)
+        assert r.result.sizes == [10, 25, 55, 119, 200]
+    finally:
+        spark.conf.unset("cardtrail.broadcast.maxRows")
