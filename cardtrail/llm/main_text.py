@@ -45,6 +45,8 @@ BOILER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|"
     r"disqus|discussion|footer|gdpr|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|"
     r"promotion|related|replies|respond|share|sharing|sidebar|sitemap|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])")
+#: Names that say what stands beside a container, not what it is: has-sidebar, no-ads.
+LAYOUT_NAME = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|show|hide)[_-][\w-]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.S | re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
@@ -63,7 +65,7 @@ def _is_boiler(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in BOILER_ROLES:
             return True
-        if name in ("class", "id") and BOILER_NAME.search(value):
+        if name in ("class", "id") and BOILER_NAME.search(LAYOUT_NAME.sub(" ", value)):
             return True
     return False
 

@@ -58,6 +58,7 @@ def test_whole_table_matches_the_article(spark):
     (f"<nav><ul><li>One</ul></nav><p><b>{LONG}<br><p>{LONG}", f"{LONG}\n{LONG}"),
     (f"<div role=alert>We use cookies {LONG}</div><div><p>{LONG} &eacute;&#233;&#x1F642;</p></div>", f"{LONG} éé🙂"),
     (f"<p>{LONG}</p><p>5 < 6 and &am", f"{LONG}\n5 < 6 and &am"),
+    (f"<body class='has-sidebar no-ads'><div class='page with-menu'><p>{LONG}</p></div><div class='sidebar'>{LONG}</div></body>", LONG),
     (f"<table><tr><td>{LONG}</td><td>cell two is here</td></tr></table>", f"{LONG}\ncell two is here"),
 ])
 def test_pages(html, want):
