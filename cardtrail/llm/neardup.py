@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"class_id": pdf["doc_id"].iloc[a:b], "shingles": [shingle_set(t).tobytes() for t in texts[a:b]]})
 
     wanted = members.select(F.col("class_id").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    # the same plan at every size: texts meet the ids wanted by a merge join
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = map_batches(texts, full_sets, "class_id long, shingles binary").dropDuplicates(["class_id", "shingles"])
     found = components(links(members, sets), scratch)
     of_class = classes.select(*prints, "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
