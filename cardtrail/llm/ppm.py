@@ -49,6 +49,7 @@ BITS = 9
 END = 256
 SYMBOLS = 257
 DISCOUNT = 0.4
+SLICE = 1 << 20  # characters whose codes a task holds at once
 LOW = 2  # orders up to this one come from the broadcast table
 
 
@@ -237,7 +238,7 @@ def low_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         seen = np.zeros(0, dtype=np.int64)
         for pdf in batches:
             texts = [t for t, h in zip(_texts(pdf), pdf["held_out"]) if not h]
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 seen = np.union1d(seen, codes(texts[a:b], LOW + 1))
         yield pd.DataFrame({"gram": seen})
 
@@ -263,7 +264,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_c
         grams, words = [], Counter()
         for mine in (False, True):
             part = [t for t, h in zip(texts, held) if h == mine]
-            for a, b in slices(part):
+            for a, b in slices(part, SLICE):
                 k, c = np.unique(codes(part[a:b]), return_counts=True)
                 grams.append((k, c * (not mine)))
                 for t in part[a:b]:
@@ -314,7 +315,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_c
         w_keys, w_counts = joined["words"][order], joined["counts"][order]
         base = np.log10(n + 0.5 * (v + 1))
         parts = []
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             part = texts[a:b]
             found = chance[codes(part)]
             scores = np.add.reduceat(found, np.cumsum([0] + [len(t) + 1 for t in part[:-1]]))
