@@ -218,11 +218,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, per row."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    base = scratch.cut(sketches(docs), "sketches")
+    wide = scratch.cut(sketches(docs), "sketches")
     prints = ["print_a", "print_b"]
-    classes = scratch.cut(base.where("doc_id is not null and n_shingles > 0").groupBy(*prints)
-                          .agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch")), "classes")
-    lists = scratch.cut(prefix_lists(classes), "lists")
+    sketched = scratch.cut(wide.where("doc_id is not null and n_shingles > 0").groupBy(*prints)
+                           .agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch")), "sketched")
+    base = scratch.cut(wide.drop("sketch"), "base")
+    lists = scratch.cut(prefix_lists(sketched), "lists")
+    classes = scratch.cut(sketched.drop("sketch"), "classes")
+    scratch.drop("sketches", "sketched")
     leaders = lists.groupBy("value").agg(F.min("class_id").alias("leader"), F.count("*").alias("holders")).where("holders > 1").select("value", "leader")
     members = scratch.cut(lists.join(leaders, "value").select("leader", "class_id").distinct(), "members")
 
@@ -239,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links(members, sets), scratch)
     of_class = classes.select(*prints, "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     of_class = of_class.select(*prints, F.coalesce("component", "class_id").alias("component"))
-    joined = base.drop("sketch").join(of_class, prints, "left")
+    joined = base.join(of_class, prints, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
