@@ -64,7 +64,7 @@ def pretokenizer(most: int) -> re.Pattern:
 class ByteBpe:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, ranks_file: bytes, most_cached: int = 1_000_000):
+    def __init__(self, ranks_file: bytes, most_cached: int = 400_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
         size = max(self.ranks.values()) + 1
         by_rank = {rank: token for token, rank in self.ranks.items()}
@@ -75,6 +75,7 @@ class ByteBpe:
         self.pair_codes = np.array([p for p, _ in pairs], dtype=np.int64)
         self.pair_ranks = np.array([r for _, r in pairs], dtype=np.int64)
         self.pairs = dict(pairs)
+        self.numbers = list(range(size))  # one object per id, shared by all cached tuples
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.splitters = [(most, pretokenizer(most).findall) for most in (0xFF, 0xFFFF, 0x10FFFF)]
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -207,7 +208,7 @@ class ByteBpe:
                 r, q, m = rows[has], prev[has], p[has]
                 put(r, q, key(self._rank(ids[r, q], ids[r, m]), q))
         live = there & (after > -2)
-        flat, counts = ids[live].tolist(), live.sum(1).tolist()
+        flat, counts = list(map(self.numbers.__getitem__, ids[live].tolist())), live.sum(1).tolist()
         out, at = [], 0
         for c in counts:
             out.append(tuple(flat[at:at + c]))
@@ -272,7 +273,7 @@ def _batches(docs: DataFrame, ranks_file: bytes | None, schema: str, rows_of) ->
         bpe = loaded(shared.value)
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 21):
                 out = rows_of(bpe, *bpe.encode_batch(texts[a:b]))
                 out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].astype("Int64").to_numpy())
                 yield out

@@ -56,7 +56,7 @@ def shingle_set(text: str | None) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     if len(words) < WIDTH:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64).view(np.int64)
-    if len(_WORD_HASHES) > 200_000:
+    if len(_WORD_HASHES) > 100_000:
         _WORD_HASHES.clear()
     known = _WORD_HASHES
     hashes = list(map(known.get, words))

@@ -127,7 +127,7 @@ class Lexicon:
         self.known: dict[str, float] = {}
 
     def weigh(self, words: set[str]) -> None:
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 300_000:
             self.known.clear()
         get, heads = self.weights.get, self.heads
         known = self.known
