@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = map_batches(texts, full_sets, "class_id long, shingles binary").dropDuplicates(["class_id", "shingles"])
     found = components(links(members, sets), scratch)
+    scratch.drop("lists", "members", "edges")
     of_class = classes.select(*prints, "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     of_class = of_class.select(*prints, F.coalesce("component", "class_id").alias("component"))
     joined = base.join(of_class, prints, "left")
