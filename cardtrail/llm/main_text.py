@@ -8,11 +8,14 @@
 2. Weigh: a line weighs its characters outside links, boilerplate lines nothing.
 3. Surge and dive: over sums of ``window`` consecutive lines, a surge is where the sum
    rises from 0 and a dive where it falls back to 0; the lines between a surge and its
-   dive form a stretch. If the page has an article container with text, its lines are the
-   page's stretches. Otherwise the stretch of the largest sum is kept with all stretches
-   of at least ``share`` of it.
-4. The kept stretches' lines, in page order, are the text; boilerplate lines in between
-   are left out, short lines between long ones stay.
+   dive form a stretch. The stretch of the largest sum is kept with all stretches of at
+   least ``share`` of it.
+4. Check by article containers: of a kept stretch, the lines inside article containers
+   and those outside are two groups, and a group of less than ``share`` of the other's
+   weight is left out (teasers beside a plain text, stray lines beside an article). If
+   the heaviest stretch lies mostly inside, the page's other article lines are kept too.
+5. The kept lines, in page order, are the text; boilerplate lines and, outside of such
+   articles, lines that are mostly links are left out, short lines between long ones stay.
 
 Null and empty pages give an empty text. Broken markup (unclosed tags, cut pages) is read
 as far as it goes. Every row gives one result row; only page_id, url and html are read.
@@ -45,6 +48,8 @@ BOILER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|"
     r"disqus|discussion|footer|gdpr|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|"
     r"promotion|related|replies|respond|share|sharing|sidebar|sitemap|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])")
+#: Classes of an <article> that is a reader's comment; its other names may be topics.
+COMMENT_CLASS = re.compile(r"(?:comment|reply)(?:[_-](?:body|content|item|text|wrap|wrapper|\d+))?")
 #: Names that say what stands beside a container, not what it is: has-sidebar, no-ads.
 LAYOUT_NAME = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|show|hide)[_-][\w-]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -57,7 +62,7 @@ CLOSED_BY = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "d
 def _is_boiler(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
         return True
-    if tag in ("body", "html", "article", "main") or not attributes:
+    if tag in ("body", "html", "main") or not attributes:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -65,6 +70,10 @@ def _is_boiler(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in BOILER_ROLES:
             return True
+        if tag == "article":
+            if name == "class" and any(COMMENT_CLASS.fullmatch(c) for c in value.split()):
+                return True
+            continue
         if name in ("class", "id") and BOILER_NAME.search(LAYOUT_NAME.sub(" ", value)):
             return True
     return False
@@ -153,8 +162,6 @@ def main_text(html: str | None, window: int = 3, share: float = 0.3) -> str:
     """The main text of one page, its blocks joined by line feeds."""
     lines = page_lines(html) if html else []
     weights = [0 if boiler else len(text) - links for text, links, boiler, _ in lines]
-    if any(w and article for w, (_, _, _, article) in zip(weights, lines)):
-        return "\n".join(text for text, _, boiler, article in lines if article and not boiler)
     sums = [sum(weights[max(0, i - window + 1):i + 1]) for i in range(len(lines))]
     stretches, start = [], None
     for i, total in enumerate([*sums, 0]):
@@ -163,9 +170,20 @@ def main_text(html: str | None, window: int = 3, share: float = 0.3) -> str:
         elif not total and start is not None:
             stretches.append((sum(weights[start:i]), start, i))  # dive
             start = None
-    most = max(stretches, default=(0, 0, 0))[0]
-    return "\n".join(lines[i][0] for total, a, b in stretches if total >= share * most
-                     for i in range(a, b) if not lines[i][2] and weights[i] * 2 >= len(lines[i][0]))
+    kept = [False] * len(lines)
+    most, home = 0, False
+    for total, a, b in stretches:
+        inside = sum(weights[i] for i in range(a, b) if lines[i][3])
+        if total > most:
+            most, home = total, inside * 2 >= total
+    for total, a, b in stretches:
+        if total < share * most:
+            continue
+        inside = sum(weights[i] for i in range(a, b) if lines[i][3])
+        groups = {True: inside >= share * (total - inside), False: total - inside >= share * inside}
+        for i in range(a, b):
+            kept[i] = groups[lines[i][3]] and weights[i] * 2 >= len(lines[i][0])
+    return "\n".join(text for (text, _, boiler, article), keep in zip(lines, kept) if not boiler and (keep or home and article))
 
 
 def extract_main_text(pages: DataFrame, window: int = 3, share: float = 0.3) -> DataFrame:

@@ -65,6 +65,22 @@ def test_pages(html, want):
     assert main_text(html) == want
 
 
+TEASER = "<article class='teaser'><p>Five more words for you</p></article>"
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<div><h1>The title</h1><p>{LONG}</p><p>{LONG}</p></div>{TEASER}", f"The title\n{LONG}\n{LONG}"),
+    (f"{TEASER}{TEASER}<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>{TEASER}<p>The end.</p></div>", f"{LONG}\n{LONG}\n{LONG}\nThe end."),
+    (f"<div><p>{LONG}</p></div><article class='comment'><p>{LONG} {LONG} {LONG}</p></article>", LONG),
+    (f"<article class='post tag-comments category-social'><p>{LONG}</p></article>", LONG),
+    (f"<div><p>{LONG}</p></div><article><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><h2>T</h2><p>{LONG}</p><nav><p>a<p>b<p>c<p>d</nav><p>The end.</p><p><a href=/x>A source</a></p></article><div>Stray words</div>", f"T\n{LONG}\nThe end.\nA source"),
+    (f"<div>{LONG} {LONG} {LONG} {LONG}</div><nav><p>a<p>b<p>c<p>d</nav><article><p>{LONG}</p></article>", f"{LONG} {LONG} {LONG} {LONG}"),
+])
+def test_articles_weigh_lines_and_do_not_replace_the_stretches(html, want):
+    assert main_text(html) == want
+
+
 def test_very_long_and_deep_pages():
     text = "word " * 200_000
     assert main_text(f"<article><p>{text}</p></article>") == text.strip()
