@@ -3,8 +3,9 @@
 1. Strip markup: scripts, styles, comments and the head go; every block-level tag starts
    a new line; character references are decoded; white space inside a line becomes one
    space. A line remembers whether it stands in boilerplate (a menu, header, footer,
-   sidebar, notice, advert, form or comment container, by tag, role, class or id), in an
-   article container, and how much of it is link text.
+   sidebar, advert, form or comment container, by tag, role, class or id; or one whose
+   name is vague, such as notice or share, with little text), in an article container,
+   and how much of it is link text.
 2. Weigh: a line weighs its characters outside links, boilerplate lines nothing.
 3. Surge and dive: over sums of ``window`` consecutive lines, a surge is where the sum
    rises from 0 and a dive where it falls back to 0; the lines between a surge and its
@@ -46,37 +47,46 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 #: Words in a class or id that mark a boilerplate container (fixed values).
 BOILER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|"
-    r"disqus|discussion|footer|gdpr|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|"
-    r"promotion|related|replies|respond|share|sharing|sidebar|sitemap|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])")
+    r"disqus|footer|gdpr|masthead|menu|nav|navbar|navigation|newsletter|pagination|popup|promo|"
+    r"related|replies|respond|sidebar|sitemap|sponsor|sponsored|subscribe|toolbar)(?:$|[\s_-])")
+#: Words that name boilerplate or content: such a block is boilerplate if its text is small.
+#: ``widget`` counts only as a whole name, for page builders wrap content in x-widget-y.
+VAGUE_NAME = re.compile(r"(?:^|[\s_-])(?:discussion|notice|promotion|share|sharing|social)(?:$|[\s_-])|(?:^|\s)widget(?:$|\s)")
+#: Most characters outside links of a small text.
+SMALL = 200
 #: Classes of an <article> that is a reader's comment; its other names may be topics.
 COMMENT_CLASS = re.compile(r"(?:comment|reply)(?:[_-](?:body|content|item|text|wrap|wrapper|\d+))?")
 #: Names that say what stands beside a container, not what it is: has-sidebar, no-ads.
 LAYOUT_NAME = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|show|hide)[_-][\w-]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.S | re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+#: One attribute: its whole name, then its value, quoted or not, if it has one.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))?)?""")
 CLOSED_BY = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
              "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
-def _is_boiler(tag: str, attributes: str, in_article: bool) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Lower-case names and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def _is_boiler(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether a tag opens a boilerplate container, and whether it does if its text is small."""
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
-        return True
+        return True, False
     if tag in ("body", "html", "main") or not attributes:
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in BOILER_ROLES:
-            return True
-        if tag == "article":
-            if name == "class" and any(COMMENT_CLASS.fullmatch(c) for c in value.split()):
-                return True
-            continue
-        if name in ("class", "id") and BOILER_NAME.search(LAYOUT_NAME.sub(" ", value)):
-            return True
-    return False
+        return False, False
+    of = _attributes(attributes)
+    if "hidden" in of or of.get("aria-hidden") == "true" or of.get("role") in BOILER_ROLES:
+        return True, False
+    if tag == "article":
+        return any(COMMENT_CLASS.fullmatch(c) for c in of.get("class", "").split()), False
+    names = [LAYOUT_NAME.sub(" ", of[n]) for n in ("class", "id") if n in of]
+    return any(map(BOILER_NAME.search, names)), tag in BLOCK_TAGS and any(map(VAGUE_NAME.search, names))
 
 
 def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
@@ -84,13 +94,19 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
     lines: list[tuple[str, int, bool, bool]] = []
     words: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, hidden, article
+    # tag, boilerplate, hidden, article, and for containers of a vague name the lines and weight before
+    stack: list[tuple[str, bool, bool, bool, tuple[int, int] | None]] = []
+    weight = 0  # characters outside links and boilerplate so far
+    small: list[tuple[int, int]] = []  # lines of small containers of a vague name
 
     def flush() -> None:
+        nonlocal weight
         text = " ".join(unescape("".join(words)).split())
         if text:
-            top = stack[-1] if stack else ("", False, False, False)
-            lines.append((text, min(len(text), len(" ".join(unescape("".join(linked)).split()))), top[1], top[3]))
+            top = stack[-1] if stack else ("", False, False, False, None)
+            links = min(len(text), len(" ".join(unescape("".join(linked)).split())))
+            lines.append((text, links, top[1], top[3]))
+            weight += 0 if top[1] else len(text) - links
         words.clear()
         linked.clear()
 
@@ -104,7 +120,9 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
         while len(stack) > upto:
             if stack[-1][0] in BLOCK_TAGS or stack[-1][1] != (stack[-2][1] if len(stack) > 1 else False):
                 flush()
-            stack.pop()
+            since = stack.pop()[4]
+            if since is not None and weight - since[1] <= SMALL and len(lines) > since[0]:
+                small.append((since[0], len(lines)))
 
     at = 0
     while True:
@@ -142,20 +160,26 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
                     break
                 if stack[i][0] in BLOCK_TAGS and stack[i][0] != "p":
                     break
-        up = stack[-1] if stack else ("", False, False, False)
+        up = stack[-1] if stack else ("", False, False, False, None)
         if m[3].rstrip().endswith("/") and tag in ("svg", "iframe", "script"):
             continue
-        boiler = up[1] or _is_boiler(tag, m[3], up[3])
+        boiler, vague = (True, False) if up[1] else _is_boiler(tag, m[3], up[3])
         if boiler and not up[1]:
             flush()
-        stack.append((tag, boiler, up[2] or tag in HIDDEN_TAGS, up[3] or tag in ("article", "main")))
+        stack.append((tag, boiler, up[2] or tag in HIDDEN_TAGS, up[3] or tag in ("article", "main"), (len(lines), weight) if vague and not boiler else None))
         if tag in RAW_END:
             end = RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)
             stack.pop()
     close(0)
     flush()
-    return lines
+    out, done = list(lines), 0
+    for a, b in sorted(small):
+        for i in range(max(a, done), b):
+            out[i] = (*lines[i][:2], True, lines[i][3])
+        done = max(done, b)
+    # a page with nothing else keeps its small text
+    return out if any(not boiler and len(text) > links for text, links, boiler, _ in out) else lines
 
 
 def main_text(html: str | None, window: int = 3, share: float = 0.3) -> str:

@@ -81,6 +81,22 @@ def test_articles_weigh_lines_and_do_not_replace_the_stretches(html, want):
     assert main_text(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    (f"<div style='overflow:hidden'><p>{LONG}</p></div>", LONG),
+    (f'<div style="visibility:hidden" data-x-hidden="false" title="the hidden truth"><p>{LONG}</p></div>', LONG),
+    (f"<p>{LONG} <a href='/hidden-falls'>Hidden Falls</a> and <a href=/x?id=related>more</a>.</p>", f"{LONG} Hidden Falls and more."),
+    (f"<div data-class='menu' data-id=footer data-role='navigation'><p>{LONG}</p></div>", LONG),
+    (f"<p>{LONG}</p><div hidden><p>{LONG} not</p></div><div HIDDEN=''>{LONG} not</div><div aria-hidden=true>{LONG} not</div>", LONG),
+    (f"<p>{LONG}</p><div data-x id = 'related'>{LONG} not</div><div class=plain class=menu>{LONG}</div>", f"{LONG}\n{LONG}"),
+    (f"<div class='elementor-widget-container'><h1>The title</h1></div><div class='elementor-widget elementor-widget-container'><p>{LONG}</p></div>", f"The title\n{LONG}"),
+    (f"<div class='public-notice'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}\n{LONG}"),
+    ("<nav>Menu</nav><div class='notice'><p>Closed today.</p></div>", "Closed today."),
+    (f"<p>{LONG}</p><div class='social-share'>Tell your friends about it</div><div class='widget'>Weather today: sunny</div><p>{LONG}</p>", f"{LONG}\n{LONG}"),
+])
+def test_attributes_are_read_whole(html, want):
+    assert main_text(html) == want
+
+
 def test_very_long_and_deep_pages():
     text = "word " * 200_000
     assert main_text(f"<article><p>{text}</p></article>") == text.strip()
