@@ -13,9 +13,12 @@
    document's ``taken`` is the overlap of its tokens with the blocks taken, over all
    passes, so that nothing is taken more often than ``most_epochs`` times.
 
-Shards are ``min(4096, rows / 256)`` hash ranges of doc_id in every source, which splits
-a source of any share of the rows; windows run within (source, shard) and over the few
-rows per source or shard. Sizes count ``[^\\x20\\x09-\\x0D]+``; null texts have size 0.
+Hash ranges of doc_id, ``min(4096, rows / 256)`` in every source, split a source of any
+share of the rows. A source's shards are runs of ranges, as many as leave a shard
+``BLOCKS`` blocks on average, so that rounding to blocks is small against a shard; what a
+shard's quota holds above ``most_epochs`` times its size goes to the source's other
+shards by their next quotients. Windows run within (source, range) and over the few rows
+per source, shard or range. Sizes count ``[^\\x20\\x09-\\x0D]+``; null texts have size 0.
 Sources are ordered by code point, null last (a source of its own). Rows that repeat are
 documents of their own; those of equal doc_id and size are interchangeable. If all sizes
 are 0 nothing is taken; an empty table gives an empty result. Ties of quotients go to the
@@ -32,6 +35,8 @@ from pyspark.sql import Window
 from cardtrail.llm.common import WORD
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Blocks that a shard holds on average, at least (fixed value).
+BLOCKS = 64
 #: The end of one word and the start of the next: where a text can be cut between words.
 CUT = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 
@@ -82,26 +87,49 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, tie:
     return seat.groupBy(*keep, "_low").agg(F.sum("_won").alias("_more")).withColumn("quota", F.col("_low") + F.col("_more")).select(*keep, "quota")
 
 
+def _reshared(parts: DataFrame, most_epochs: int, block: int) -> DataFrame:
+    """``parts`` with the tokens that a shard gives (_give): its quota up to its limit,
+    then of what limits cut off in its source up to a block, then up to its limit, the
+    shards of the highest next quotients first."""
+    limit, seats = F.col("_shard_size") * most_epochs, F.col("quota") * block
+    whole = Window.partitionBy("_key")
+    next_first = whole.orderBy((F.col("_shard_size") / (2 * F.col("quota") + 1)).desc_nulls_last(), "_shard")
+    parts = parts.withColumn("_give", F.least(seats, limit)).withColumn("_cut", F.sum(seats - F.col("_give")).over(whole))
+    for most in (F.lit(block), limit):
+        parts = parts.withColumn("_room", F.least(most, limit - F.col("_give")))
+        before = F.coalesce(F.sum("_room").over(next_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = parts.withColumns({"_more": F.greatest(F.lit(0), F.least("_room", F.col("_cut") - before)), "_all_room": F.sum("_room").over(whole)})
+        parts = parts.withColumns({"_give": F.col("_give") + F.col("_more"), "_cut": F.greatest(F.lit(0), F.col("_cut") - F.col("_all_room"))})
+    return parts.drop("_cut", "_room", "_more", "_all_room")
+
+
 def _plan(rows: DataFrame, share: float, most_epochs: int, block: int, seed: int, weights: tuple[float, ...]) -> DataFrame:
     """``rows`` (doc_id, source, size, ...) with source_size, target and where the
     document's tokens start in its shard's stream (_at), the tokens that the shard gives
-    (_give) and the shard's size (_shard_size)."""
+    (_give) and the shard's size (_shard_size). A shard's stream is those of its ranges,
+    one after the other."""
     count = rows.count()
-    shards = max(1, min(4096, count // 256))
-    rows = rows.withColumns({"_order": F.xxhash64(F.lit(seed), "doc_id", "size"), "_shard": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards))})
+    ranges = max(1, min(4096, count // 256))
+    rows = rows.withColumns({"_order": F.xxhash64(F.lit(seed), "doc_id", "size"), "_range": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(ranges))})
     sources = source_targets(rows.select("source", "size"), share, most_epochs, weights)
     seats = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
     sources = sources.withColumns({"_all": F.lit(0), "_seats": seats})
     sources = apportion(sources, ["_all"], "target", "_seats", "place").withColumnRenamed("quota", "_source_quota")
-    parts = rows.groupBy("source", "_shard").agg(F.sum("size").alias("_shard_size"))
+    parts = rows.groupBy("source", "_range").agg(F.sum("size").alias("_range_size"))
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
     parts = parts.withColumn("_key", key).join(sources.withColumn("_key", key).drop("source"), "_key")
-    parts = apportion(parts.select("_key", "_shard", "_shard_size", "source_size", "target", "_source_quota"),
-                      ["_key"], "_shard_size", "_source_quota", "_shard")
-    parts = parts.withColumn("_give", F.least(F.col("quota") * block, F.col("_shard_size") * most_epochs))
-    stream = Window.partitionBy("source", "_shard").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_at", F.coalesce(F.sum("size").over(stream), F.lit(0))).withColumn("_key", key)
-    return rows.join(parts.select("_key", "_shard", "_shard_size", "source_size", "target", "_give"), ["_key", "_shard"])
+    shards = F.greatest(F.lit(1), F.least(F.lit(ranges), F.floor(F.col("source_size") / (block * BLOCKS))))
+    parts = parts.withColumn("_shard", F.floor(F.col("_range") * shards / ranges).cast("long"))
+    parts = parts.groupBy("_key", "_shard", "source_size", "target", "_source_quota").agg(
+        F.sum("_range_size").alias("_shard_size"), F.sort_array(F.collect_list(F.struct("_range", "_range_size"))).alias("_ranges"))
+    parts = _reshared(apportion(parts, ["_key"], "_shard_size", "_source_quota", "_shard"), most_epochs, block)
+    parts = parts.select("*", F.inline("_ranges"))
+    earlier = Window.partitionBy("_key", "_shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_from", F.coalesce(F.sum("_range_size").over(earlier), F.lit(0)))
+    stream = Window.partitionBy("source", "_range").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_within", F.coalesce(F.sum("size").over(stream), F.lit(0))).withColumn("_key", key)
+    rows = rows.join(parts.select("_key", "_range", "_from", "_shard_size", "source_size", "target", "_give"), ["_key", "_range"])
+    return rows.withColumn("_at", F.col("_from") + F.col("_within"))
 
 
 def _overlap(epoch: int) -> Column:

@@ -72,6 +72,33 @@ def test_documents_of_the_mix_hold_the_words_taken(spark):
     assert got == {i: n for i, n in want.items() if n}
 
 
+@pytest.mark.parametrize("n, size", [(200, 5), (400, 10)])
+def test_small_source_of_short_documents_in_a_large_table(spark, n, size):
+    """About 400 hash ranges: a range holds one or two of the source's documents."""
+    docs = spark.range(102_400).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < n, "a").otherwise("b").alias("source"),
+        F.when(F.col("id") < n, F.repeat(F.lit("w "), size)).otherwise(F.repeat(F.lit("w "), 20)).alias("text"))
+    rows = mixing.mix(docs).where("source = 'a'").collect()
+    assert len(rows) == n and {r["target"] for r in rows} == {2.0 * n * size}
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    assert abs(sum(r["taken"] for r in rows) - 2 * n * size) <= 16
+
+
+@pytest.mark.parametrize("shards, quotas, want", [
+    ([10, 10, 30], [1, 1, 3], [16, 16, 48]),                    # nothing cut
+    ([5, 40, 40], [1, 4, 4], [10, 70, 64]),                     # 6 cut, to the shard of the next quotient
+    ([2, 2, 2, 60], [1, 1, 1, 3], [4, 4, 4, 84]),               # 36 cut: a block, then the rest
+    ([2, 2, 2, 9, 30], [1, 1, 1, 0, 3], [4, 4, 4, 18, 60]),     # 36 cut, room for 30
+    ([4, 4], [1, 1], [8, 8]),                                   # no room left
+])
+def test_what_limits_cut_off_goes_to_other_shards(spark, shards, quotas, want):
+    parts = spark.createDataFrame([("k", i, s, q) for i, (s, q) in enumerate(zip(shards, quotas))], "_key string, _shard long, _shard_size long, quota long")
+    got = {r["_shard"]: r["_give"] for r in mixing._reshared(parts, 2, 16).collect()}
+    total = min(16 * sum(quotas), 2 * sum(shards))
+    assert sum(got.values()) == total and all(got[i] <= 2 * s for i, s in enumerate(shards))
+    assert [got[i] for i in range(len(shards))] == want
+
+
 def sainte_lague(votes, seats):
     won = {p: 0 for p in votes}
     for _ in range(seats):
