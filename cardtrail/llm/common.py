@@ -48,6 +48,12 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package importable in the tasks."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder to cut lineage.
 
