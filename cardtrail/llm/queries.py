@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardtrail.llm import byte_bpe, exact_topk, main_text, mixing, neardup, nndescent, ppm, secret_scan, toxicity, url_filter, warc
+from cardtrail.llm import byte_bpe, conversation_trie, exact_topk, main_text, mixing, neardup, nndescent, ppm, secret_scan, toxicity, url_filter, warc
 from cardtrail.llm.common import table
 from cardtrail.session import scratch_path
 
@@ -53,12 +53,16 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_nn_descent, op3_mixing, op4_ppm_score, op5_warc, op6_toxicity, op7_byte_bpe, op8_exact_topk, op9_secrets, op10_main_text,
-                                  op13_url_filter)}
+                                  op11_conversation_trie, op13_url_filter)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
@@ -92,6 +96,39 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) A
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM k WHERE n <= 5""",
+    "op11_conversation_trie": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 bit by bit
+c AS (
+  SELECT conv_id, xor(list_reduce(
+           list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)),
+           lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+                                    lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t) d),
+k AS (SELECT c.conv_id, count(t.pos) AS k FROM c LEFT JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h GROUP BY 1),
+r AS (
+  SELECT c.conv_id, t.pos AS d, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos - c.h + k.k, role, text FROM c JOIN t USING (conv_id) JOIN k USING (conv_id) WHERE t.pos > c.h),
+p AS (
+  SELECT conv_id, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         sha256(string_agg(sha256(sha256(role) || text), ',') OVER (PARTITION BY conv_id ORDER BY d)) AS key FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT *, min(conv_id) OVER (PARTITION BY d, key) AS node, max(d) OVER (PARTITION BY conv_id) AS stop FROM p),
+n AS (
+  SELECT d, node, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved,
+         coalesce(sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = stop)), sha256('')) AS ends_sha256 FROM m GROUP BY d, node),
+u AS (SELECT n.*, m.node AS parent FROM n LEFT JOIN m ON m.conv_id = n.node AND m.d = n.d - 1),
+ch AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+l AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN ch USING (node, d)),
+s AS (
+  SELECT m.node, m.d, sum(l.saved) AS saved_tokens, count(*) FILTER (l.n_children = 0) AS n_leaves
+  FROM l JOIN m ON m.conv_id = l.node AND m.d <= l.d GROUP BY ALL)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM l JOIN s USING (node, d)""",
     "op13_url_filter": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
