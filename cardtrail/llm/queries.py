@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardtrail.llm import byte_bpe, conversation_trie, exact_topk, main_text, mixing, neardup, nndescent, ppm, secret_scan, toxicity, url_filter, warc
+from cardtrail.llm import byte_bpe, conversation_trie, divergence, exact_topk, main_text, mixing, neardup, nndescent, ppm, secret_scan, toxicity, url_filter, warc
 from cardtrail.llm.common import table
 from cardtrail.session import scratch_path
 
@@ -57,12 +57,16 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_nn_descent, op3_mixing, op4_ppm_score, op5_warc, op6_toxicity, op7_byte_bpe, op8_exact_topk, op9_secrets, op10_main_text,
-                                  op11_conversation_trie, op13_url_filter)}
+                                  op11_conversation_trie, op12_source_divergence, op13_url_filter)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
@@ -129,6 +133,34 @@ s AS (
   FROM l JOIN m ON m.conv_id = l.node AND m.d <= l.d GROUP BY ALL)
 SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
 FROM l JOIN s USING (node, d)""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+gn AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY ALL),
+ln AS (SELECT lang, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(gn.total, 0) + 2 * v.v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN gn USING (lang, source)),
+q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(c.n) + 2)::HUGEINT // (any_value(ln.total) + 2 * any_value(v.v)) AS q
+  FROM c JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 10""",
     "op13_url_filter": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -68,7 +68,7 @@ def test_entry_lists_the_operators_and_survives_without_them():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     # as if the folders were not there
     code = ("import sys\nclass Gone:\n    def find_spec(self, name, path=None, target=None):\n"
