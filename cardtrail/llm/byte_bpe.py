@@ -275,7 +275,7 @@ def _batches(docs: DataFrame, ranks_file: bytes | None, schema: str, rows_of) ->
             texts = [t or "" for t in pdf["text"]]
             for a, b in slices(texts, 1 << 21):
                 out = rows_of(bpe, *bpe.encode_batch(texts[a:b]))
-                out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].astype("Int64").to_numpy())
+                out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].array)
                 yield out
 
     return map_batches(docs.select("doc_id", "text"), run, schema)

@@ -7,8 +7,12 @@ import tempfile
 import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cardtrail.session import delete_path, scratch_path
 
@@ -42,10 +46,24 @@ def ship(spark: SparkSession) -> None:
     context._cardtrail_shipped = True
 
 
+def frame(batch: pa.RecordBatch | pa.Table) -> pd.DataFrame:
+    """A batch as pandas; a column of whole numbers with nulls stays one of whole numbers
+    (as plain pandas it becomes floats, which change numbers above 2^53)."""
+    kinds = {f.type: pd.Series(dtype="Int64").dtype for f, c in zip(batch.schema, batch.columns) if pa.types.is_integer(f.type) and c.null_count}
+    return batch.to_pandas(types_mapper=kinds.get)
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInPandas`` with this package importable in the tasks."""
+    """``df.mapInPandas`` with this package importable in the tasks, and with nullable
+    whole numbers kept exact on the way in and out."""
     ship(df.sparkSession)
-    return df.mapInPandas(run, schema)
+    out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+    def exact(batches):
+        for pdf in run(map(frame, batches)):
+            yield pa.RecordBatch.from_pandas(pdf, schema=out, preserve_index=False)
+
+    return df.mapInArrow(exact, schema)
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

@@ -91,7 +91,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     # a copy: a view would keep the whole set
                     rows.append((len(s), (mark >> 64) - (1 << 63), (mark & (1 << 64) - 1) - (1 << 63), s[:K].copy()))
                 out = pd.DataFrame(rows, columns=["n_shingles", "print_a", "print_b", "sketch"])
-                out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].astype("Int64").to_numpy())
+                out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].array)
                 yield out
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, print_a long, print_b long, sketch array<long>")

@@ -252,7 +252,8 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_c
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", "text", (fold("doc_id", folds) == held_fold).alias("held_out"))
+    # grouped pandas would carry nullable ids as floats
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (fold("doc_id", folds) == held_fold).alias("held_out"))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = int(size // chunk_chars) + 1
     buckets = chunks // 2 + 4
@@ -332,9 +333,10 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, chunk_c
                 "base_score": [sum(map(log_of.__getitem__, ws)) for ws in words] - tokens * base,
                 "score": scores})
             out.insert(0, "held_out", pdf["held_out"].iloc[a:b].to_numpy())
-            out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].to_numpy())
             parts.append(out)
         return pd.concat(parts)
 
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        score, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -107,10 +107,9 @@ def candidates(spark, path: str) -> DataFrame:
                         rows.append((name, at, end + 4, _page(said.get(b"warc-record-id")), kind, int(full) if full.isdigit() and len(full) < 19 else None,
                                      digest, _page(said.get(b"warc-refers-to")), valid))
                     at = data.find(MAGIC, at + 1)
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in LINKS.split(", ")])
-            for c in ("page_id", "refers_to", "payload_bytes"):
-                out[c] = out[c].astype("Int64")
-            yield out
+            names = [c.split()[0] for c in LINKS.split(", ")]
+            nullable = ("page_id", "refers_to", "payload_bytes")  # never through floats
+            yield pd.DataFrame({n: pd.array([r[i] for r in rows], dtype="Int64") if n in nullable else [r[i] for r in rows] for i, n in enumerate(names)})
 
     return map_batches(files, run, LINKS)
 
