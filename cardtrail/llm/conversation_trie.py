@@ -306,14 +306,14 @@ def prefix_trie(conversations: DataFrame, family: int = 20, heads: int = 4) -> D
     deepest = several.agg(F.max("depth")).first()[0] or 0
     parents = several.select((F.col("depth") + 1).alias("depth"), F.col("key").alias("parent"), F.col("first").alias("above"))
 
-    by_depth = lambda df, key: df.repartitionByRange("depth", f"{key}.x0")  # noqa: E731  a round reads the files of its depth
+    by_depth = lambda df: df.repartitionByRange("depth", "conv_id")  # noqa: E731  a round reads the files of its depth
     ends_here = F.when(F.col("depth") == F.col("n_turns"), F.col("n")).otherwise(0).cast("long")
     shared = rows.join(several, ["depth", "key"], "left_semi").select("depth", "key", "parent", "conv_id", "n_words", ends_here.alias("n"))
-    shared = scratch.cut(by_depth(shared, "key"), "shared")
+    shared = scratch.cut(by_depth(shared), "shared")
     private = rows.join(several, ["depth", "key"], "left_anti").join(parents, ["depth", "parent"], "left")
     saved = (F.col("n") - 1) * (F.col("words") - F.col("w") + F.col("n_words"))
     private = scratch.cut(private.select("conv_id", "depth", "key", "parent", "above", "n", (F.col("depth") < F.col("n_turns")).cast("long").alias("n_children"), saved.alias("saved")), "private")
-    tops = scratch.cut(by_depth(private.where("above is not null").select("depth", "parent", "conv_id", "n", "saved"), "parent"), "tops")
+    tops = scratch.cut(by_depth(private.where("above is not null").select("depth", "parent", "conv_id", "n", "saved")), "tops")
     nodes = peel(shared, tops, firsts.where("n_turns = 0").select("conv_id", "n"), deepest, scratch)
     scratch.drop("rows", "shared", "tops", "firsts")
 
