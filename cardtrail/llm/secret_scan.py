@@ -5,7 +5,7 @@ every value that stands in a credential context (``pwd: ...``, ``client_secret=.
 priced by the cheapest way to guess it: a dynamic programme over the value's positions
 splits it into dictionary words, dates, repeats, keyboard walks, sequences and
 brute-force characters, adding the log10 guesses of the parts. A value that a quote
-opens ends at the closing quote; any other ends at white space, a single quote, markup,
+opens ends at the closing quote, whatever its length; any other ends at white space, a single quote, markup,
 or a field separator (``, ; & |``) that a name and ``=`` or ``:`` follow. A value that
 costs at least ``min_guesses`` (log10) becomes a span of kind ``guess`` unless it lies
 wholly in a base span. Base spans are never removed; redaction takes the union of spans.
@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,11 +38,8 @@ CONTEXT = re.compile(
     r"""access[_-]?key|private[_-]?key|client[_-]?secret|auth[_-]?key|bearer))["']?\x20*[:=]\x20*(["']?)""")
 #: A quoted value on one line: backslashes escape, no word goes on behind the closing quote.
 QUOTED = {q: re.compile(rf"((?:[^{q}\\\r\n]++|\\[^\r\n])*+){q}(?![^\W_])") for q in "\"'"}
-#: Most characters of a quoted value with white space; longer ones are prose.
-PHRASE = 256
 #: Where a value without quotes ends: at the next field, at markup, or at a character that no value has.
 END = re.compile(r"""[,;&|][\[{]{0,2}["']?[A-Za-z_][\w.-]*["']?[:=]|"/?>|</?[A-Za-z][^<>]*>|[^!-&(-~]|\Z""", re.A)
-CONTEXT_HINT = re.compile(r"(?ai:pass|pwd|secret|token|credential|key|bearer)")
 
 #: Common password words, most used first (fixed values); cost is log10 of twice the rank.
 WORDS = {w: math.log10(2 * (i + 1)) for i, w in enumerate((
@@ -70,6 +69,49 @@ def _brute(ch: str) -> float:
     return math.log10(33) if ch.isascii() else 3.0
 
 
+class Runs:
+    """The least best[i] + base + log10(end - i) over the starts i, at least three before
+    the end, of a run (a repeat, a walk or a sequence) that goes on to the end.
+
+    Of two starts the later gains less with every further end, so once an earlier start
+    is the cheaper one it stays so. The stack holds the starts that are cheapest at some
+    end, the present one on top, each with the end from which the one below is cheaper."""
+
+    def __init__(self, lengths: list[int], base: float):
+        self.lengths, self.base = lengths, base
+        self.stop, self.stack = -1, []
+
+    def cost(self, end: int, best: list[float]) -> float:
+        start = end - 3
+        if start >= 0 and self.lengths[start] >= 3:
+            if start + self.lengths[start] != self.stop:
+                self.stop, self.stack = start + self.lengths[start], []
+        elif end > self.stop:
+            return math.inf
+        stack = self.stack
+        while stack and stack[-1][2] <= end:
+            stack.pop()
+        if start + self.lengths[start] == self.stop:
+            self._add(start, best[start], end)
+        i, cost, _ = stack[-1]
+        return cost + self.base + math.log10(end - i)
+
+    def _add(self, start: int, cost: float, end: int) -> None:
+        turn = math.inf
+        while self.stack:
+            i, before, below = self.stack[-1]
+            if before + math.log10(end - i) <= cost + math.log10(end - start):
+                return
+            more = cost - before  # the earlier start is cheaper once (end - i) / (end - start) <= 10^more
+            ratio = 10 ** min(more, 300)
+            turn = (ratio * start - i) / (ratio - 1) if ratio > 1 else math.inf
+            if turn < below:
+                break
+            self.stack.pop()  # the one below it is cheaper before it has its turn
+            turn = math.inf
+        self.stack.append((start, cost, turn))
+
+
 def guess_cost(value: str) -> float:
     """Least log10 number of guesses over all segmentations of ``value`` (0 if empty)."""
     n, low = len(value), value.lower()
@@ -85,8 +127,11 @@ def guess_cost(value: str) -> float:
             walk[i] = walk[i + 1] + 1
         if abs(step) == 1 and value[i].isalnum() and value[i + 1].isalnum():
             run[i] = run[i + 1] + 1 if i + 2 < n and ord(value[i + 2]) - ord(value[i + 1]) == step else 2
-    for i in range(n):
-        at = best[i]
+    runs = Runs(repeat, 1.5), Runs(walk, 2.3), Runs(run, 1.7)
+    for i in range(n + 1):
+        best[i] = at = min(best[i], *(r.cost(i, best) for r in runs)) if i else 0.0
+        if i == n:
+            break
         best[i + 1] = min(best[i + 1], at + _brute(value[i]))
         for size in range(3, min(LONGEST_WORD, n - i) + 1):
             for text, extra in ((low, 0.0), (plain, 0.3)):
@@ -94,10 +139,6 @@ def guess_cost(value: str) -> float:
                 if cost is not None:
                     upper = 0.0 if value[i:i + size] == low[i:i + size] else 0.3 + 0.1 * sum(c.isupper() for c in value[i:i + size])
                     best[i + size] = min(best[i + size], at + cost + extra + upper)
-        for length, base in ((repeat[i], 1.5), (walk[i], 2.3), (run[i], 1.7)):
-            if length >= 3:
-                for size in range(3, length + 1) if length < 64 else (length,):
-                    best[i + size] = min(best[i + size], at + base + math.log10(size))
         if value[i].isdigit():
             m = DATE.match(value, i)
             if m:
@@ -109,7 +150,7 @@ def _value_end(text: str, start: int, quote: str) -> tuple[int, int]:
     """The end of the value at ``start``, and where the search for the next one goes on."""
     if quote:
         m = QUOTED[quote].match(text, start)
-        if m and (m.end(1) - start <= PHRASE or not re.search(r"\s", m[1])):
+        if m:
             return m.end(1), m.end()
     end = last = END.search(text, start).start()
     while end > start and text[end - 1] in "\"'.,;:)]}>":
@@ -122,12 +163,15 @@ def find_spans(text: str, min_guesses: float = 10.0) -> list[tuple[int, int, int
     spans = [(m.start(), 0, m.end(), m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     spans += [(m.start(), 1, m.end(), m.start(), m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end(), m.start(), m.end()) for m in HEX.finditer(text)]
-    base = list(spans)
+    base = sorted((s, e) for s, _, e, _, _ in spans)
+    starts, furthest = [s for s, _ in base], list(accumulate((e for _, e in base), max))
     m = CONTEXT.search(text)
     while m:
         start = m.end()
         end, after = _value_end(text, start, m[1])
-        if end - start >= 6 and not any(s <= start and end <= e for s, _, e, _, _ in base) and guess_cost(text[start:end]) >= min_guesses:
+        before = bisect_right(starts, start)
+        within = before and end <= furthest[before - 1]
+        if end - start >= 6 and not within and guess_cost(text[start:end]) >= min_guesses:
             spans.append((start, 3, end, start, end))
         m = CONTEXT.search(text, max(start, after))
     return sorted(spans)

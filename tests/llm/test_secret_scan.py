@@ -120,3 +120,71 @@ def test_awkward_rows(spark):
     out = {r["doc_id"]: r for r in secret_scan.redact_secrets(hot).collect()}
     assert out[1]["text"] == "password=[REDACTED] and [REDACTED] end" and out[1]["n_chars"] == len(out[1]["text"])
     assert out[2]["text"] is None and out[2]["n_chars"] is None
+
+
+def every_cut(value):
+    """The same cost by a programme that tries every end of every run."""
+    n, low = len(value), value.lower()
+    best = [0.0] + [math.inf] * n
+
+    def run_end(i, goes_on):
+        j = i + 1
+        while j < n and goes_on(j):
+            j += 1
+        return j
+
+    for i in range(n):
+        ends = [(i + 1, secret_scan._brute(value[i]))]
+        for size in range(3, min(n - i, secret_scan.LONGEST_WORD) + 1):
+            p = value[i:i + size]
+            upper = 0.0 if p == p.lower() else 0.3 + 0.1 * sum(c.isupper() for c in p)
+            for t, extra in ((p.lower(), 0.0), (p.lower().translate(secret_scan.LEET), 0.3)):
+                if t in secret_scan.WORDS:
+                    ends.append((i + size, secret_scan.WORDS[t] + extra + upper))
+        step = ord(value[i + 1]) - ord(value[i]) if i + 1 < n else 0
+        runs = [(1.5, run_end(i, lambda j: value[j] == value[i])), (2.3, run_end(i, lambda j: low[j - 1:j + 1] in secret_scan.NEXT_KEYS))]
+        if abs(step) == 1 and value[i].isalnum():
+            runs.append((1.7, run_end(i, lambda j: value[j].isalnum() and ord(value[j]) - ord(value[j - 1]) == step)))
+        for base, stop in runs:
+            ends += [(e, base + math.log10(e - i)) for e in range(i + 3, stop + 1)]
+        m = secret_scan.DATE.match(value, i) if value[i].isdigit() else None
+        if m:
+            ends.append((m.end(), secret_scan.DAY_COST if m.end() - i > 4 else 2.1))
+        for e, cost in ends:
+            best[e] = min(best[e], best[i] + cost)
+    return best[n]
+
+
+@pytest.mark.parametrize("n", [3, 40, 62, 63, 64, 65, 66, 200, 700])
+def test_runs_of_any_length(n):
+    for value in ("2" * n + "024-01-01", "a" * n + "ndrew", "x" * n + "y" * n, "qwerty" + "1" * n + "9870", "p" * n + "assword" + "d" * n, "qwqwqwqw" * (n // 8) + "welcome"):
+        assert math.isclose(secret_scan.guess_cost(value), every_cut(value), abs_tol=1e-9), value
+    if n > 3:  # one more equal character costs little at every length
+        assert secret_scan.guess_cost("2" * n + "024-01-01") - secret_scan.guess_cost("2" * (n - 1) + "024-01-01") < 0.5
+
+
+def test_random_runs():
+    import random
+    rng = random.Random(11)
+    for _ in range(300):
+        value = "".join(rng.choice(["a", "1", "abcdefgh"[:rng.randint(1, 8)], "qwerty"[:rng.randint(1, 6)], "2", "0" * rng.randint(1, 30), "pass", "word", "2019"])
+                        for _ in range(rng.randint(1, 14)))
+        assert math.isclose(secret_scan.guess_cost(value), every_cut(value), abs_tol=1e-9), value
+
+
+@pytest.mark.parametrize("times", [20, 30, 300])
+def test_quoted_values_of_any_length(times):
+    text = 'password: "' + "Xk9 #qL2v! " * times + '" rest'
+    assert [s[1] for s in secret_scan.find_spans(text)] == [3]
+    assert secret_scan.redact(text) == 'password: "[REDACTED]" rest'
+
+
+def test_time_grows_with_the_text():
+    import time
+    took = []
+    for n in (4000, 8000, 16000):
+        text = "password=abcdefgh1 pwd=Xk9#qL2v!z " * n
+        began = time.process_time()
+        assert len(secret_scan.find_spans(text)) == 2 * n
+        took.append(time.process_time() - began)
+    assert took[2] < 3 * took[1] < 9 * took[0] + 1
