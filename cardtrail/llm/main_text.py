@@ -4,13 +4,15 @@
    a new line; character references are decoded; white space inside a line becomes one
    space. A line remembers whether it stands in boilerplate (a menu, header, footer,
    sidebar, advert, form or comment container, by tag, role, class or id; or one whose
-   name is vague, such as notice or share, with little text), in an article container,
-   and how much of it is link text.
+   name is vague, such as notice or share, unless it holds a heading of the first rank or
+   an article container), in an article container, in which block, and how much of it is
+   link text.
 2. Weigh: a line weighs its characters outside links, boilerplate lines nothing.
 3. Surge and dive: over sums of ``window`` consecutive lines, a surge is where the sum
    rises from 0 and a dive where it falls back to 0; the lines between a surge and its
    dive form a stretch. The stretch of the largest sum is kept with all stretches of at
-   least ``share`` of it.
+   least ``share`` of it; of lighter ones the lines stay that stand in a container of
+   lines of these.
 4. Check by article containers: of a kept stretch, the lines inside article containers
    and those outside are two groups, and a group of less than ``share`` of the other's
    weight is left out (teasers beside a plain text, stray lines beside an article). If
@@ -19,13 +21,16 @@
    articles, lines that are mostly links are left out, short lines between long ones stay.
 
 Null and empty pages give an empty text. Broken markup (unclosed tags, cut pages) is read
-as far as it goes. Every row gives one result row; only page_id, url and html are read.
+as far as it goes; a quote that opens a value but has no end that space, / or > follows is
+a character of the value, which ends at the tag's end. Every row gives one result row; only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,16 +54,16 @@ BOILER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|"
     r"disqus|footer|gdpr|masthead|menu|nav|navbar|navigation|newsletter|pagination|popup|promo|"
     r"related|replies|respond|sidebar|sitemap|sponsor|sponsored|subscribe|toolbar)(?:$|[\s_-])")
-#: Words that name boilerplate or content: such a block is boilerplate if its text is small.
+#: Words that name boilerplate or content: such a block is boilerplate unless it holds one of HOLDS.
 #: ``widget`` counts only as a whole name, for page builders wrap content in x-widget-y.
 VAGUE_NAME = re.compile(r"(?:^|[\s_-])(?:discussion|notice|promotion|share|sharing|social)(?:$|[\s_-])|(?:^|\s)widget(?:$|\s)")
-#: Most characters outside links of a small text.
-SMALL = 200
+#: Tags that show that a block holds the page's text (fixed values).
+HOLDS = frozenset("article h1 main".split())
 #: Classes of an <article> that is a reader's comment; its other names may be topics.
 COMMENT_CLASS = re.compile(r"(?:comment|reply)(?:[_-](?:body|content|item|text|wrap|wrapper|\d+))?")
 #: Names that say what stands beside a container, not what it is: has-sidebar, no-ads.
 LAYOUT_NAME = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|show|hide)[_-][\w-]+")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*"[^"]*"(?=[\s/>]|\Z)|=\s*'[^']*'(?=[\s/>]|\Z)|[^>])*+)(?:>|\Z)""", re.S)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.S | re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
 #: One attribute: its whole name, then its value, quoted or not, if it has one.
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))?)?""")
@@ -75,7 +80,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _is_boiler(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether a tag opens a boilerplate container, and whether it does if its text is small."""
+    """Whether a tag opens a boilerplate container, and whether its name is vague."""
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
         return True, False
     if tag in ("body", "html", "main") or not attributes:
@@ -89,103 +94,158 @@ def _is_boiler(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]
     return any(map(BOILER_NAME.search, names)), tag in BLOCK_TAGS and any(map(VAGUE_NAME.search, names))
 
 
-def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in boilerplate, in an article) of each non-empty line."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    words: list[str] = []
-    linked: list[str] = []
-    # tag, boilerplate, hidden, article, and for containers of a vague name the lines and weight before
-    stack: list[tuple[str, bool, bool, bool, tuple[int, int] | None]] = []
-    weight = 0  # characters outside links and boilerplate so far
-    small: list[tuple[int, int]] = []  # lines of small containers of a vague name
+class Open(NamedTuple):
+    """An open element: its flags hold for all below it. ``vague``: the lines and HOLDS tags
+    before it, if its name is vague."""
 
-    def flush() -> None:
-        nonlocal weight
-        text = " ".join(unescape("".join(words)).split())
+    tag: str
+    boiler: bool
+    hidden: bool
+    article: bool
+    link: bool
+    number: int
+    vague: tuple[int, int] | None
+
+
+PAGE = Open("", False, False, False, False, 0, None)
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int
+    boiler: bool
+    article: bool
+    container: int
+
+
+class _Page:
+    """What stands open and what was read so far. Every step looks at the innermost
+    elements only, or at those that it closes."""
+
+    def __init__(self):
+        self.lines: list[Line] = []
+        self.words: list[str] = []
+        self.linked: list[str] = []
+        self.stack = [PAGE]
+        self.blocks = [0]                 # places of PAGE and the open block tags in the stack
+        self.inline = [Counter()]         # open inline tags above each of these
+        self.open_blocks: Counter = Counter()
+        self.elements = self.holds = 0
+        self.vague: list[tuple[int, int]] = []  # lines of vague containers that hold no text of the page
+
+    def flush(self) -> None:
+        text = " ".join(unescape("".join(self.words)).split())
         if text:
-            top = stack[-1] if stack else ("", False, False, False, None)
-            links = min(len(text), len(" ".join(unescape("".join(linked)).split())))
-            lines.append((text, links, top[1], top[3]))
-            weight += 0 if top[1] else len(text) - links
-        words.clear()
-        linked.clear()
-
-    def say(text: str) -> None:
-        if text and not (stack and stack[-1][2]):
-            words.append(text)
-            if any(s[0] == "a" for s in stack):
-                linked.append(text)
-
-    def close(upto: int) -> None:
-        while len(stack) > upto:
-            if stack[-1][0] in BLOCK_TAGS or stack[-1][1] != (stack[-2][1] if len(stack) > 1 else False):
-                flush()
-            since = stack.pop()[4]
-            if since is not None and weight - since[1] <= SMALL and len(lines) > since[0]:
-                small.append((since[0], len(lines)))
+            top = self.stack[-1]
+            links = min(len(text), len(" ".join(unescape("".join(self.linked)).split())))
+            container = self.stack[self.blocks[-2] if len(self.blocks) > 1 else 0].number  # what the line's block stands in
+            self.lines.append(Line(text, links, top.boiler, top.article, container))
+        self.words.clear()
+        self.linked.clear()
+
+    def say(self, text: str) -> None:
+        top = self.stack[-1]
+        if text and not top.hidden:
+            self.words.append(text)
+            if top.link:
+                self.linked.append(text)
+
+    def close(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            top = self.stack[-1]
+            if top.tag in BLOCK_TAGS or top.boiler != self.stack[-2].boiler:
+                self.flush()
+            self.stack.pop()
+            if top.tag in BLOCK_TAGS:
+                self.blocks.pop()
+                self.inline.pop()
+                self.open_blocks[top.tag] -= 1
+            else:
+                self.inline[-1][top.tag] -= 1
+            if top.vague is not None and self.holds == top.vague[1] and len(self.lines) > top.vague[0]:
+                self.vague.append((top.vague[0], len(self.lines)))
 
+    def end(self, tag: str) -> None:
+        """An end tag; an inline one doesn't close blocks."""
+        if tag in BLOCK_TAGS:
+            if self.open_blocks[tag]:
+                self.close(next(i for i in reversed(self.blocks) if self.stack[i].tag == tag))
+            self.flush()
+        elif self.inline[-1][tag] > 0:
+            at = len(self.stack) - 1
+            while self.stack[at].tag != tag:
+                at -= 1
+            self.close(at)
+
+    def start(self, tag: str, attributes: str) -> None:
+        block = tag in BLOCK_TAGS
+        if block:
+            self.flush()
+            for at in range(len(self.blocks) - 1, 0, -1):
+                inner = self.stack[self.blocks[at]].tag
+                if tag in CLOSED_BY.get(inner, ()):
+                    self.close(self.blocks[at])
+                    break
+                if inner != "p":
+                    break
+        up = self.stack[-1]
+        boiler, vague = (True, False) if up.boiler else _is_boiler(tag, attributes, up.article)
+        if boiler and not up.boiler:
+            self.flush()
+        self.elements += 1
+        article = tag in ("article", "main")
+        self.stack.append(Open(tag, boiler, up.hidden or tag in HIDDEN_TAGS, up.article or article, up.link or tag == "a", self.elements,
+                               (len(self.lines), self.holds) if vague and not boiler else None))
+        self.holds += tag in HOLDS
+        if block:
+            self.blocks.append(len(self.stack) - 1)
+            self.inline.append(Counter())
+            self.open_blocks[tag] += 1
+        else:
+            self.inline[-1][tag] += 1
+
+
+def page_lines(html: str) -> list[Line]:
+    """The non-empty lines of a page."""
+    page = _Page()
     at = 0
     while True:
         m = TOKEN.search(html, at)
+        page.say(html[at:m.start() if m else len(html)])
         if m is None:
-            say(html[at:])
             break
-        say(html[at:m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK_TAGS and tag not in BLOCK_TAGS:
-                    break  # an inline end tag doesn't close blocks
-            if tag in BLOCK_TAGS:
-                flush()
-            continue
-        if tag == "br":
-            say(" ")
-            continue
-        if tag in VOID_TAGS:
+            page.end(tag)
+        elif tag == "br":
+            page.say(" ")
+        elif tag in VOID_TAGS:
             if tag in BLOCK_TAGS:
-                flush()
-            continue
-        if tag in BLOCK_TAGS:
-            flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in CLOSED_BY.get(stack[i][0], ()):
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK_TAGS and stack[i][0] != "p":
-                    break
-        up = stack[-1] if stack else ("", False, False, False, None)
-        if m[3].rstrip().endswith("/") and tag in ("svg", "iframe", "script"):
-            continue
-        boiler, vague = (True, False) if up[1] else _is_boiler(tag, m[3], up[3])
-        if boiler and not up[1]:
-            flush()
-        stack.append((tag, boiler, up[2] or tag in HIDDEN_TAGS, up[3] or tag in ("article", "main"), (len(lines), weight) if vague and not boiler else None))
-        if tag in RAW_END:
-            end = RAW_END[tag].search(html, at)
-            at = end.end() if end else len(html)
-            stack.pop()
-    close(0)
-    flush()
-    out, done = list(lines), 0
-    for a, b in sorted(small):
+                page.flush()
+        elif not (m[3].rstrip().endswith("/") and tag in ("svg", "iframe", "script")):
+            page.start(tag, m[3])
+            if tag in RAW_END:
+                end = RAW_END[tag].search(html, at)
+                at = end.end() if end else len(html)
+                page.close(len(page.stack) - 1)
+    page.close(1)
+    page.flush()
+    out, done = list(page.lines), 0
+    for a, b in sorted(page.vague):
         for i in range(max(a, done), b):
-            out[i] = (*lines[i][:2], True, lines[i][3])
+            out[i] = out[i]._replace(boiler=True)
         done = max(done, b)
-    # a page with nothing else keeps its small text
-    return out if any(not boiler and len(text) > links for text, links, boiler, _ in out) else lines
+    # a page with nothing else keeps its vague blocks
+    return out if any(not line.boiler and len(line.text) > line.linked for line in out) else page.lines
 
 
 def main_text(html: str | None, window: int = 3, share: float = 0.3) -> str:
     """The main text of one page, its blocks joined by line feeds."""
     lines = page_lines(html) if html else []
-    weights = [0 if boiler else len(text) - links for text, links, boiler, _ in lines]
+    weights = [0 if line.boiler else len(line.text) - line.linked for line in lines]
     sums = [sum(weights[max(0, i - window + 1):i + 1]) for i in range(len(lines))]
     stretches, start = [], None
     for i, total in enumerate([*sums, 0]):
@@ -197,17 +257,21 @@ def main_text(html: str | None, window: int = 3, share: float = 0.3) -> str:
     kept = [False] * len(lines)
     most, home = 0, False
     for total, a, b in stretches:
-        inside = sum(weights[i] for i in range(a, b) if lines[i][3])
+        inside = sum(weights[i] for i in range(a, b) if lines[i].article)
         if total > most:
             most, home = total, inside * 2 >= total
+    text_like = [weight * 2 >= len(line.text) for weight, line in zip(weights, lines)]
+    containers = {lines[i].container for total, a, b in stretches if total >= share * most for i in range(a, b) if text_like[i]}
     for total, a, b in stretches:
         if total < share * most:
+            for i in range(a, b):
+                kept[i] = text_like[i] and lines[i].container in containers
             continue
-        inside = sum(weights[i] for i in range(a, b) if lines[i][3])
+        inside = sum(weights[i] for i in range(a, b) if lines[i].article)
         groups = {True: inside >= share * (total - inside), False: total - inside >= share * inside}
         for i in range(a, b):
-            kept[i] = groups[lines[i][3]] and weights[i] * 2 >= len(lines[i][0])
-    return "\n".join(text for (text, _, boiler, article), keep in zip(lines, kept) if not boiler and (keep or home and article))
+            kept[i] = groups[lines[i].article] and text_like[i]
+    return "\n".join(line.text for line, keep in zip(lines, kept) if not line.boiler and (keep or home and line.article))
 
 
 def extract_main_text(pages: DataFrame, window: int = 3, share: float = 0.3) -> DataFrame:

@@ -97,6 +97,45 @@ def test_attributes_are_read_whole(html, want):
     assert main_text(html) == want
 
 
+LINKS = "<ul><li><a href=/1>One link</a><li><a href=/2>Two links</a><li><a href=/3>Three</a><li><a href=/4>Four</a></ul>"
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<div><p>{LONG} {LONG}</p>{LINKS}<p>The closing paragraph.</p></div>", f"{LONG} {LONG}\nThe closing paragraph."),
+    (f"<body><p>{LONG} {LONG}</p>{LINKS}<p>Between.</p>{LINKS}<p>{LONG} {LONG}</p>{LINKS}<div><p>Elsewhere.</p></div></body>", f"{LONG} {LONG}\nBetween.\n{LONG} {LONG}"),
+])
+def test_light_stretches_of_the_same_container_stay(html, want):
+    assert main_text(html) == want
+
+
+@pytest.mark.parametrize("n", [1, 100, 200, 201, 400])
+def test_vague_blocks_are_judged_by_what_they_hold(n):
+    words = "word " * n
+    assert main_text(f"<p>{LONG}</p><div class=notice><p>{words}</p></div><p>{LONG}</p>") == f"{LONG}\n{LONG}"
+    assert main_text(f"<p>{LONG}</p><div class=discussion><h1>A title</h1><p>{words}</p></div>") == f"{LONG}\nA title\n{words.strip()}"
+
+
+@pytest.mark.parametrize("html, want", [
+    (f'<p>{LONG}</p><p title="open>Second para is kept</p>', f"{LONG}\nSecond para is kept"),
+    (f'<p>{LONG}</p><p title="open>Second para is kept</p><p class="x">Third</p>', f"{LONG}\nSecond para is kept\nThird"),
+    (f"<p>{LONG}</p><p>It <a title=it's>link</a> goes on and on</p><p>{LONG}</p>", f"{LONG}\nIt link goes on and on\n{LONG}"),
+    (f"<p data-x='a > b' title=\"c > 'd'\">{LONG}</p>", LONG),
+])
+def test_broken_attributes(html, want):
+    assert main_text(html) == want
+
+
+@pytest.mark.parametrize("unit", ["<b>x", "<div>x", "<b>x</i>", "<i><b>x</i><p>", "<b><div>x</div>", "<li><b>x", "<table><tr><td>x", '<p title="x>y'])
+def test_time_grows_with_the_page(unit):
+    import time
+    took = []
+    for n in (10_000, 20_000, 40_000):
+        began = time.process_time()
+        main_text(unit * n)
+        took.append(time.process_time() - began)
+    assert took[2] < 3 * took[1] + 0.2 and took[1] < 3 * took[0] + 0.2
+
+
 def test_very_long_and_deep_pages():
     text = "word " * 200_000
     assert main_text(f"<article><p>{text}</p></article>") == text.strip()
