@@ -77,13 +77,15 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 100, archive_reco
     scratch.drop("first")
 
 
-LINKS = "archive string, at long, next long, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, valid boolean"
+LINKS = "archive string, at long, next long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, valid boolean"
+END_MARK = "end"
 
 
 def candidates(spark, path: str) -> DataFrame:
     """A row for each header found at any offset of the archives under ``path``: where it
-    is, where its successor should be, and what it says. ``valid`` tells whether a
-    response's bytes have the digest that its header names."""
+    is, where its successor should be, and what it says; a response's length and digest are
+    those of its bytes, and ``valid`` tells whether they have the digest that its header
+    names. The end of each archive is a row of type END_MARK that follows itself."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def run(batches):
@@ -91,6 +93,7 @@ def candidates(spark, path: str) -> DataFrame:
             rows = []
             for name, data in zip(pdf["path"], pdf["content"]):
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                rows.append((name, len(data), len(data), None, None, END_MARK, None, None, None, True))
                 at = data.find(MAGIC)
                 while at >= 0:
                     stop = data.find(b"\r\n\r\n", at)
@@ -102,10 +105,12 @@ def candidates(spark, path: str) -> DataFrame:
                         start, end = stop + 4, stop + 4 + int(length)
                         kind = said.get(b"warc-type", b"").decode("latin-1")
                         digest = said.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode("latin-1")
-                        valid = kind != "response" or hashlib.sha256(memoryview(data)[start:end]).hexdigest() == digest
-                        full = said.get(b"x-payload-length", length)
-                        rows.append((name, at, end + 4, _page(said.get(b"warc-record-id")), kind, int(full) if full.isdigit() and len(full) < 19 else None,
-                                     digest, _page(said.get(b"warc-refers-to")), valid))
+                        uri = said.get(b"warc-target-uri")
+                        size, found = int(length), digest
+                        if kind == "response":
+                            found = hashlib.sha256(memoryview(data)[start:end]).hexdigest()
+                        rows.append((name, at, end + 4, _page(said.get(b"warc-record-id")), uri and uri.decode("utf-8", "replace"), kind, size, found,
+                                     _page(said.get(b"warc-refers-to")), found == digest))
                     at = data.find(MAGIC, at + 1)
             names = [c.split()[0] for c in LINKS.split(", ")]
             nullable = ("page_id", "refers_to", "payload_bytes")  # never through floats
@@ -143,11 +148,30 @@ def reachable(links: DataFrame, scratch: Scratch) -> DataFrame:
         reached, count, number = found, total, number + 1
 
 
-RECORDS = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+RECORDS = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """The records of the chain of every archive under ``path``."""
+    """The records of the chain of every archive under ``path``: page_id, url, payload_bytes
+    and payload_digest of the full payload, record_type, refers_to, valid.
+
+    Lengths and digests come from the bytes read: a response's from its own, a revisit's
+    from the response that it names, if that one has the digest that the revisit names;
+    else they are null and the revisit is not valid."""
     scratch = Scratch(spark, "warc")
     links = scratch.cut(candidates(spark, path), "links")
-    return links.join(reachable(links, scratch), ["archive", "at"], "left_semi").select(*RECORDS)
+    records = links.join(reachable(links, scratch), ["archive", "at"], "left_semi").where(F.col("record_type") != END_MARK)
+    responses = (records.where("record_type = 'response'")
+                 .select(F.col("page_id").alias("refers_to"), F.col("payload_digest"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest")).distinct())
+    revisits = records.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest"], "left")
+    revisits = revisits.withColumns({"payload_bytes": F.col("full_bytes"), "payload_digest": F.col("full_digest"), "valid": F.col("full_digest").isNotNull()})
+    return records.where("record_type <> 'revisit'").select(*RECORDS).unionByName(revisits.select(*RECORDS))
+
+
+def unfinished(spark, path: str) -> DataFrame:
+    """The archives under ``path`` (archive, bytes) whose chain doesn't lead to their end:
+    what stands behind the break is in no record."""
+    scratch = Scratch(spark, "warc-chains")
+    links = scratch.cut(candidates(spark, path), "links")
+    ends = links.where(F.col("record_type") == END_MARK).select("archive", "at")
+    return ends.join(reachable(links, scratch), ["archive", "at"], "left_anti").withColumnRenamed("at", "bytes")

@@ -67,6 +67,29 @@ def test_a_broken_chain_keeps_what_comes_before(spark):
     assert sorted(r["page_id"] for r in warc.read_warc(spark, folder).collect()) == [1, 2, 3]
 
 
+def test_damage_is_seen(spark):
+    rows = [(1, "http://a/", "first " * 40), (2, "http://b/", "first " * 40), (3, None, "third")]
+    path, back = roundtrip(spark, spark.createDataFrame(rows, PAGES).coalesce(1))
+    assert {(r["page_id"], r["url"], r["valid"]) for r in back.collect()} == {(1, "http://a/", True), (2, "http://b/", True), (3, None, True)}
+    assert warc.unfinished(spark, path).count() == 0
+    name = path.replace("file:", "")
+    name = os.path.join(name, next(f for f in os.listdir(name) if f.startswith("part-")))
+    data = gzip.open(name).read()
+    folder = tempfile.mkdtemp(prefix="ct-warc-")
+    with open(f"{folder}/part-0", "wb") as f:
+        f.write(data.replace(b"first ", b"worst ", 1))
+    got = {r["page_id"]: r for r in warc.read_warc(spark, folder).collect()}
+    changed = ("first " * 40).replace("first", "worst", 1).encode()
+    assert got[1]["payload_digest"] == hashlib.sha256(changed).hexdigest() and not got[1]["valid"]
+    assert got[2]["payload_digest"] is None and got[2]["payload_bytes"] is None and not got[2]["valid"]
+    assert got[3]["valid"] and warc.unfinished(spark, folder).count() == 0
+    with open(f"{folder}/part-1", "wb") as f:
+        f.write(data[:-3])
+    with open(f"{folder}/part-2", "wb") as f:
+        f.write(b"no archive")
+    assert sorted(r["bytes"] for r in warc.unfinished(spark, folder).collect()) == [10, len(data) - 3]
+
+
 def test_empty_table(spark):
     assert roundtrip(spark, spark.createDataFrame([], PAGES))[1].count() == 0
 
