@@ -8,7 +8,8 @@ shards, then over the groups. Tiles meet in a join on (lot of blocks, salt): sha
 copied once per lot of ``block_rows`` queries, never per query, and the salt spreads a
 lot's shards over tasks. A task works on one tile at a time.
 
-Components are floor(256 * x), computed in double precision. The product runs in doubles
+Components are floor(256 * x), computed in double precision (beyond its range: the largest
+double). The product runs in doubles
 while every possible sum stays below 2^53 and in Python integers beyond (scores outside
 the long range are clamped to it); either way ranks are exact. Vectors that are null or
 hold null or non-finite components take no part; vectors are compared within their
@@ -27,6 +28,7 @@ from pyspark.sql import Window
 
 from cardtrail.llm.common import map_batches
 
+LARGEST = np.finfo(np.float64).max
 PACKED = "block long, dim int, ids array<long>, matrix binary"
 
 
@@ -49,7 +51,9 @@ def pack(vectors: DataFrame, rows: int) -> DataFrame:
             for dim, part in pdf.groupby(dims):
                 for a in range(0, len(part), rows):
                     piece = part.iloc[a:a + rows]
-                    matrix = np.floor(np.stack(piece["embedding"].to_numpy()) * 256.0) if dim else np.zeros((len(piece), 0))
+                    with np.errstate(over="ignore"):
+                        matrix = np.floor(np.stack(piece["embedding"].to_numpy()) * 256.0) if dim else np.zeros((len(piece), 0))
+                    matrix = np.clip(matrix, -LARGEST, LARGEST)
                     yield pd.DataFrame({"block": [number], "dim": [int(dim)], "ids": [piece["vec_id"].to_numpy()],
                                         "matrix": [matrix.astype(np.float64).tobytes()]})
                     number += 1
@@ -83,11 +87,12 @@ def _best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) ->
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 2048,
-               shard_rows: int = 2048, fan: int = 16, salts: int = 16) -> DataFrame:
+               shard_rows: int = 2048, fan: int = 16, salts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best vectors of each query vector, the
     query's own id excepted."""
     candidates, asked = usable(vectors), usable(queries)
     lots = max(1, -(-asked.count() // block_rows))
+    salts = salts or max(16, vectors.count() // (4 * shard_rows))  # a few shards of each lot in a task
     hashed = F.xxhash64("ids")
     shards = pack(candidates, shard_rows).select(
         "dim", F.col("ids").alias("c_ids"), F.col("matrix").alias("c_matrix"), hashed.alias("shard"),

@@ -48,3 +48,10 @@ def test_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF001}/embeddings.parquet'")
     assert {tuple(r) for r in op8_exact_topk(spark, SF001).collect()} == set(con.execute(ORACLE_SQL["op8_exact_topk"]).fetchall())
+
+
+def test_components_beyond_the_range(spark):
+    rows = [(0, [1.7e308, 1.0]), (1, [1.7e308, 0.0]), (2, [-1.7e308, 0.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = [(r["vec_id"], r["score"]) for r in exact_topk.exact_topk(df, df.where("vec_id = 0"), k=3).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 65536), (2, -2**63)]
