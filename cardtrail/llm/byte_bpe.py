@@ -275,6 +275,8 @@ def _batches(docs: DataFrame, ranks_file: bytes | None, schema: str, rows_of) ->
             texts = [t or "" for t in pdf["text"]]
             for a, b in slices(texts, 1 << 21):
                 out = rows_of(bpe, *bpe.encode_batch(texts[a:b]))
+                if "text" in out and out["text"].tolist() != texts[a:b]:
+                    raise ValueError("decoding the ids doesn't give the text back")
                 out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].array)
                 yield out
 
@@ -290,6 +292,17 @@ def encode(docs: DataFrame, ranks_file: bytes | None = None) -> DataFrame:
     return _batches(docs, ranks_file, "doc_id long, ids array<int>", rows)
 
 
+def encode_and_decode(docs: DataFrame, ranks_file: bytes | None = None) -> DataFrame:
+    """doc_id, the ids of the whole text, and the text that decoding them gives back; it is
+    an error if that isn't the text that went in (null: empty)."""
+
+    def rows(bpe, ids, ends):
+        parts = np.split(ids, ends[:-1])
+        return pd.DataFrame({"ids": parts, "text": [bpe.decode(p).decode() for p in parts]})
+
+    return _batches(docs, ranks_file, "doc_id long, ids array<int>, text string", rows)
+
+
 def encode_digests(docs: DataFrame, ranks_file: bytes | None = None) -> DataFrame:
     """doc_id, number of ids, sha256 of the joined decimal ids, sha256 of the bytes that
     decoding the ids gives back."""
