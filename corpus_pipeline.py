@@ -1,7 +1,13 @@
 """A training-data pipeline over ``documents``: drop toxic documents, keep one document
 of each near-duplicate group, redact secrets, mix the sources, encode to byte-level BPE.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept."""
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+
+Null texts pass every stage but the last as null, and empty texts stay; the mix takes
+neither, for they have no words. Of repeated rows of one doc_id near-dedup keeps one;
+rows without doc_id are no duplicates of anything and stay. Where documents tie, the
+smallest doc_id wins. Columns beside those of documents pass unread, whatever their names,
+up to the last stage. Empty tables give empty results."""
 
 from __future__ import annotations
 
@@ -32,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of every document of the mix."""
-    return byte_bpe.encode(docs)
+    """doc_id, token ids and the text decoded from them, of every document of the mix."""
+    return byte_bpe.encode_and_decode(docs)
 
 
 STAGES = [
