@@ -18,9 +18,9 @@ keeps the terms that stand in at least ``min_docs`` of its documents. A group is
 4. Pairs. Two groups without a term both have their least share, p0, so V f(p0, p0') is
    the sum over all kept terms but for corrections. A term of one group corrects it by
    f(p, p0') - f(p0, p0'), which depends on p alone, so a histogram of p per group is
-   enough; a term of both corrects it by what is then left, summed from a stream of the
-   terms' postings in tiles of ``TILE`` by ``TILE`` groups, which leave when
-   ``TILES`` of them are held.
+   enough; a term of both corrects it by what is then left. The terms' postings stream
+   through tasks that make about ``PAIRS`` pairs at a time and hold one sum per pair of
+   groups; the sums leave when ``HELD_SUMS`` of them are held.
 
 All arithmetic is in whole numbers: decimals for p, 64 bits beyond (p is at most 10^9 + 1).
 A row of the result exists for every pair of sources, so what is held per source stays
@@ -49,8 +49,8 @@ from cardtrail.llm.common import Scratch, map_arrow
 
 SCALE = 1_000_000_000
 CHUNK = 256
-TILE = 256
-TILES = 64
+PAIRS = 1 << 20
+HELD_SUMS = 1_000_000
 SLICE = 8 << 20
 #: Bytes of terms as they are, A-Z lower-cased, all others a space.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -84,11 +84,13 @@ def postings(docs: DataFrame, shards: int, block_postings: int) -> DataFrame:
                 counts = groups.setdefault(key, Counter({b"": 0}))
                 documents = groups.setdefault((key[0], None), Counter())
                 held -= len(counts) + len(documents)
-                seen = None
-                for terms in term_slices(texts[row].as_py()):
-                    of_slice = Counter(terms)
-                    counts.update(of_slice)
-                    seen = of_slice.keys() if seen is None else seen | of_slice.keys()
+                slices = term_slices(texts[row].as_py())
+                terms = next(slices)
+                counts.update(terms)
+                seen = set(terms)
+                for terms in slices:
+                    counts.update(terms)
+                    seen.update(terms)
                 documents.update(seen)
                 held += len(counts) + len(documents)
                 if held >= block_postings:
@@ -234,34 +236,43 @@ def common_corrections(priced: DataFrame) -> DataFrame:
         return (p - q) ** 2 // (p + q)
 
     def run(batches):
-        places: dict[str, dict[str, int]] = {}  # of a language's sources, as they come
-        tiles: dict[tuple[str, int, int], np.ndarray] = {}
+        codes: dict[tuple[str, str], int] = {}  # of (language, source), as they come
+        sums: dict[int, int] = {}               # by code << 32 | greater code
 
         def emptied():
-            names, rows = {lang: list(of) for lang, of in places.items()}, []
-            for (lang, x, y), tile in tiles.items():
-                for i, j in zip(*(k.tolist() for k in np.nonzero(tile))):
-                    a, b = names[lang][x * TILE + i], names[lang][y * TILE + j]
-                    if a < b:
-                        rows.append((lang, a, b, int(tile[i, j])))
-            tiles.clear()
+            names = list(codes)
+            rows = [(names[k >> 32][0], *sorted((names[k >> 32][1], names[k & 0xFFFFFFFF][1])), n) for k, n in sums.items()]
+            sums.clear()
             for i in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows[i:i + 10_000]), kinds)], schema=pa.schema(kinds))
 
         for batch in batches:
-            for lang, sources, p, p0 in zip(*(batch.column(c) for c in ("lang", "sources", "p", "p0"))):
-                lang, p, p0 = lang.as_py(), p.values.to_numpy(), p0.values.to_numpy()
-                of = places.setdefault(lang, {})
-                at = np.array([of.setdefault(s, len(of)) for s in sources.as_py()])
-                parts = [(x, np.flatnonzero(at // TILE == x)) for x in np.unique(at // TILE).tolist()]
-                for x, i in parts:
-                    for y, j in parts:
-                        if (lang, x, y) not in tiles:
-                            if len(tiles) >= TILES:
-                                yield from emptied()
-                            tiles[lang, x, y] = np.zeros((TILE, TILE), dtype=np.int64)
-                        a, a0, b, b0 = p[i][:, None], p0[i][:, None], p[j][None], p0[j][None]
-                        tiles[lang, x, y][np.ix_(at[i] % TILE, at[j] % TILE)] += f(a, b) - f(a, b0) - f(a0, b) + f(a0, b0)
+            sizes = batch.column("sources").value_lengths().to_numpy()
+            langs, sources = batch.column("lang").dictionary_encode(), batch.column("sources").flatten().dictionary_encode()
+            both, place = np.unique(np.repeat(langs.indices.to_numpy(), sizes) * np.int64(len(sources.dictionary)) + sources.indices.to_numpy(), return_inverse=True)
+            pairs = (divmod(x, len(sources.dictionary)) for x in both.tolist())
+            code = np.array([codes.setdefault((langs.dictionary[x].as_py(), sources.dictionary[y].as_py()), len(codes)) for x, y in pairs], dtype=np.int64)[place]
+            p, p0 = batch.column("p").flatten().to_numpy(), batch.column("p0").flatten().to_numpy()
+            starts, partners = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes).astype(np.int64)
+            work = np.cumsum(partners) // PAIRS  # entries whose pairs are made at a time
+            for piece in np.split(np.arange(len(code)), np.flatnonzero(np.diff(work)) + 1):
+                n = partners[piece]
+                left = np.repeat(piece, n)
+                right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[piece], n)
+                up = code[left] < code[right]
+                left, right = left[up], right[up]
+                if not len(left):
+                    continue
+                a, a0, b, b0 = p[left], p0[left], p[right], p0[right]
+                value = f(a, b) - f(a, b0) - f(a0, b) + f(a0, b0)
+                key = code[left] << 32 | code[right]
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                for k, total in zip(key[first].tolist(), np.add.reduceat(value[order], first).tolist()):
+                    sums[k] = sums.get(k, 0) + total
+                if len(sums) > HELD_SUMS:
+                    yield from emptied()
         yield from emptied()
 
     terms = priced.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("t")).where(F.size("t") > 1)
@@ -286,7 +297,7 @@ def source_pairs(groups: DataFrame, priced: DataFrame) -> DataFrame:
     return sums.select("lang", "value", ways.alias("way")).select("lang", "way.source", "way.item", "value")
 
 
-def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, block_postings: int = 1_000_000, shards: int | None = None) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, block_postings: int = 500_000, shards: int | None = None) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank of every group."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "divergence")

@@ -72,8 +72,8 @@ def test_many_small_blocks_and_shards(spark):
     check(spark, rows, 10, shards=1)
 
 
-def test_more_sources_than_a_tile_holds(spark):
-    rows = random_rows(2 * divergence.TILE + 10, 700)
+def test_many_sources(spark):
+    rows = random_rows(520, 700)
     check(spark, [(i, text, "en", source, n) for i, text, _, source, n in rows], 10)
 
 
