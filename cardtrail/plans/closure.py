@@ -50,12 +50,15 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..constants import CARD, IN_COL, OUT_COL, PRI_COL, TRACED_COLUMNS
 from ..functions import predicates as P
 from ..operators import semi
 from ..session import broadcast_row_limit, delete_path, scratch_path
 from ..sinks import write_counted
+from . import encoded
+from .manifest import Manifest
 
 _A, _B = "a", "b"
 _ROUND = "round"
@@ -78,6 +81,12 @@ _BUCKET = "bucket"
 _BUCKET_ROWS = 2_000_000
 
 
+def _ends(df: DataFrame):
+    """The two ends of adjacency rows; ``b`` may be a list of neighbours."""
+    both = F.concat(F.array(F.col(_A)), F.col(_B)) if isinstance(df.schema[_B].dataType, ArrayType) else F.array(F.col(_A), F.col(_B))
+    return F.explode(both).alias(CARD)
+
+
 def bucket_of(card, buckets: int):
     """Hash bucket of a card (``xxhash64``: stable across runs and machines)."""
     c = F.col(card) if isinstance(card, str) else card
@@ -131,7 +140,7 @@ class WideAdjacency:
     def _write(self) -> None:
         degrees = self.adj.groupBy(F.col(_A).alias("__hub")).count().filter(F.col("count") > _BUCKET_ROWS)
         degrees.select("__hub").write.parquet(f"{self.path}/hubs")
-        self.hubs = self.spark.read.schema("__hub string").parquet(f"{self.path}/hubs")
+        self.hubs = self.spark.read.schema(degrees.select("__hub").schema).parquet(f"{self.path}/hubs")
         is_hub = F.col(_A) == F.col("__hub")
         self.adj.join(F.broadcast(self.hubs), is_hub, "left_semi").select(_A, _B).write.parquet(f"{self.path}/hub-rows")
         (self.adj.join(F.broadcast(self.hubs), is_hub, "left_anti").select(_A, _B)
@@ -146,13 +155,12 @@ class WideAdjacency:
         hit = F.col(_A) == F.col("__ct_card")
         plain = self.spark.table(self.name).join(keys, hit, "left_semi")
         probed_hubs = keys.join(F.broadcast(self.hubs), F.col("__ct_card") == F.col("__hub"), "left_semi")
-        rows = self.spark.read.schema(f"{_A} string, {_B} string").parquet(f"{self.path}/hub-rows")
+        rows = self.spark.read.schema(self.adj.select(_A, _B).schema).parquet(f"{self.path}/hub-rows")
         both = plain.unionAll(rows.join(F.broadcast(probed_hubs), hit, "left_semi"))
-        return both.select(F.explode(F.array(F.col(_A), F.col(_B))).alias(CARD))
+        return both.select(_ends(both))
 
     def drop(self) -> None:
-        if self.written:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")  # also what a failed write left
         delete_path(self.spark, self.path)
 
 
@@ -170,7 +178,7 @@ def endpoints(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
     if buckets:
         cond = (F.col(_BUCKET) == F.col("__ct_bucket")) & cond
     hit = adj.join(keys, cond, "left_semi")
-    return hit.select(F.explode(F.array(F.col(_A), F.col(_B))).alias(CARD))
+    return hit.select(_ends(hit))
 
 
 def expand(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
@@ -209,14 +217,16 @@ class TraceResult:
     seeds: DataFrame                # distinct seed cards
     seed_set_size: int
     frontier_path: str
+    kind: str = "string"            # of cards: string, or long for numbered ones
 
     @property
     def frontier(self) -> DataFrame:
         """``(card, round)``: each card reached, with the first round it was in S."""
+        schema = f"{CARD} {self.kind}, {_ROUND} int"
         if self.rounds == 0:
-            return self.spark.createDataFrame([], f"{CARD} string, {_ROUND} int")
-        return (self.spark.read.schema(f"{CARD} string, {_ROUND} int")
-                .parquet(self.frontier_path).select(CARD, _ROUND))
+            return self.spark.createDataFrame([], schema)
+        return (self.spark.read.schema(schema).parquet(self.frontier_path)
+                .filter(F.col(_ROUND) <= self.rounds).select(CARD, _ROUND))
 
     def cleanup(self) -> None:
         """Delete this trace's folder (frontier and seeds) once its outputs are
@@ -253,78 +263,170 @@ class TraceResult:
 
 def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
           max_rounds: int | None = None, stop: str = "count",
-          method: str = "delta") -> TraceResult:
+          method: str = "delta", layout: str = "pairs", run_path: str | None = None) -> TraceResult:
     """Run the closure over ``rows`` (already filtered and trimmed) from the
-    one-column ``card`` DataFrame ``seeds``."""
+    one-column ``card`` DataFrame ``seeds``.
+
+    ``layout="lists"`` numbers the cards and walks sorted neighbour lists (``encoded``);
+    the result is the same.
+
+    With ``run_path`` (a folder in the shared store) every finished step is put on record
+    there. A run that was stopped, its driver lost, goes on from the last complete round
+    when the same call is made again: neither the history nor an earlier round is read or
+    computed again. A run on record as finished is returned as it is; a larger
+    ``max_rounds`` takes it further while its adjacency is there, that is unless a stop
+    rule ended it. Without ``run_path`` a failed run leaves nothing behind."""
     if stop not in ("count", "set"):
         raise ValueError(f"unknown stop rule {stop!r}")
     if method not in ("delta", "full"):
         raise ValueError(f"unknown method {method!r}")
+    if layout not in ("pairs", "lists"):
+        raise ValueError(f"unknown layout {layout!r}")
     spark = rows.sparkSession
-    base = scratch_path(spark, "trace")
-    seed_path = f"{base}/seeds"
-    # One job writes the distinct seeds; the list length (duplicates count)
-    # and the set size are both observed on the written rows.
+    base = run_path or scratch_path(spark, "trace")
+    manifest = Manifest(spark, f"{base}/manifest") if run_path else None
+    if manifest is not None:
+        asked = {"src": src, "dest": dest, "stop": stop, "method": method, "layout": layout}
+        if manifest.steps().get("run", asked) != asked:
+            raise ValueError(f"{run_path} holds a run with other settings: {manifest.steps()['run']}")
+        manifest.done("run", **asked)
+    try:
+        return _trace(rows, seeds, src, dest, max_rounds, stop, method, layout, base, manifest)
+    except BaseException:
+        if manifest is None:
+            delete_path(spark, base)
+        raise
+
+
+def _write_seeds(seeds: DataFrame, path: str) -> tuple[int, int]:
+    """Write the distinct seeds; the list's length (duplicates count) and the set's size,
+    both observed on the written rows."""
     seen = Observation()
-    seed_set_rows = (seeds.groupBy(F.col(CARD).cast("string").alias(CARD))
-                     .agg(F.count(F.lit(1)).alias("m"))
-                     .observe(seen, F.count(F.lit(1)).alias("n"),
-                              F.coalesce(F.sum("m"), F.lit(0)).alias("listed")))
-    seed_set_rows.write.mode("overwrite").parquet(seed_path)
-    n_seed_set, n_list = int(seen.get["n"]), int(seen.get["listed"])
-    seed_set = spark.read.parquet(seed_path).select(CARD)
-    frontier_path = f"{base}/frontier"
-    sizes = [n_list]
-    result = TraceResult(spark, base, 0, sizes, seed_set, n_seed_set, frontier_path)
-    if n_list == 0 or (max_rounds is not None and max_rounds <= 0):
-        return result
+    (seeds.groupBy(CARD).agg(F.count(F.lit(1)).alias("m"))
+     .observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("listed"))
+     .write.mode("overwrite").parquet(path))
+    return int(seen.get["listed"]), int(seen.get["n"])
+
+
+def _write_adjacency(adj: DataFrame, base: str) -> tuple[int, int | None]:
+    """Write the adjacency below ``base``, in buckets if it is large: rows and buckets."""
+    spark = adj.sparkSession
+    adj_path = f"{base}/adjacency"
+    adj_rows = write_counted(adj, adj_path)
+    buckets = _bucket_plan(spark, adj_rows)
+    if buckets is not None:
+        # One pass over the adjacency (not the history). Rows of a bucket are dealt
+        # to as many files as its measured size asks for: a hub's bucket to many.
+        flat = spark.read.schema(adj.schema).parquet(adj_path).withColumn(_BUCKET, bucket_of(_A, buckets))
+        sizes_of = flat.groupBy(_BUCKET).agg(F.ceil(F.count("*") / _BUCKET_ROWS).alias("__files"))
+        # at most ``buckets`` rows of two numbers, and ``buckets`` is bounded
+        (flat.join(F.broadcast(sizes_of), _BUCKET)
+         .withColumn("__salt", F.pmod(F.xxhash64(F.col(_B)), F.col("__files")))
+         .repartition(max(buckets, adj_rows // _BUCKET_ROWS), F.col(_BUCKET), F.col("__salt")).drop("__files", "__salt")
+         .write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{base}/adjacency-buckets"))
+        delete_path(spark, adj_path)
+    return adj_rows, buckets
+
+
+def _trace(rows, seeds, src, dest, max_rounds, stop, method, layout, base, manifest) -> TraceResult:
+    spark = rows.sparkSession
+    known = manifest.steps() if manifest is not None else {}
+    seeds = seeds.select(F.col(CARD).cast("string").alias(CARD))
+    ids, kind = None, "string"
+    if layout == "lists":
+        kind = "long"
+        if "graph" not in known:
+            graph = encoded.encode(adjacency(rows, src, dest), f"{base}/graph", more=seeds)
+            encoded.neighbour_lists(graph.pairs, f"{base}/graph")
+            if manifest is not None:
+                manifest.done("graph")
+        ids = spark.read.schema(f"{CARD} string, {encoded.ID} long").parquet(f"{base}/graph/ids")
+        seeds = encoded.with_ids(seeds, ids, [CARD])
+    seed_path, frontier_path = f"{base}/seeds", f"{base}/frontier"
+    if "seeds" not in known:
+        n_list, n_seed_set = _write_seeds(seeds, seed_path)
+        if manifest is not None:
+            manifest.done("seeds", listed=n_list, distinct=n_seed_set)
+    else:
+        n_list, n_seed_set = known["seeds"]["listed"], known["seeds"]["distinct"]
+    seed_set = spark.read.schema(f"{CARD} {kind}").parquet(seed_path)
+    rounds = sorted((int(step.removeprefix("round-")), facts["size"]) for step, facts in known.items() if step.startswith("round-"))
+    sizes = [n_list, *(n for _, n in rounds)]
+    if max_rounds is not None:
+        sizes = sizes[:max(max_rounds, 0) + 1]
+    result = TraceResult(spark, base, len(sizes) - 1, sizes, seed_set, n_seed_set, frontier_path, kind)
+    over = "finished" in known or (max_rounds is not None and len(sizes) - 1 >= max(max_rounds, 0))
+    if n_list and not over:
+        _walk(rows, result, src, dest, max_rounds, stop, method, layout, manifest, known)
+    return result if layout == "pairs" else _decoded(result, ids)
+
+
+def _decoded(result: TraceResult, ids: DataFrame) -> TraceResult:
+    """The result with cards in place of numbers."""
+    spark, path = result.spark, f"{result.path}/cards"
+    encoded.with_cards(result.seeds, ids).write.mode("overwrite").parquet(f"{path}/seeds")
+    if result.rounds:
+        encoded.with_cards(result.frontier, ids).write.mode("overwrite").partitionBy(_ROUND).parquet(f"{path}/frontier")
+    return TraceResult(spark, result.path, result.rounds, result.sizes, spark.read.schema(f"{CARD} string").parquet(f"{path}/seeds"), result.seed_set_size, f"{path}/frontier")
+
+
+def _walk(rows, result: TraceResult, src, dest, max_rounds, stop, method, layout, manifest, known) -> None:
+    """The rounds that are left; extends ``result``."""
+    spark, base, sizes, kind = result.spark, result.path, result.sizes, result.kind
+    seed_set, n_seed_set, frontier_path = result.seeds, result.seed_set_size, result.frontier_path
 
     def frontier() -> DataFrame:
         # One listing of the frontier folder per round; probe and known sets
         # are partition-pruned views of it.
-        return spark.read.schema(f"{CARD} string, {_ROUND} int").parquet(frontier_path)
+        return spark.read.schema(f"{CARD} {kind}, {_ROUND} int").parquet(frontier_path)
 
     def reached(upto: int, fr: DataFrame | None = None) -> DataFrame:
         fr = frontier() if fr is None else fr
         return fr.filter(F.col(_ROUND) <= upto).select(CARD)
 
+    def finished(number: int, size: int) -> None:
+        sizes.append(size)
+        if manifest is not None:
+            manifest.done(f"round-{number:04d}", size=size)
+
     adj_path, bucketed_path = f"{base}/adjacency", f"{base}/adjacency-buckets"
-    cached, wide, r = None, None, 0
+    cached, wide, r, ended = None, None, len(sizes) - 1, False
     try:
-        adj_rows = write_counted(adjacency(rows, src, dest), adj_path)
-        buckets = _bucket_plan(spark, adj_rows)
+        if "adjacency" not in known:
+            if layout == "lists":
+                adj = spark.read.schema("a long, b array<long>").parquet(f"{base}/graph/lists")
+            else:
+                adj = adjacency(rows, src, dest)
+            adj_rows, buckets = _write_adjacency(adj, base)
+            if manifest is not None:
+                manifest.done("adjacency", rows=adj_rows, buckets=buckets)
+        else:
+            adj_rows, buckets = known["adjacency"]["rows"], known["adjacency"]["buckets"]
+        schema = StructType.fromDDL(f"{_A} {kind}, {_B} {'array<long>' if layout == 'lists' else kind}")
         if buckets is None:
-            adj = cached = spark.read.parquet(adj_path).persist(StorageLevel.MEMORY_AND_DISK)
+            adj = cached = spark.read.schema(schema).parquet(adj_path).persist(StorageLevel.MEMORY_AND_DISK)
         else:
-            # One pass over the adjacency (not the history). Rows of a bucket are dealt
-            # to as many files as its measured size asks for: a hub's bucket to many.
-            flat = spark.read.parquet(adj_path).withColumn(_BUCKET, bucket_of(_A, buckets))
-            sizes_of = flat.groupBy(_BUCKET).agg(F.ceil(F.count("*") / _BUCKET_ROWS).alias("__files"))
-            # at most ``buckets`` rows of two numbers, and ``buckets`` is bounded
-            (flat.join(F.broadcast(sizes_of), _BUCKET)
-             .withColumn("__salt", F.pmod(F.xxhash64(F.col(_B)), F.col("__files")))
-             .repartition(max(buckets, adj_rows // _BUCKET_ROWS), F.col(_BUCKET), F.col("__salt")).drop("__files", "__salt")
-             .write.partitionBy(_BUCKET).parquet(bucketed_path))
-            delete_path(spark, adj_path)
-            adj = spark.read.parquet(bucketed_path)
-        wide = WideAdjacency(adj, f"{base}/adjacency-wide", max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        # Round 1 probes the seeds.
-        s1 = expand(adj, seed_set, n_seed_set, buckets, wide)
-        n1 = write_counted(s1, f"{frontier_path}/{_ROUND}=1")
-        sizes.append(n1)
-        r = 1
+            adj = spark.read.schema(schema.add(_BUCKET, "integer")).parquet(bucketed_path)
+        wide = WideAdjacency(adj, f"{base}/adjacency-wide-{uuid.uuid4().hex}", max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        if r == 0:
+            # Round 1 probes the seeds.
+            s1 = expand(adj, seed_set, n_seed_set, buckets, wide)
+            finished(1, write_counted(s1, f"{frontier_path}/{_ROUND}=1"))
+            r = 1
         while True:
             if max_rounds is not None and r >= max_rounds:
                 break
             if stop == "count" and sizes[r] == sizes[r - 1]:
+                ended = True
                 break
             if stop == "set":
                 if r == 1:
                     sd = seed_set.select(F.col(CARD).alias("__sd"))
                     inter = reached(1).join(sd, F.col(CARD) == F.col("__sd"), "left_semi").count()
-                    if n1 == n_seed_set and inter == n1:
-                        break
-                elif sizes[r] == sizes[r - 1]:
+                    ended = sizes[1] == n_seed_set and inter == sizes[1]
+                else:
+                    ended = sizes[r] == sizes[r - 1]
+                if ended:
                     break
             # Round r+1.
             fr = frontier()
@@ -340,19 +442,23 @@ def trace(rows: DataFrame, seeds: DataFrame, src: str, dest: str,
                 probe, probe_rows = reached(r, fr), sizes[r]
             fresh = new_cards(adj, probe, probe_rows, reached(r, fr), sizes[r], buckets, wide)
             n_new = write_counted(fresh, f"{frontier_path}/{_ROUND}={r + 1}")
-            sizes.append(sizes[r] + n_new)
+            finished(r + 1, sizes[r] + n_new)
             r += 1
+        if ended and manifest is not None:
+            manifest.done("finished", rounds=r)
     finally:
         # The adjacency can be as large as the window's transfers; nothing
-        # reads it after the loop.
+        # reads it after the loop, unless the run may go on.
         if cached is not None:
             cached.unpersist()
         if wide is not None:
             wide.drop()
-        delete_path(spark, adj_path)
-        delete_path(spark, bucketed_path)
+        if manifest is None or ended:
+            delete_path(spark, adj_path)
+            delete_path(spark, bucketed_path)
+            for name in ("pairs", "lists", "places", "hubs"):
+                delete_path(spark, f"{base}/graph/{name}")
     result.rounds = r
-    return result
 
 
 # ---- outputs of a finished trace ---------------------------------------------

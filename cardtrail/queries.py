@@ -21,7 +21,7 @@ from .functions import predicates as P
 from .functions.digest import card_digest, card_message
 from .functions.text import row_text
 from .operators import semi, sets, summary
-from .plans import closure, two_round
+from .plans import closure, contraction, two_round
 from .session import scratch_path
 from .sources.cards import append_cards, cards_from_list, cards_from_text
 from .sources.history import history_schema
@@ -388,6 +388,35 @@ def trace_early_stop(spark, sf_dir):
                                 max_rounds=None).result.cards()
 
 
+def closure_by_contraction(spark, sf_dir):
+    """As ``trace_closed_fixpoint``, by contracting the graph."""
+    return contraction.preset_reach(_view(spark, sf_dir), _cards(spark), BEGIN, END)
+
+
+def history_by_contraction(spark, sf_dir):
+    """As ``trace_history_fixpoint``, by contracting the graph."""
+    return contraction.preset_reach(transaction_view(spark, sf_dir), _cards(spark), None, None)
+
+
+def trace_lists_fixpoint(spark, sf_dir):
+    """As ``trace_fixpoint``, over numbered cards and neighbour lists."""
+    return closure.preset_fixpoint(_view(spark, sf_dir), _cards(spark), BEGIN, END, layout="lists").cards()
+
+
+def trace_lists_rounds_transfer(spark, sf_dir):
+    """As ``trace_rounds_transfer``, over numbered cards and neighbour lists."""
+    return closure.preset_every_round(_view(spark, sf_dir), _cards(spark), BEGIN, END, layout="lists").transfers
+
+
+def trace_resumed_sizes(spark, sf_dir):
+    """As ``trace_history_sizes``: a run kept on record, ended after three rounds and taken
+    up again."""
+    path = scratch_path(spark, "run")
+    for rounds in (3, None):
+        r = closure.preset_edges(transaction_view(spark, sf_dir), _cards(spark), None, None, max_rounds=rounds, run_path=path)
+    return r.result.sizes_df()
+
+
 # ---- stored tables and files ---------------------------------------------------
 
 def _table_name(kind: str) -> str:
@@ -546,4 +575,5 @@ def trace_closed_fixpoint_full(spark, sf_dir):
     return r.result.cards()
 
 
-QUERIES["trace_closed_fixpoint_full"] = trace_closed_fixpoint_full
+for _q in (trace_closed_fixpoint_full, closure_by_contraction, history_by_contraction, trace_lists_fixpoint, trace_lists_rounds_transfer, trace_resumed_sizes):
+    QUERIES[_q.__name__] = _q
