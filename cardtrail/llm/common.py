@@ -46,6 +46,10 @@ def ship(spark: SparkSession) -> None:
     context._cardtrail_shipped = True
 
 
+#: Bytes of a batch that become one pandas frame; Python strings take several times that.
+FRAME_BYTES = 8 << 20
+
+
 def frame(batch: pa.RecordBatch | pa.Table) -> pd.DataFrame:
     """A batch as pandas; a column of whole numbers with nulls stays one of whole numbers
     (as plain pandas it becomes floats, which change numbers above 2^53)."""
@@ -59,8 +63,14 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     ship(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
+    def small(batches):
+        for batch in batches:  # as many rows at a time as hold about FRAME_BYTES
+            rows = max(1, batch.num_rows * FRAME_BYTES // max(1, batch.nbytes))
+            for a in range(0, batch.num_rows, rows):
+                yield frame(batch.slice(a, rows))
+
     def exact(batches):
-        for pdf in run(map(frame, batches)):
+        for pdf in run(small(batches)):
             yield pa.RecordBatch.from_pandas(pdf, schema=out, preserve_index=False)
 
     return df.mapInArrow(exact, schema)
