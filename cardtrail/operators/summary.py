@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 from ..constants import AMOUNT_COL, CARD, IN_COL, OUT_COL
 
 
-#: Amounts: exact, four decimals, with room for the sum (decimal(38,4)).
-AMOUNT_TYPE = "decimal(28,4)"
+#: Amounts: exact, with ten decimals and 28 digits before them, also for the sum.
+AMOUNT_TYPE = "decimal(38,10)"
 
 
 def amount_value(col: str = AMOUNT_COL, amount_type: str = AMOUNT_TYPE):
     """An amount string as an exact number; null if it isn't one that fits
     ``amount_type`` without loss (see ``unreadable_amounts``)."""
     value = F.col(col).try_cast(amount_type)
-    exact = F.col(col).try_cast("decimal(38,10)")
-    return F.when(exact.isNull() | (exact == value), value)
+    scale = re.fullmatch(r"\s*(?:decimal\(\s*\d+\s*,\s*(\d+)\s*\)|(?:big|small|tiny)?int|long|integer)\s*", amount_type, re.I)
+    if scale is None:
+        return value  # a type without a fixed number of decimals
+    decimals = F.length(F.regexp_extract(F.trim(F.col(col)), r"\.(\d*?)0*$", 1))
+    power = F.col(col).rlike("[eE]")  # 1e-12 would read as 0
+    same = F.when(power, F.col(col).try_cast("double") == value.cast("double")).otherwise(decimals <= int(scale[1] or 0))
+    return F.when(same, value)
 
 
 def unreadable_amounts(df: DataFrame, amount: str = AMOUNT_COL, amount_type: str = AMOUNT_TYPE,

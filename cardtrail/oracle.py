@@ -12,7 +12,7 @@ unbounded traces come from a breadth-first search keyed by card.
 from __future__ import annotations
 
 from .functions.digest import pads_hex
-from .queries import BEGIN, CARDS, DIGEST_KEY, END, PREVIEW_ROWS, SECOND_RANGE, SEGMENT
+from .queries import BEGIN, CARDS, DIGEST_KEY, END, PREVIEW_ROWS, REPLACED_DAY, SECOND_RANGE, SEGMENT, WEEK
 from .sources.testdata import VIEW_SQL
 
 IN, OUT, PRI = "tfr_in_acct_no", "tfr_out_acct_no", "pri_acct_no_conv"
@@ -185,6 +185,7 @@ def _preview() -> str:
 SAME_AS = {
     "closure_by_contraction": "trace_closed_fixpoint", "history_by_contraction": "trace_history_fixpoint",
     "trace_lists_fixpoint": "trace_fixpoint", "trace_lists_rounds_transfer": "trace_rounds_transfer", "trace_resumed_sizes": "trace_history_sizes",
+    "pair_amount_by_days": "pair_amount_round0", "trace_from_arguments": "trace_fixpoint",
 }
 
 
@@ -333,6 +334,21 @@ def _own_sql() -> dict[str, str]:
         "pair_amount_unreadable": _with(*TWO, body=(
             "SELECT count(*) FILTER (WHERE CAST(trans_at AS BIGINT) % 100 <> 0) AS n_unreadable FROM ext "
             "WHERE trans_id = 'S33'")),
+        "pair_amount_five_decimals": _with(*TWO, body=(
+            f"SELECT {IN}, {OUT}, rtrim(rtrim(CAST(CAST(c AS DECIMAL(38,0)) * CAST(0.00001 AS DECIMAL(6,5)) AS VARCHAR), '0'), '.') AS amount "
+            f"FROM (SELECT {IN}, {OUT}, SUM(CAST(trans_at AS BIGINT)) AS c FROM ext WHERE trans_id = 'S33' GROUP BY {IN}, {OUT}) t")),
+        "insert_overwrite_partition": _with(TX, body=(
+            f"SELECT {PRI}, trans_id, trans_at, pdate FROM tx WHERE {CLOSED} AND "
+            f"CASE WHEN pdate = '{REPLACED_DAY}' THEN {SUCCESS} ELSE trans_id = 'S33' END")),
+        "registered_history": _with(TX, body=f"SELECT {ALL_COLS} FROM tx WHERE pdate >= '{WEEK[0]}' AND pdate <= '{WEEK[1]}'"),
+        "row_text_readback": _with(TX, CARDS_CTE, body=(
+            f"SELECT *, 'ok' AS status FROM ({_traced(CLOSED)}) t WHERE {IN} IN (SELECT card FROM cards) "
+            f"OR {OUT} IN (SELECT card FROM cards)")),
+        "row_text_ambiguous": _with(TX, CARDS_CTE, body=(
+            f"SELECT CASE WHEN {OUT} LIKE '%1' OR {IN} LIKE '%1' THEN 'ambiguous' ELSE 'ok' END AS status, count(*) AS n FROM ({_traced(CLOSED)}) t "
+            f"WHERE {IN} IN (SELECT card FROM cards) OR {OUT} IN (SELECT card FROM cards) GROUP BY 1")),
+        "closure_by_days": _with(TX, CARDS_CTE, *g_closed_nb, *_bfs_first_rounds(),
+                                 body="SELECT card, CAST(round AS INTEGER) AS round FROM fr", recursive=True),
         "insert_overwrite": _with(TX, body=(
             f"SELECT {PRI} AS card, trans_id AS kind, trans_at AS amount, pdate AS day FROM tx "
             f"WHERE {CLOSED} AND {SUCCESS}")),

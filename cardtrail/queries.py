@@ -21,11 +21,13 @@ from .functions import predicates as P
 from .functions.digest import card_digest, card_message
 from .functions.text import row_text
 from .operators import semi, sets, summary
-from .plans import closure, contraction, two_round
+from .jobs import SearchArgs, parametric_trace
+from .plans import closure, contraction, day_closure, two_round
 from .session import scratch_path
 from .sources.cards import append_cards, cards_from_list, cards_from_text
-from .sources.history import history_schema
+from .sources.history import history_schema, register_history
 from .sources.testdata import transaction_view
+from .streaming import day_sums
 
 # Query parameters of the fixtures.
 CARDS = ["A1", "A2", "A3", "A4", "A5", "A6", "A7", "A8", "A9", "A10"]
@@ -423,6 +425,15 @@ def _table_name(kind: str) -> str:
     return f"ct_{kind}_{uuid.uuid4().hex}"
 
 
+def _kept(spark, name: str) -> DataFrame:
+    """The rows of a catalog table, copied to a folder; the table is dropped."""
+    path = scratch_path(spark, "kept")
+    table = spark.table(name)
+    table.write.parquet(path)
+    sinks.drop_table(spark, name)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def insert_overwrite(spark, sf_dir):
     """K1: consumption rows of the cards replace, by position, what a delimited
     table held; its columns and format stay."""
@@ -432,7 +443,107 @@ def insert_overwrite(spark, sf_dir):
     rows = _closed(spark, sf_dir)
     sinks.save_table(rows.filter(P.is_transfer()).select(PRI_COL, "trans_id", "trans_at", "pdate"), name)
     sinks.save_table(rows.filter(P.successful()).select(PRI_COL, "trans_id", "trans_at", "pdate"), name)
-    return spark.table(name)
+    return _kept(spark, name)
+
+
+REPLACED_DAY = "19970214"
+
+
+def insert_overwrite_partition(spark, sf_dir):
+    """K1, one day: of a table of transfers by day, one day's partition is rewritten with
+    the day's successful rows of all kinds; the other days stay."""
+    name = _table_name("k1p")
+    columns = [PRI_COL, "trans_id", "trans_at", "pdate"]
+    spark.sql(f"CREATE TABLE {name} ({', '.join(c + ' STRING' for c in columns)}) USING parquet PARTITIONED BY (pdate)")
+    rows = _closed(spark, sf_dir)
+    sinks.save_table(rows.filter(P.is_transfer()).select(*columns), name)
+    sinks.replace_partitions(rows.filter(P.successful() & (F.col("pdate") == REPLACED_DAY)).select(*columns), name)
+    return _kept(spark, name)
+
+
+def _history_tree(spark, sf_dir) -> str:
+    path = scratch_path(spark, "history")
+    _closed(spark, sf_dir).repartition("pdate").write.partitionBy("pdate").parquet(path)
+    return path
+
+
+def registered_history(spark, sf_dir):
+    """S1, K4: a window of an external table over a tree of day folders; the table is
+    dropped, its files stay and are read once more."""
+    name, path = _table_name("s1"), _history_tree(spark, sf_dir)
+    names = _closed(spark, sf_dir).columns
+    table = register_history(spark, name, path, names).filter(P.date_closed(WEEK[0], WEEK[1])).select(*names)
+    kept = scratch_path(spark, "window")
+    table.write.parquet(kept)
+    sinks.drop_table(spark, name)
+    return spark.read.schema(table.schema).parquet(kept)
+
+
+WEEK = ("19970203", "19970209")
+
+
+def row_text_readback(spark, sf_dir):
+    """K2 read back: the touching rows saved as text and parsed, with the parser's status."""
+    path = scratch_path(spark, "row-text")
+    rows = touching_cards(spark, sf_dir)
+    sinks.write_row_text(rows, path)
+    account, digits = "[A-Za-z0-9 ]", "[0-9]"
+    kinds = dict(zip(rows.columns, [account, "[A-Z0-9]", digits, digits, digits, account, "[A-Z]", digits, account, account]))
+    return sinks.read_row_text(spark, path, {c: f"{k}|null" for c, k in kinds.items()})
+
+
+def row_text_ambiguous(spark, sf_dir):
+    """How many lines of each status the parser finds where two values next to each other
+    may hold commas: accounts ending in 1 get one."""
+    rows = touching_cards(spark, sf_dir)
+    comma = lambda c: F.when(F.col(c).endswith("1"), F.concat(F.col(c), F.lit(","))).otherwise(F.col(c)).alias(c)
+    path = scratch_path(spark, "row-text")
+    sinks.write_row_text(rows.select("trans_at", comma(OUT_COL), comma(IN_COL)), path)
+    parsed = sinks.read_row_text(spark, path, {"trans_at": "[0-9]", OUT_COL: "[A-Za-z0-9 ,]", IN_COL: "[A-Za-z0-9 ,]"})
+    return parsed.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def closure_by_days(spark, sf_dir):
+    """I5, I6: the first rounds of the closed window's closure, its transfers taken in month
+    by month."""
+    days = day_closure.DayClosure(spark, scratch_path(spark, "days"), _cards(spark))
+    rows = _closed(spark, sf_dir).filter(P.nonblank(IN_COL, OUT_COL))
+    edges = scratch_path(spark, "edges")
+    rows.select(F.trim(IN_COL).alias(IN_COL), F.trim(OUT_COL).alias(OUT_COL), F.substring("pdate", 1, 6).alias("month")).write.partitionBy("month").parquet(edges)
+    kept = spark.read.schema(f"{IN_COL} string, {OUT_COL} string, month string").parquet(edges)
+    for month in (f"{BEGIN[:4]}{m:02d}" for m in range(int(BEGIN[4:6]), int(END[4:6]) + 1)):
+        days.add(month, kept.filter(F.col("month") == month), IN_COL, OUT_COL)
+    return days.frontier()
+
+
+def pair_amount_by_days(spark, sf_dir):
+    """A1 as a stream: the round-0 transfers arrive in files, are summed by day and batch,
+    one batch is replayed, and the sums are added up."""
+    source, state, progress = (scratch_path(spark, n) for n in ("arriving", "day-sums", "progress"))
+    ext = two_round.round0_extract(_closed(spark, sf_dir), _cards(spark), len(CARDS)).select(IN_COL, OUT_COL, "trans_id", "trans_at", "pdate")
+    ext.repartition(3, "pdate").write.parquet(source)
+    sums = day_sums.DaySums(spark, state)
+    day_sums.sum_stream(spark, source, ext.schema, sums, progress, keep=P.is_transfer(), max_files=1).awaitTermination()
+    return sums.totals().withColumn("amount", F.col("amount").cast("bigint"))
+
+
+def pair_amount_five_decimals(spark, sf_dir):
+    """Round-0 pair amounts over amounts with five decimals, summed exactly, as text."""
+    small = F.col("trans_at").cast("decimal(28,0)") / F.lit(100_000).cast("decimal(6,0)")
+    rows = _closed(spark, sf_dir).withColumn("trans_at", small.cast("decimal(28,5)").cast("string"))
+    pairs = two_round.run(rows, _cards(spark), len(CARDS)).round0_pairs
+    return pairs.withColumn("amount", summary.plain_amount("amount"))
+
+
+def trace_from_arguments(spark, sf_dir):
+    """S4, S7: the parametric trace from its six text arguments, over a registered table."""
+    name = _table_name("args")
+    _view(spark, sf_dir).createOrReplaceTempView(name)
+    args = SearchArgs.parse([BEGIN, END, name, OUT_COL, IN_COL, ",".join(CARDS) + ","])
+    out = scratch_path(spark, "arguments")
+    parametric_trace(spark, args, out)
+    spark.catalog.dropTempView(name)
+    return spark.read.schema(f"{CARD} string").parquet(f"{out}/cards")
 
 
 def delimited_roundtrip(spark, sf_dir):
@@ -458,7 +569,7 @@ def create_if_absent(spark, sf_dir):
         raise AssertionError("the table was created twice")
     full = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names])
     sinks.save_table(full, name)
-    table = spark.table(name)
+    table = _kept(spark, name)
     return table.select(PRI_COL, OUT_COL, IN_COL, f"extra_{WIDE - 1}", F.lit(len(table.columns)).alias("n_columns"))
 
 
@@ -470,7 +581,7 @@ def drop_and_recreate(spark, sf_dir):
     sinks.drop_table(spark, name)
     sinks.ensure_table(spark, name, history_schema([CARD]))
     sinks.save_table(_segment_cards(spark, sf_dir), name, overwrite=False)
-    return spark.table(name)
+    return _kept(spark, name)
 
 
 def text_seeds(spark, sf_dir):
@@ -575,5 +686,7 @@ def trace_closed_fixpoint_full(spark, sf_dir):
     return r.result.cards()
 
 
-for _q in (trace_closed_fixpoint_full, closure_by_contraction, history_by_contraction, trace_lists_fixpoint, trace_lists_rounds_transfer, trace_resumed_sizes):
+for _q in (trace_closed_fixpoint_full, closure_by_contraction, history_by_contraction, trace_lists_fixpoint, trace_lists_rounds_transfer, trace_resumed_sizes,
+           insert_overwrite_partition, registered_history, row_text_readback, row_text_ambiguous, closure_by_days, pair_amount_by_days,
+           pair_amount_five_decimals, trace_from_arguments):
     QUERIES[_q.__name__] = _q

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .functions.text import row_text
+from .functions.text import parse_row_text, row_text
 
 
 def write_counted(df: DataFrame, path: str, mode: str = "overwrite") -> int:
@@ -35,6 +35,26 @@ def save_table(df: DataFrame, name: str, overwrite: bool = True) -> None:
         df.write.saveAsTable(name)
 
 
+def replace_partitions(df: DataFrame, target: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
+    """``INSERT OVERWRITE ... PARTITION`` with dynamic partitions: the partitions that
+    ``df`` has rows of are replaced, all others stay.
+
+    ``target`` is a catalog table (``partition_by`` None; columns by position, the
+    partition columns last) or a folder. The rows are written beside the data first; each
+    partition is published by one rename when the whole job has ended well, so a failed job
+    leaves everything as it was."""
+    if partition_by is None:
+        conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+        before = conf.get(key)
+        conf.set(key, "dynamic")  # an insert takes it from the session only
+        try:
+            df.write.insertInto(target, overwrite=True)
+        finally:
+            conf.set(key, before)
+    else:
+        df.write.mode("overwrite").format(fmt).option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).save(target)
+
+
 def write_row_text(df: DataFrame, path: str, columns: list[str] | None = None,
                    mode: str = "error") -> None:
     """One ``[v1,v2,...]`` line per row (null as ``null``); by default fails if
@@ -55,6 +75,11 @@ def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "over
     df.select(F.concat_ws(sep, *[cell(c) for c in df.columns]).alias("value")).write.mode(mode).text(path)
 
 
+def read_row_text(spark, path: str, columns) -> DataFrame:
+    """The rows of what ``write_row_text`` wrote, with ``status`` (see ``parse_row_text``)."""
+    return parse_row_text(spark.read.text(path), columns)
+
+
 def read_delimited(spark, path: str, names: list[str], sep: str = "\t", null_value: str = "\\N") -> DataFrame:
     """A table that ``write_delimited`` wrote, all columns strings."""
     parts = F.split("value", f"\\Q{sep}\\E", -1)

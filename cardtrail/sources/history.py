@@ -45,3 +45,26 @@ def read_history(spark: SparkSession, source: str, begin: str | None = None,
     if begin is not None or end is not None:
         df = df.filter(P.date_window(begin, end, end_inclusive))
     return df
+
+
+def names_from_text(text: str) -> list[str]:
+    """Column names of a list separated by commas or white space, in order."""
+    names = text.replace(",", " ").split()
+    if len(set(names)) != len(names):
+        raise ValueError("a column is named twice")
+    return names
+
+
+def register_history(spark: SparkSession, name: str, path: str, names: Iterable[str],
+                     fmt: str = "parquet") -> DataFrame:
+    """An external catalog table over a folder tree ``path/pdate=yyyyMMdd/...``.
+
+    All columns are strings as declared, ``pdate`` is the partition column. The folders
+    found are recovered as partitions into the catalog, so a window opens only its days and
+    lists no others; after new days arrive, call it again. Dropping the table leaves the
+    files."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{n}` STRING" for n in [*(n for n in names if n != DATE_COL), DATE_COL])
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING {fmt} PARTITIONED BY (`{DATE_COL}`) LOCATION '{path}'")
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name)
