@@ -186,6 +186,7 @@ SAME_AS = {
     "closure_by_contraction": "trace_closed_fixpoint", "history_by_contraction": "trace_history_fixpoint",
     "trace_lists_fixpoint": "trace_fixpoint", "trace_lists_rounds_transfer": "trace_rounds_transfer", "trace_resumed_sizes": "trace_history_sizes",
     "pair_amount_by_days": "pair_amount_round0", "trace_from_arguments": "trace_fixpoint",
+    "three_leg_extract_indexed": "three_leg_extract",
 }
 
 

@@ -24,6 +24,7 @@ from .operators import semi, sets, summary
 from .jobs import SearchArgs, parametric_trace
 from .plans import closure, contraction, day_closure, two_round
 from .session import scratch_path
+from .sources.card_index import CardIndex
 from .sources.cards import append_cards, cards_from_list, cards_from_text
 from .sources.history import history_schema, register_history
 from .sources.testdata import transaction_view
@@ -482,6 +483,16 @@ def registered_history(spark, sf_dir):
 WEEK = ("19970203", "19970209")
 
 
+def three_leg_extract_indexed(spark, sf_dir):
+    """J1 to J4 by the card index: the extract of the listed cards from a tree of day
+    folders, of which only the files that the index names are opened."""
+    path = _history_tree(spark, sf_dir)
+    view = _closed(spark, sf_dir)
+    index = CardIndex(spark, path, scratch_path(spark, "index"), view.schema)
+    index.update()
+    return index.extract(_cards(spark), len(CARDS)).select(*view.columns)
+
+
 def row_text_readback(spark, sf_dir):
     """K2 read back: the touching rows saved as text and parsed, with the parser's status."""
     path = scratch_path(spark, "row-text")
@@ -687,6 +698,6 @@ def trace_closed_fixpoint_full(spark, sf_dir):
 
 
 for _q in (trace_closed_fixpoint_full, closure_by_contraction, history_by_contraction, trace_lists_fixpoint, trace_lists_rounds_transfer, trace_resumed_sizes,
-           insert_overwrite_partition, registered_history, row_text_readback, row_text_ambiguous, closure_by_days, pair_amount_by_days,
+           insert_overwrite_partition, registered_history, three_leg_extract_indexed, row_text_readback, row_text_ambiguous, closure_by_days, pair_amount_by_days,
            pair_amount_five_decimals, trace_from_arguments):
     QUERIES[_q.__name__] = _q
