@@ -79,6 +79,8 @@ def adjacency(rows: DataFrame, src: str, dest: str) -> DataFrame:
 _BUCKET = "bucket"
 #: Rows of a file of the bucketed adjacency.
 _BUCKET_ROWS = 2_000_000
+#: Hubs that may be broadcast: rows of a card each, under 64 MB together.
+_MOST_HUBS = 1_000_000
 
 
 def _ends(df: DataFrame):
@@ -127,8 +129,9 @@ class WideAdjacency:
 
     Written on first use: a catalog table bucketed on ``a``, so that a round's join
     moves only the probe, and apart from it the rows of hubs, cards of more than
-    ``_BUCKET_ROWS`` rows. There are at most rows / ``_BUCKET_ROWS`` hubs, so the
-    probe's hubs are broadcast and their rows read by file, by any number of tasks.
+    ``_BUCKET_ROWS`` rows. There are at most rows / ``_BUCKET_ROWS`` hubs; if they are
+    counted to be at most ``_MOST_HUBS``, the probe's hubs are broadcast and their
+    rows read by file, by any number of tasks.
     """
 
     def __init__(self, adj: DataFrame, path: str, buckets: int):
@@ -139,11 +142,12 @@ class WideAdjacency:
 
     def _write(self) -> None:
         degrees = self.adj.groupBy(F.col(_A).alias("__hub")).count().filter(F.col("count") > _BUCKET_ROWS)
-        degrees.select("__hub").write.parquet(f"{self.path}/hubs")
+        few = write_counted(degrees.select("__hub"), f"{self.path}/hubs") <= _MOST_HUBS
+        self.near = F.broadcast if few else (lambda df: df)
         self.hubs = self.spark.read.schema(degrees.select("__hub").schema).parquet(f"{self.path}/hubs")
         is_hub = F.col(_A) == F.col("__hub")
-        self.adj.join(F.broadcast(self.hubs), is_hub, "left_semi").select(_A, _B).write.parquet(f"{self.path}/hub-rows")
-        (self.adj.join(F.broadcast(self.hubs), is_hub, "left_anti").select(_A, _B)
+        self.adj.join(self.near(self.hubs), is_hub, "left_semi").select(_A, _B).write.parquet(f"{self.path}/hub-rows")
+        (self.adj.join(self.near(self.hubs), is_hub, "left_anti").select(_A, _B)
          .repartition(self.buckets, _A).write.bucketBy(self.buckets, _A)
          .option("path", f"{self.path}/rows").saveAsTable(self.name))
         self.written = True
@@ -154,9 +158,9 @@ class WideAdjacency:
         keys = probe.select(F.col(CARD).alias("__ct_card"))
         hit = F.col(_A) == F.col("__ct_card")
         plain = self.spark.table(self.name).join(keys, hit, "left_semi")
-        probed_hubs = keys.join(F.broadcast(self.hubs), F.col("__ct_card") == F.col("__hub"), "left_semi")
+        probed_hubs = keys.join(self.near(self.hubs), F.col("__ct_card") == F.col("__hub"), "left_semi")
         rows = self.spark.read.schema(self.adj.select(_A, _B).schema).parquet(f"{self.path}/hub-rows")
-        both = plain.unionAll(rows.join(F.broadcast(probed_hubs), hit, "left_semi"))
+        both = plain.unionAll(rows.join(self.near(probed_hubs), hit, "left_semi"))
         return both.select(_ends(both))
 
     def drop(self) -> None:
