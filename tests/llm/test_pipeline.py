@@ -72,7 +72,7 @@ def test_entry_lists_the_operators_and_survives_without_them():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     # as if the folders were not there
     code = ("import sys\nclass Gone:\n    def find_spec(self, name, path=None, target=None):\n"
-            "        if name in ('corpus_pipeline', 'cardtrail.llm'): raise ModuleNotFoundError(name)\n"
+            "        if name in ('corpus_pipeline', 'cardtrail.llm'): raise ModuleNotFoundError(name, name=name)\n"
             "sys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\n"
             "assert e.queries() and not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']\n"
             "assert set(e.oracle_sql()) == set(e.queries())\n")
