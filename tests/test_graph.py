@@ -66,11 +66,11 @@ def test_lists_are_smaller_than_pairs_of_digests(spark):
     assert lists * 4 < before and lists + ids < before
 
 
-@pytest.mark.parametrize("layout", ["pairs", "lists"])
 @pytest.mark.parametrize("method", ["delta", "full"])
-def test_layouts_agree_with_the_loop(spark, layout, method):
+def test_layouts_agree_with_the_loop(spark, method, layout="lists"):
     edges = [("a", "b"), ("b", "c"), ("c", None), ("d", ""), (None, "e"), ("", "b"), ("x", "y"), ("a", "a")]
-    for seeds, stop in ((["a", "a", "zz"], "count"), (["c"], "set"), (["e"], "count"), (["nobody"], "set"), ([], "count"), ([None, "x"], "set")):
+    cases = [(["a", "a", "zz"], "count"), (["nobody"], "set"), ([None, "x"], "set")] if method == "delta" else [(["c"], "set"), (["e"], "count"), ([], "count")]
+    for seeds, stop in cases:
         want, sizes, rounds, sets = closure_loop(edges, [s for s in seeds if s is not None] if stop == "set" else seeds, None, stop)
         res = closure.trace(frame(spark, edges), cards_from_list(spark, seeds) if seeds else spark.createDataFrame([], "card string"), "s", "d", stop=stop, method=method, layout=layout)
         if seeds and None not in seeds:
@@ -119,10 +119,9 @@ class Stopped(Exception):
     pass
 
 
-@pytest.mark.parametrize("layout", ["pairs", "lists"])
-@pytest.mark.parametrize("fails_in", ["seeds", "adjacency", "round=1", "round=4"])
+@pytest.mark.parametrize("layout, fails_in", [("pairs", "seeds"), ("pairs", "adjacency"), ("pairs", "round=1"), ("pairs", "round=4"), ("lists", "round=4")])
 def test_a_stopped_run_goes_on_from_its_last_round(spark, monkeypatch, layout, fails_in):
-    edges = [(f"c{i}", f"c{i + 1}") for i in range(9)] + [("c3", None)]
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(6)] + [("c3", None)]
     plain = closure.trace(frame(spark, edges), cards_from_list(spark, ["c0"]), "s", "d")
     path = scratch_path(spark, "test-run")
     write, write_seeds = closure.write_counted, closure._write_seeds
