@@ -2,11 +2,14 @@
 
 A lexical transducer maps a word to a class (insult, threat, target, negation, report,
 quote, other) and, for insults, a weight. Four small transducers read the classes of a
-clause: ``negation`` and ``report`` lower the weight of what follows, ``target`` raises
+text: ``negation`` and ``report`` lower the weight of what follows, ``target`` raises
 the weight of an insult in a clause with a person addressed, ``threat`` gives a weight to
-a threat aimed at a target. Their composition is one automaton; a clause's score is the
-sum of the weights on its path. Words that match nothing in the lexicon can't start a
-match, so only clauses with a lexicon word are run.
+a threat aimed at a target, or foretold of one (you will be killed). Their composition is
+one automaton; a clause's score is the sum of the weights on its path. Clauses end at
+``.!?;:``, which all but two things forget: what follows a colon is still reported by the
+verb before it, and a quotation goes on until its closing mark. A line end closes all; a
+line's last mark without a partner quotes nothing. Words that match nothing in the lexicon
+can't start a match, so only texts with a lexicon word are run.
 
 Learnt are the insults and the last step. The insult lexicon holds cues, whole words and
 word beginnings of 3 to 9 letters (stems), whose document frequency in toxic documents
@@ -37,9 +40,10 @@ from pyspark.sql import functions as F
 from cardtrail.llm.common import fold, map_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
-TOKENS = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”«»]")
-CLAUSE_END = frozenset(".!?;:\n")
-QUOTES = frozenset("\"“”«»")
+#: Words, contractions of not (whole), clause ends and quotation marks.
+TOKENS = re.compile(r"[^\W\d_]+(?:(?<=n)['’]t(?![^\W\d_]))?|[.!?;:\"“”„«»]")
+CLAUSE_END = frozenset(".!?;:")
+QUOTES = frozenset("\"“”„«»")
 
 #: Insults known without labels (fixed values): en, de, fr, es.
 SEEDS = ("idiot moron stupid imbecile scum bastard asshole bitch cunt retard loser worthless pathetic disgusting "
@@ -48,12 +52,17 @@ SEED_WEIGHT = 2.0
 #: Function words of the grammar (fixed values): en, de, fr, es.
 CLASSES = {
     "target": "you your you're u he she they them him her du dich dir ihr euch sie er tu te toi vous il elle ils elles tú usted ustedes él ella ellos".split(),
-    "negation": "not no never isn't aren't nor nicht kein keine nie pas jamais aucun nunca ningún jamás".split(),
+    "negation": "not no never nor cannot neither nicht kein keine nie pas jamais aucun nunca ningún jamás".split(),
     "report": "said says say wrote called calls claimed reported quoted according sagte sagt schrieb nannte laut dit écrit appelé selon dijo dice escribió llamó según".split(),
-    "threat": "kill hurt destroy punch stab shoot beat töten umbringen schlagen tuer frapper détruire matar golpear destruir".split(),
+    "threat": "kill killing hurt hurting destroy destroying punch punching stab stabbing shoot shooting beat beating töten umbringen schlagen tuer frapper détruire matar golpear destruir".split(),
+    "done": "killed destroyed punched stabbed shot beaten getötet umgebracht geschlagen tué tués frappé frappés détruit détruits matado golpeado destruido".split(),
+    "future": "will shall gonna wirst wird werdet werden seras sera serez seront serás será serán".split(),
 }
+CONTRACTED = ("'t", "’t")
 CLASS_OF = {word: name for name, words in CLASSES.items() for word in words}
-ALPHABET = ("insult", "threat", "target", "negation", "report", "quote", "other")
+MENACES = frozenset(CLASSES["threat"] + CLASSES["done"])
+ALPHABET = ("insult", "threat", "done", "future", "target", "negation", "report", "quote", "end", "colon", "other")
+ENDS = ("end", "colon")
 
 
 class Transducer:
@@ -82,14 +91,19 @@ def compose(parts: list[Transducer]) -> tuple[dict, tuple]:
 
 def _negation(state, name):
     """A negation softens weights of the next three words."""
+    if name in ENDS:
+        return 0, 1.0, 0.0
     if name == "negation":
         return 3, 1.0, 0.0
     return max(0, state - 1), 0.5 if state else 1.0, 0.0
 
 
 def _report(state, name):
-    """After a verb of saying, and inside quotation marks, weights are softened."""
+    """After a verb of saying, over a colon too, and inside quotation marks, weights are
+    softened."""
     told, quoted = state
+    if name in ENDS:
+        return (told if name == "colon" else 0, quoted), 1.0, 0.0
     if name == "report":
         return (1, quoted), 1.0, 0.0
     if name == "quote":
@@ -99,18 +113,26 @@ def _report(state, name):
 
 def _target(state, name):
     """A person named earlier in the clause makes an insult weigh more."""
+    if name in ENDS:
+        return 0, 1.0, 0.0
     return (1 if name == "target" else state), 1.25 if state and name == "insult" else 1.0, 0.0
 
 
 def _threat(state, name):
-    """A threat followed within three words by a target weighs THREAT."""
-    if name == "threat":
-        return 3, 1.0, 0.0
-    return (0, 1.0, THREAT) if state and name == "target" else (max(0, state - 1), 1.0, 0.0)
+    """THREAT for a threat followed within three words by a target, and for a target
+    followed within three words by a future, this within three by what is to be done."""
+    aimed, named, foretold = state
+    if name in ENDS:
+        return (0, 0, 0), 1.0, 0.0
+    hit = (name == "target" and aimed) or (name == "done" and foretold)
+    after = (3 if name == "threat" else 0 if hit else max(0, aimed - 1),
+             3 if name == "target" else max(0, named - 1),
+             3 if name == "future" and named else 0 if hit else max(0, foretold - 1))
+    return after, 1.0, THREAT if hit else 0.0
 
 
 THREAT = 1.0
-GRAMMAR, START = compose([Transducer(_negation), Transducer(_report, (0, 0)), Transducer(_target), Transducer(_threat)])
+GRAMMAR, START = compose([Transducer(_negation), Transducer(_report, (0, 0)), Transducer(_target), Transducer(_threat, (0, 0, 0))])
 
 
 def cues(word: str) -> list[str]:
@@ -123,7 +145,7 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = {**dict.fromkeys(SEEDS, SEED_WEIGHT), **weights}
-        self.heads = {c[:3] for c in self.weights} | {w[:3] for w in CLASSES["threat"]}
+        self.heads = {c[:3] for c in self.weights} | {w[:3] for w in MENACES}
         self.known: dict[str, float] = {}
 
     def weigh(self, words: set[str]) -> None:
@@ -136,7 +158,7 @@ class Lexicon:
                 known[word] = 0.0
                 continue
             best = max(get(c, 0.0) for c in cues(word))
-            known[word] = float(best) if best or word not in CLASSES["threat"] else -1.0
+            known[word] = float(best) if best or word not in MENACES else -1.0
 
     def features(self, text: str) -> tuple[float, float, float]:
         """log of the summed clause scores, the highest one, log of the words; all 0 for a
@@ -154,20 +176,29 @@ class Lexicon:
 
     def clauses(self, text: str):
         """Scores of the clauses that match; clauses of the same matches count once."""
-        state, score, matched, seen = START, 0.0, [], set()
-        for token in [*TOKENS.findall(text), "."]:
-            if token in CLAUSE_END:
-                if score and (mark := (*matched, score)) not in seen:
-                    seen.add(mark)
-                    yield score
-                state, score, matched = START, 0.0, []
-                continue
-            weight = max(0.0, self.known.get(token, 0.0))
-            name = "insult" if weight else "quote" if token in QUOTES else CLASS_OF.get(token, "other")
-            state, factor, added = GRAMMAR[state, name]
-            if weight or added:
-                score += factor * (weight + added)
-                matched.append(token)
+        seen = set()
+        for line in text.split("\n"):
+            tokens = TOKENS.findall(line)
+            lone = max((i for i, t in enumerate(tokens) if t in QUOTES), default=-1) if sum(map(tokens.count, QUOTES)) % 2 else -1
+            state, score, matched = START, 0.0, []
+            for i, token in enumerate([*tokens, "."]):
+                weight = max(0.0, self.known.get(token, 0.0))
+                if weight:
+                    name = "insult"
+                elif token in CLAUSE_END:
+                    name = "colon" if token == ":" else "end"
+                    if score and (mark := (*matched, score)) not in seen:
+                        seen.add(mark)
+                        yield score
+                    score, matched = 0.0, []
+                elif token in QUOTES:
+                    name = "other" if i == lone else "quote"
+                else:
+                    name = "negation" if token[-2:] in CONTRACTED else CLASS_OF.get(token, "other")
+                state, factor, added = GRAMMAR[state, name]
+                if weight or added:
+                    score += factor * (weight + added)
+                    matched.append(token)
 
 
 def _half(doc_id) -> object:
