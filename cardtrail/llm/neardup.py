@@ -14,12 +14,16 @@ class (one linear aggregation) and only class representatives go on.
    values and drop out wherever the rest of a document is its own.
 2. Groups. Each list names its smallest class as leader, and a class joins the groups of
    the leaders of its lists: at most one row per list entry, never one per pair.
-3. Tiles. A group is cut into blocks of ``BLOCK`` classes by hash; a task compares two
-   blocks. It counts the overlap of sketches, estimates the similarity from the union
+3. Representatives. Of a group of more than ``BLOCK`` classes, all are first compared with
+   ``STARS`` of them, and what these join is one cluster, the core: nothing within it need be
+   compared again. A family of s near copies of one text so costs about s comparisons.
+4. Tiles. A group is cut into blocks of ``BLOCK`` classes by hash, core and rest apart; a
+   task compares two blocks, at least one of them of the rest. So every pair is compared
+   whose classes aren't known to be connected. A task counts the overlap of sketches, estimates the similarity from the union
    sketch (the values up to the smaller of the two largest retained ones), rejects what
    lies 5 standard errors below 3/4, and confirms the rest on full sets. It returns a
    spanning forest of the confirmed links, not all of them.
-4. Components by repeated minima of neighbours' labels with pointer jumping.
+5. Components by repeated minima of neighbours' labels with pointer jumping.
 
 All tables stay distributed; each step is written to the shared checkpoint folder.
 
@@ -36,6 +40,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cardtrail.llm.common import Scratch, map_batches, slices
@@ -44,6 +49,7 @@ WIDTH = 5
 K = 64
 NEED = 7 / 16
 BLOCK = 256
+STARS = 8
 LAST = np.iinfo(np.int64).max
 
 _WORD_HASHES: dict[bytes, int] = {}
@@ -172,25 +178,92 @@ def forest(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> lis
     return edges
 
 
-def links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _sets(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype=np.int64) for b in pdf["shingles"]]
+
+
+def star(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The classes of a block (nth below 0) against the representatives of their group
+    (nth 0 to STARS - 1): per class, which representatives it is connected with here, as
+    bits, and the representatives to link it with."""
+    pdf = pdf.sort_values(["nth", "class_id"], ignore_index=True)
+    ids, nth = pdf["class_id"].to_numpy(), pdf["nth"].to_numpy()
+    edges = forest(_sets(pdf), np.flatnonzero(nth >= 0), np.flatnonzero(nth < 0))
+    label, linked = np.arange(len(ids)), [[] for _ in ids]
+    for a, b in edges:  # a is a representative
+        label[label == max(label[a], label[b])] = min(label[a], label[b])
+        linked[b].append(ids[a])
+    bits: dict[int, int] = {}
+    for i in np.flatnonzero(nth >= 0):
+        bits[label[i]] = bits.get(label[i], 0) | 1 << int(nth[i])
+    rows = np.flatnonzero(nth < 0)
+    return pd.DataFrame({"leader": pdf["leader"].iloc[rows].to_numpy(), "class_id": ids[rows],
+                         "bits": np.array([bits.get(label[i], 0) for i in rows], dtype=np.int32), "linked": [linked[i] for i in rows]})
+
+
+def core_of(seen: list[tuple[int, int]]) -> int:
+    """The representatives, as bits, of the largest cluster, from (bits, classes): bits
+    seen together are one cluster."""
+    clusters: list[list[int]] = []
+    for bits, count in seen:
+        if bits:
+            apart = [c for c in clusters if not c[0] & bits]
+            for c in clusters:
+                if c[0] & bits:
+                    bits, count = bits | c[0], count + c[1]
+            clusters = [*apart, [bits, count]]
+    return max(clusters, key=lambda c: (c[1], c[0]), default=[0])[0]
+
+
+def stars(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, class_id, bits, linked) of the classes of groups larger than a block."""
+    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    large = members.join(sizes, "leader")
+    first = Window.partitionBy("leader").orderBy(F.xxhash64("class_id"), "class_id")
+    chosen = large.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= STARS)
+    chosen = chosen.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_id", (F.col("nth") - 1).alias("nth"))
+    dealt = large.select("leader", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "class_id", F.lit(-1).alias("nth"))
+    return dealt.unionByName(chosen).join(sets, "class_id").groupBy("leader", "block").applyInPandas(star, "leader long, class_id long, bits int, linked array<long>")
+
+
+def tiles(members: DataFrame, starred: DataFrame) -> DataFrame:
+    """(leader, low, high, block, class_id): the classes of every two blocks to compare."""
+
+    def cores(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"leader": pdf["leader"], "core": np.array([core_of([(r["bits"], r["n"]) for r in seen]) for seen in pdf["seen"]], dtype=np.int32)})
+
+    seen = starred.groupBy("leader", "bits").agg(F.count("*").alias("n"))  # at most 2^STARS rows a group
+    core = map_batches(seen.groupBy("leader").agg(F.collect_list(F.struct("bits", "n")).alias("seen")), cores, "leader long, core int")
+    inside = starred.join(core, "leader").where(F.col("bits").bitwiseAND(F.col("core")) != 0).select("leader", "class_id", F.lit(1).alias("inside"))
+    placed = members.join(inside, ["leader", "class_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    sizes = placed.groupBy("leader").agg(F.ceil(F.sum(1 - F.col("inside")) / BLOCK).cast("int").alias("rest"), F.ceil(F.sum("inside") / BLOCK).cast("int").alias("cores"))
+    placed = placed.join(sizes.where("rest > 0"), "leader")
+    part = F.xxhash64("class_id")
+    block = F.when(F.col("inside") == 0, F.pmod(part, F.col("rest"))).otherwise(F.col("rest") + F.pmod(part, F.greatest("cores", F.lit(1))))
+    cut = placed.withColumn("block", block.cast("int"))
+    last = F.when(F.col("inside") == 0, F.col("rest") + F.col("cores")).otherwise(F.col("rest")) - 1
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return cut.select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class_id")
+
+
+def links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) spanning the confirmed links within each group of (leader, class_id).
 
-    ``sets`` has class_id and the full set as bytes. Groups are cut into tiles of two
-    blocks of BLOCK classes on average."""
-    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = cut.select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class_id").join(sets, "class_id")
+    ``sets`` has class_id and the full set as bytes."""
+    starred = scratch.cut(stars(members, sets), "stars")
 
     def compare(key, pdf):
         low, high = key[1], key[2]
         pdf = pdf.sort_values("class_id", ignore_index=True)
         block, ids = pdf["block"].to_numpy(), pdf["class_id"].to_numpy()
         rows, columns = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        edges = forest([np.frombuffer(b, dtype=np.int64) for b in pdf["shingles"]], rows, columns) if len(rows) and len(columns) else []
+        edges = forest(_sets(pdf), rows, columns) if len(rows) and len(columns) else []
         return pd.DataFrame({"a": ids[[a for a, _ in edges]], "b": ids[[b for _, b in edges]]})
 
-    return tiles.groupBy("leader", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    compared = tiles(members, starred).join(sets, "class_id").groupBy("leader", "low", "high").applyInPandas(compare, "a long, b long")
+    joined = starred.select(F.explode("linked").alias("a"), F.col("class_id").alias("b")).where("a != b")
+    return compared.unionByName(joined).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -238,9 +311,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = members.select(F.col("class_id").alias("doc_id")).distinct()
     # the same plan at every size: texts meet the ids wanted by a merge join
     texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi")
-    sets = map_batches(texts, full_sets, "class_id long, shingles binary").dropDuplicates(["class_id", "shingles"])
-    found = components(links(members, sets), scratch)
-    scratch.drop("lists", "members", "edges")
+    sets = scratch.cut(map_batches(texts, full_sets, "class_id long, shingles binary").dropDuplicates(["class_id", "shingles"]), "sets")
+    found = components(links(members, sets, scratch), scratch)
+    scratch.drop("lists", "members", "sets", "stars", "edges")
     of_class = classes.select(*prints, "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     of_class = of_class.select(*prints, F.coalesce("component", "class_id").alias("component"))
     joined = base.join(of_class, prints, "left")

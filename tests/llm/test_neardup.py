@@ -99,3 +99,48 @@ def test_matches_sql(spark):
     want = {tuple(r) for r in con.execute(ORACLE_SQL["op1_near_duplicates"]).fetchall()}
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in op1_near_duplicates(spark, SF001).collect()}
     assert got == want
+
+
+def near_copies(rng, count, changes=2):
+    text = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    out = []
+    for _ in range(count):
+        copy = list(text)
+        for _ in range(changes):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**9)}"
+        out.append(np.sort(neardup.shingle_set(" ".join(copy))))
+    return out
+
+
+def test_rows_compared_in_a_family_grow_with_its_size(spark, monkeypatch):
+    # one group of near copies of one text, and as many texts that resemble nothing
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng, rows = random.Random(3), {}
+    for size in (100, 200, 400):
+        family = near_copies(rng, size)
+        members = spark.createDataFrame([(0, i) for i in range(size)], "leader long, class_id long")
+        sets = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(family)], "class_id long, shingles binary")
+        starred = neardup.stars(members, sets).cache()
+        assert starred.count() == size and starred.where("bits != 0").count() >= 0.97 * size
+        rows[size] = neardup.tiles(members, starred).count()
+    assert all(n <= 12 * size for size, n in rows.items())
+
+
+def test_pairs_outside_the_core_are_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    members = spark.createDataFrame([(0, i) for i in range(60)] + [(100, i) for i in range(100, 105)], "leader long, class_id long")
+    starred = spark.createDataFrame([(0, i, 1 if i < 20 else 2 if i < 30 else 3 if i == 30 else 4 if i < 40 else 0, []) for i in range(60)],
+                                    "leader long, class_id long, bits int, linked array<long>")
+    at = {}
+    for r in neardup.tiles(members, starred).collect():
+        at.setdefault((r["leader"], r["low"], r["high"]), {}).setdefault(r["block"], set()).add(r["class_id"])
+    met = {frozenset((a, b)) for (_, low, high), by in at.items() for a in by.get(low, ()) for b in by.get(high, ()) if a != b}
+    core = set(range(31))
+    assert all(({a, b} <= core) != (frozenset((a, b)) in met) for a in range(60) for b in range(a))
+    assert all(frozenset((a, b)) in met for a in range(100, 105) for b in range(100, a))
+
+
+def test_clusters_of_representatives():
+    assert neardup.core_of([(0, 50)]) == neardup.core_of([]) == 0
+    assert neardup.core_of([(0, 50), (1, 5), (2, 6), (4, 9)]) == 4
+    assert neardup.core_of([(1, 5), (2, 6), (4, 9), (3, 1)]) == 3
