@@ -40,7 +40,6 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cardtrail.llm.common import Scratch, map_batches, slices
@@ -198,7 +197,7 @@ def star(pdf: pd.DataFrame) -> pd.DataFrame:
         bits[label[i]] = bits.get(label[i], 0) | 1 << int(nth[i])
     rows = np.flatnonzero(nth < 0)
     return pd.DataFrame({"leader": pdf["leader"].iloc[rows].to_numpy(), "class_id": ids[rows],
-                         "bits": np.array([bits.get(label[i], 0) for i in rows], dtype=np.int32), "linked": [linked[i] for i in rows]})
+                         "bits": np.array([bits.get(label[i], 0) for i in rows], dtype=np.int32), "linked": pd.Series([linked[i] for i in rows], dtype=object)})
 
 
 def core_of(seen: list[tuple[int, int]]) -> int:
@@ -217,12 +216,13 @@ def core_of(seen: list[tuple[int, int]]) -> int:
 
 def stars(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(leader, class_id, bits, linked) of the classes of groups larger than a block."""
-    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    large = members.join(sizes, "leader")
-    first = Window.partitionBy("leader").orderBy(F.xxhash64("class_id"), "class_id")
-    chosen = large.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= STARS)
-    chosen = chosen.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_id", (F.col("nth") - 1).alias("nth"))
-    dealt = large.select("leader", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "class_id", F.lit(-1).alias("nth"))
+    # one representative a hash function: no group meets in one task for them
+    least = [F.min(F.struct(F.xxhash64("class_id", F.lit(k)), "class_id"))["class_id"] for k in range(STARS)]
+    groups = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.array_distinct(F.array(*least)).alias("chosen")).where("blocks > 1")
+    large = members.join(groups.select("leader", "blocks"), "leader")
+    chosen = groups.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.posexplode("chosen").alias("nth", "class_id"))
+    chosen = chosen.select("leader", "block", "class_id", "nth")
+    dealt = large.select("leader", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block"), "class_id", F.lit(-1).alias("nth"))
     return dealt.unionByName(chosen).join(sets, "class_id").groupBy("leader", "block").applyInPandas(star, "leader long, class_id long, bits int, linked array<long>")
 
 

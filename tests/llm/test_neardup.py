@@ -144,3 +144,10 @@ def test_clusters_of_representatives():
     assert neardup.core_of([(0, 50)]) == neardup.core_of([]) == 0
     assert neardup.core_of([(0, 50), (1, 5), (2, 6), (4, 9)]) == 4
     assert neardup.core_of([(1, 5), (2, 6), (4, 9), (3, 1)]) == 3
+
+
+def test_a_block_without_classes_of_its_own():
+    import pandas as pd
+    sets = [neardup.shingle_set("one two three four five six").tobytes()] * 2
+    out = neardup.star(pd.DataFrame({"leader": [1, 1], "class_id": [1, 2], "nth": [0, 1], "shingles": sets}))
+    assert len(out) == 0 and out["linked"].dtype == object
