@@ -68,12 +68,16 @@ def adjacency(rows: DataFrame, src: str, dest: str) -> DataFrame:
     """Distinct ``(a, b)`` pairs over both directions of every edge, null ``a``
     dropped (null never matches a card). One scan and one aggregation, with a
     map-side partial step that collapses repeated transfers of a pair before
-    the shuffle."""
-    both = F.explode(F.array(
-        F.struct(F.col(src).alias(_A), F.col(dest).alias(_B)),
-        F.struct(F.col(dest).alias(_A), F.col(src).alias(_B)))).alias("__e")
-    return (rows.select(both).select(F.col(f"__e.{_A}").alias(_A), F.col(f"__e.{_B}").alias(_B))
+    the shuffle. An edge is shuffled once, its lesser end first, and turned
+    round after it; a null end is its second."""
+    low, high = F.least(src, dest), F.greatest(src, dest)
+    blind = F.col(src).isNull() | F.col(dest).isNull()
+    once = (rows.select(low.alias(_A), F.when(~blind, high).alias(_B))
             .filter(F.col(_A).isNotNull()).distinct())
+    there = F.struct(F.col(_A), F.col(_B))
+    back = F.struct(F.col(_B).alias(_A), F.col(_A).alias(_B))
+    two = F.col(_B).isNotNull() & (F.col(_A) != F.col(_B))
+    return once.select(F.inline(F.when(two, F.array(there, back)).otherwise(F.array(there))))
 
 
 _BUCKET = "bucket"
