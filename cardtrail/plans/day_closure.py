@@ -62,43 +62,37 @@ class DayClosure:
         n_pairs = write_counted(adjacency(rows, src, dest).join(kept, same, "left_anti"), f"{self.path}/pairs/{day}")
         known = self._distances(version)
         pairs, probe = self._pairs([day]), known
-        waves, improved, wave_path = [], 0, f"{self.path}/waves"
-        n_probe = None
+        waves, improved, wave_path = 0, 0, f"{self.path}/waves"
+        n_probe, had = None, known
         while True:
-            found = self._improved(pairs, probe, n_probe, known, waves)
-            n_probe = write_counted(found, f"{wave_path}/{len(waves)}")
+            found = self._improved(pairs, probe, n_probe, had)
+            n_probe = write_counted(found, f"{wave_path}/{waves}")
             if not n_probe:
                 break
-            probe = self.spark.read.schema(_DISTANCE).parquet(f"{wave_path}/{len(waves)}")
-            waves.append(probe)
+            probe = self.spark.read.schema(_DISTANCE).parquet(f"{wave_path}/{waves}")
+            waves += 1
             improved += n_probe
+            # one scan of this update's waves, however many
+            had = known.unionAll(self.spark.read.schema(_DISTANCE).parquet(*(f"{wave_path}/{w}" for w in range(waves))))
             pairs = self._pairs([*done, day])  # after the new pairs themselves
         new = version
         if waves:
             new = version + 1
-            self._current(known, waves).write.mode("overwrite").parquet(f"{self.path}/rounds/{new}")
-        facts = {"version": new, "pairs": n_pairs, "improved": improved, "waves": len(waves)}
+            had.groupBy(CARD).agg(F.min("d").alias("d")).write.mode("overwrite").parquet(f"{self.path}/rounds/{new}")
+        facts = {"version": new, "pairs": n_pairs, "improved": improved, "waves": waves}
         self.manifest.done(f"day-{day}", **facts)
         if waves and version:
             delete_path(self.spark, f"{self.path}/rounds/{version}")
         delete_path(self.spark, wave_path)
         return facts
 
-    @staticmethod
-    def _current(known: DataFrame, waves: list[DataFrame]) -> DataFrame:
-        for wave in waves:
-            known = known.unionAll(wave)
-        return known.groupBy(CARD).agg(F.min("d").alias("d"))
-
-    def _improved(self, pairs, probe, n_probe, known, waves) -> DataFrame:
-        """(card, d) of the neighbours of ``probe`` that had no distance or a greater one."""
+    def _improved(self, pairs, probe, n_probe, had) -> DataFrame:
+        """(card, d) of the neighbours of ``probe`` that ``had`` no distance or a greater one."""
         keys = probe.select(F.col(CARD).alias("__from"), "d")
         if n_probe is not None and n_probe <= broadcast_row_limit(self.spark):
             keys = F.broadcast(keys)
         near = pairs.join(keys, F.col("a") == F.col("__from")).select(F.col("b").alias(CARD), (F.col("d") + 1).alias("d"), F.lit(1).alias("__new"))
-        tagged = near.unionAll(known.withColumn("__new", F.lit(0)))
-        for wave in waves:
-            tagged = tagged.unionAll(wave.withColumn("__new", F.lit(0)))
+        tagged = near.unionAll(had.withColumn("__new", F.lit(0)))
         # one aggregation; a null end is a card that leads nowhere
         best = tagged.groupBy(CARD).agg(F.min(F.when(F.col("__new") == 1, F.col("d"))).alias("d"), F.min(F.when(F.col("__new") == 0, F.col("d"))).alias("__had"))
         return best.filter("d is not null and (__had is null or d < __had)").select(CARD, "d")

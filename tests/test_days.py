@@ -51,6 +51,20 @@ def test_a_later_day_shortens_ways(spark):
     assert got == {"a": 1, "b": 1, "c": 2, "d": 1, "e": 2, None: 3, "z": 3}
 
 
+def test_a_wave_reads_the_waves_before_it_in_one_scan(spark, monkeypatch):
+    scans, write = [], day_closure.write_counted
+
+    def notes(df, path, mode="overwrite"):
+        if "/waves/" in path:
+            scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return write(df, path, mode)
+
+    monkeypatch.setattr(day_closure, "write_counted", notes)
+    state = DayClosure(spark, scratch_path(spark, "test-waves"), cards_from_list(spark, ["c0"]))
+    facts = state.add("1", spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(6)], EDGES), "s", "d")
+    assert facts["waves"] == 6 and len(scans) == 7 and max(scans) == 4  # pairs, probe, known, waves
+
+
 def test_an_interrupted_day_is_done_again(spark, monkeypatch):
     state = DayClosure(spark, scratch_path(spark, "test-broken"), cards_from_list(spark, ["a"]))
     state.add("1", spark.createDataFrame([("a", "b")], EDGES), "s", "d")
