@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CARD
-from ..session import broadcast_row_limit
+from ..session import broadcast_row_limit, delete_path
 from ..sinks import write_counted
 
 #: Longest list of neighbours, about.
@@ -96,11 +96,19 @@ class Graph:
 
 
 def encode(pairs: DataFrame, path: str, more: DataFrame | None = None) -> Graph:
-    """The graph of ``pairs`` (a, b) of cards, as ``closure.adjacency`` makes them; ``more``
+    """The graph of ``pairs`` (a, b) of cards, both directions of each; ``more``
     (card) adds cards without a pair to the numbers."""
-    cards = pairs.select(F.col("a").alias(CARD))  # both directions: every non-null end is an a
+    spark = pairs.sparkSession
+    # Written once, one way round: the history behind the pairs is read a single time.
+    pairs.filter("b is null or a <= b").write.mode("overwrite").parquet(f"{path}/named")
+    named = spark.read.schema("a string, b string").parquet(f"{path}/named")
+    cards = named.select(F.explode(F.array("a", "b")).alias(CARD))
     if more is not None:
         cards = cards.unionAll(more.select(F.col(CARD).cast("string")))
     ids = number_cards(cards, path)
-    n_pairs = write_counted(with_ids(pairs, ids, ["a", "b"]).select("a", "b"), f"{path}/pairs")
-    return Graph(pairs.sparkSession, path, ids, pairs.sparkSession.read.schema("a long, b long").parquet(f"{path}/pairs"), n_pairs)
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = F.when(F.col("a") < F.col("b"), F.array(there, back)).otherwise(F.array(there))
+    numbered = with_ids(named, ids, ["a", "b"]).select(F.inline(both))
+    n_pairs = write_counted(numbered, f"{path}/pairs")
+    delete_path(spark, f"{path}/named")
+    return Graph(spark, path, ids, spark.read.schema("a long, b long").parquet(f"{path}/pairs"), n_pairs)

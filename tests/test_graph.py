@@ -196,3 +196,20 @@ def test_manifest(spark):
 def test_whole_history_by_contraction(spark):
     got = {r["card"] for r in Q.history_by_contraction(spark, SF001).collect()}
     assert got == {r["card"] for r in Q.trace_history_fixpoint(spark, SF001).collect()}
+
+
+def test_numbered_graphs_read_the_history_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    edges = [("b", "a"), ("a", "b"), ("c", "c"), ("c", None), (None, "d"), (None, None), ("b", "c")]
+    rows = frame(spark, edges).mapInPandas(seen, EDGES)
+    graph = encoded.encode(closure.adjacency(rows, "s", "d"), scratch_path(spark, "test-once"))
+    ids = {r["id"]: r["card"] for r in graph.ids.collect()}
+    got = sorted(((ids[r["a"]], ids.get(r["b"])) for r in graph.pairs.collect()), key=str)
+    assert got == sorted([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "c"), ("c", None), ("d", None)], key=str)
+    assert graph.n_pairs == 7 and read.value == len(edges)
