@@ -87,9 +87,13 @@ _BUCKET_ROWS = 2_000_000
 _MOST_HUBS = 1_000_000
 
 
-def _ends(df: DataFrame):
-    """The two ends of adjacency rows; ``b`` may be a list of neighbours."""
-    both = F.concat(F.array(F.col(_A)), F.col(_B)) if isinstance(df.schema[_B].dataType, ArrayType) else F.array(F.col(_A), F.col(_B))
+def _ends(df: DataFrame, far: bool = False):
+    """The two ends of adjacency rows, or the ``far`` ones alone, ``b``, which may be a
+    list of neighbours."""
+    listed = isinstance(df.schema[_B].dataType, ArrayType)
+    if far:
+        return (F.explode(_B) if listed else F.col(_B)).alias(CARD)
+    both = F.concat(F.array(F.col(_A)), F.col(_B)) if listed else F.array(F.col(_A), F.col(_B))
     return F.explode(both).alias(CARD)
 
 
@@ -156,7 +160,7 @@ class WideAdjacency:
          .option("path", f"{self.path}/rows").saveAsTable(self.name))
         self.written = True
 
-    def endpoints(self, probe: DataFrame) -> DataFrame:
+    def endpoints(self, probe: DataFrame, far: bool = False) -> DataFrame:
         if not self.written:
             self._write()
         keys = probe.select(F.col(CARD).alias("__ct_card"))
@@ -165,7 +169,7 @@ class WideAdjacency:
         probed_hubs = keys.join(self.near(self.hubs), F.col("__ct_card") == F.col("__hub"), "left_semi")
         rows = self.spark.read.schema(self.adj.select(_A, _B).schema).parquet(f"{self.path}/hub-rows")
         both = plain.unionAll(rows.join(self.near(probed_hubs), hit, "left_semi"))
-        return both.select(_ends(both))
+        return both.select(_ends(both, far))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")  # also what a failed write left
@@ -173,20 +177,21 @@ class WideAdjacency:
 
 
 def endpoints(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
-              buckets: int | None = None, wide: WideAdjacency | None = None) -> DataFrame:
-    """Endpoints (with repeats) of the adjacency rows whose ``a`` is in ``probe``.
+              buckets: int | None = None, wide: WideAdjacency | None = None, far: bool = False) -> DataFrame:
+    """Endpoints (with repeats) of the adjacency rows whose ``a`` is in ``probe``; only
+    their ``b`` with ``far``.
     On a bucketed adjacency the join also matches buckets, which lets the
     probe prune the adjacency's partitions. A probe beyond the broadcast bound
     goes to the ``wide`` layout if there is one."""
     small = probe_rows is not None and probe_rows <= broadcast_row_limit(probe.sparkSession)
     if wide is not None and not small:
-        return wide.endpoints(probe)
+        return wide.endpoints(probe, far)
     keys = _probe_keys(probe, probe_rows, buckets)
     cond = F.col(_A) == F.col("__ct_card")
     if buckets:
         cond = (F.col(_BUCKET) == F.col("__ct_bucket")) & cond
     hit = adj.join(keys, cond, "left_semi")
-    return hit.select(_ends(hit))
+    return hit.select(_ends(hit, far))
 
 
 def expand(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
@@ -199,7 +204,8 @@ def expand(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
 def new_cards(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
               known: DataFrame, known_rows: int, buckets: int | None = None,
               wide: WideAdjacency | None = None) -> DataFrame:
-    """``N(probe) - known``, null-safe (a null end already known stays known).
+    """``N(probe) - known``, null-safe (a null end already known stays known). The
+    probe is a part of ``known``, so that only the far ends of its rows can be new.
 
     A known set of checked small size is broadcast to a null-safe anti join
     after the distinct. Beyond the bound, one aggregation does both: endpoints
@@ -208,9 +214,9 @@ def new_cards(adj: DataFrame, probe: DataFrame, probe_rows: int | None,
     """
     if known_rows <= broadcast_row_limit(adj.sparkSession):
         k = F.broadcast(known.withColumnRenamed(CARD, "__known"))
-        return expand(adj, probe, probe_rows, buckets, wide).join(
+        return endpoints(adj, probe, probe_rows, buckets, wide, far=True).distinct().join(
             k, F.col(CARD).eqNullSafe(F.col("__known")), "left_anti")
-    tagged = (endpoints(adj, probe, probe_rows, buckets, wide).select(CARD, F.lit(1).alias("__t"))
+    tagged = (endpoints(adj, probe, probe_rows, buckets, wide, far=True).select(CARD, F.lit(1).alias("__t"))
               .unionAll(known.select(CARD, F.lit(0).alias("__t"))))
     return (tagged.groupBy(CARD).agg(F.min("__t").alias("__t"))
             .filter(F.col("__t") == 1).select(CARD))

@@ -173,3 +173,22 @@ def test_large_known_set_plan_agrees(spark):
     assert small.sizes == big.sizes
     assert per_small == per_big
     assert touch_big == closure.touching_rows(rows, small, ["s", "d"]).count()
+
+
+def test_an_edge_is_shuffled_once(spark):
+    edges = [("b", "a"), ("a", "b"), ("c", "c"), ("c", None), (None, "d"), (None, None), ("", "a")]
+    adj = closure.adjacency(spark.createDataFrame(edges, SCHEMA), "s", "d")
+    got = sorted(((r["a"], r["b"]) for r in adj.collect()), key=str)
+    assert got == sorted([("a", "b"), ("b", "a"), ("c", "c"), ("c", None), ("d", None), ("", "a"), ("a", "")], key=str)
+    plan = adj._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # turned round above the aggregation
+
+
+def test_a_round_shuffles_far_ends_alone(spark):
+    adj = closure.adjacency(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None)], SCHEMA), "s", "d")
+    probe = cards_from_list(spark, ["a", "b"])
+    known = cards_from_list(spark, ["a", "b", "x"])
+    for known_rows in (3, 10**9):
+        fresh = closure.new_cards(adj, probe, 2, known, known_rows)
+        assert [r["card"] for r in fresh.collect()] == ["c"]
+        assert fresh._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # that of the adjacency
