@@ -38,6 +38,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -107,23 +108,29 @@ def spilled(groups: dict, shards: int):
     groups (by place in langs and sources; a language's documents have source null) and
     their numbers."""
     names = list(groups)
-    by_term: dict[bytes, list[int]] = {}
-    for place, counts in enumerate(groups.values()):
-        for term, n in counts.items():
-            by_term.setdefault(term, []).extend((place, n))
-    runs: list[list[bytes]] = [[] for _ in range(shards)]
-    for term in sorted(by_term):
-        runs[zlib.crc32(term) % shards].append(term)
+    terms = sorted(set().union(*groups.values()))
+    number = dict(zip(terms, range(len(terms))))
+    shard_of = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % shards
+    by_shard = np.argsort(shard_of, kind="stable")
+    rank = np.empty(len(terms), np.int64)  # of a term by shard, then by itself
+    rank[by_shard] = np.arange(len(terms))
+    lengths = [len(counts) for counts in groups.values()]
+    ranks = rank[np.fromiter(map(number.__getitem__, chain.from_iterable(groups.values())), np.int64, sum(lengths))]
+    order = np.argsort(ranks, kind="stable")
+    places = np.repeat(np.arange(len(names)), lengths)[order]
+    counts = np.fromiter(chain.from_iterable(counts.values() for counts in groups.values()), np.int64, sum(lengths))[order]
+    sizes = np.bincount(ranks, minlength=len(terms)).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    bounds = np.searchsorted(shard_of[by_shard], np.arange(shards + 1)).tolist()
+    ordered = [terms[i] for i in by_shard.tolist()]
     rows = []
-    for shard, terms in enumerate(runs):
-        for i in range(0, len(terms), CHUNK):
-            chunk = terms[i:i + CHUNK]
-            numbers = [by_term[t] for t in chunk]
-            flat = np.array([x for n in numbers for x in n], dtype=np.int64)
-            used, places = np.unique(flat[::2], return_inverse=True)
+    for shard in range(shards):
+        for i in range(bounds[shard], bounds[shard + 1], CHUNK):
+            j = min(i + CHUNK, bounds[shard + 1])
+            used, place = np.unique(places[ends[i]:ends[j]], return_inverse=True)
             rows.append({
-                "shard": shard, "first": chunk[0], "langs": [names[u][0] for u in used], "sources": [names[u][1] for u in used], "terms": b" ".join(chunk),
-                "sizes": np.array([len(n) // 2 for n in numbers], dtype=np.int32).tobytes(), "groups": places.astype(np.int32).tobytes(), "counts": flat[1::2].tobytes()})
+                "shard": shard, "first": ordered[i], "langs": [names[u][0] for u in used], "sources": [names[u][1] for u in used], "terms": b" ".join(ordered[i:j]),
+                "sizes": sizes[i:j].tobytes(), "groups": place.astype(np.int32).tobytes(), "counts": counts[ends[i]:ends[j]].tobytes()})
             if len(rows) == 1024:
                 yield pa.RecordBatch.from_pylist(rows, schema=RUN)
                 rows = []

@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -93,3 +94,22 @@ def test_shares_of_counts_beyond_64_bits(spark):
 
 def test_no_documents(spark):
     assert audit(documents(spark, [])).count() == 0
+
+
+def test_spilled_runs_hold_every_posting():
+    rng = random.Random(3)
+    groups = {key: Counter({b"": 0} if key[1] else {}) for key in [("a", "x"), ("a", None), ("b", "x"), ("b", ""), ("b", None)]}
+    for counts in groups.values():
+        counts.update(f"t{rng.randint(0, 900)}".encode() for _ in range(1500))
+    for shards in (1, 5):
+        rows = [r for batch in divergence.spilled(groups, shards) for r in batch.to_pylist()]
+        assert [(r["shard"], r["first"]) for r in rows] == sorted((r["shard"], r["first"]) for r in rows)
+        got = {key: {} for key in groups}
+        for row in rows:
+            for term, numbers in divergence._opened(row):
+                assert zlib.crc32(term) % shards == row["shard"]
+                for key, n in numbers:
+                    assert term not in got[key]
+                    got[key][term] = n
+        assert got == groups
+    assert [batch.num_rows for batch in divergence.spilled({}, 3)] == [0]
