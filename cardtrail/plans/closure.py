@@ -64,20 +64,24 @@ _A, _B = "a", "b"
 _ROUND = "round"
 
 
-def adjacency(rows: DataFrame, src: str, dest: str) -> DataFrame:
+def adjacency(rows: DataFrame, src: str, dest: str, once: bool = False) -> DataFrame:
     """Distinct ``(a, b)`` pairs over both directions of every edge, null ``a``
     dropped (null never matches a card). One scan and one aggregation, with a
     map-side partial step that collapses repeated transfers of a pair before
-    the shuffle. An edge is shuffled once, its lesser end first, and turned
-    round after it; a null end is its second."""
+    the shuffle. With ``once`` an edge is shuffled once, its lesser end first, and
+    turned round after it; a null end is its second."""
+    if not once:
+        both = F.array(F.struct(F.col(src).alias(_A), F.col(dest).alias(_B)),
+                       F.struct(F.col(dest).alias(_A), F.col(src).alias(_B)))
+        return rows.select(F.inline(both)).filter(F.col(_A).isNotNull()).distinct()
     low, high = F.least(src, dest), F.greatest(src, dest)
     blind = F.col(src).isNull() | F.col(dest).isNull()
-    once = (rows.select(low.alias(_A), F.when(~blind, high).alias(_B))
-            .filter(F.col(_A).isNotNull()).distinct())
+    edges = (rows.select(low.alias(_A), F.when(~blind, high).alias(_B))
+             .filter(F.col(_A).isNotNull()).distinct())
     there = F.struct(F.col(_A), F.col(_B))
     back = F.struct(F.col(_B).alias(_A), F.col(_A).alias(_B))
     two = F.col(_B).isNotNull() & (F.col(_A) != F.col(_B))
-    return once.select(F.inline(F.when(two, F.array(there, back)).otherwise(F.array(there))))
+    return edges.select(F.inline(F.when(two, F.array(there, back)).otherwise(F.array(there))))
 
 
 _BUCKET = "bucket"
@@ -350,7 +354,7 @@ def _trace(rows, seeds, src, dest, max_rounds, stop, method, layout, base, manif
     if layout == "lists":
         kind = "long"
         if "graph" not in known:
-            graph = encoded.encode(adjacency(rows, src, dest), f"{base}/graph", more=seeds)
+            graph = encoded.encode(adjacency(rows, src, dest, once=True), f"{base}/graph", more=seeds)
             encoded.neighbour_lists(graph.pairs, f"{base}/graph")
             if manifest is not None:
                 manifest.done("graph")
@@ -410,7 +414,7 @@ def _walk(rows, result: TraceResult, src, dest, max_rounds, stop, method, layout
             if layout == "lists":
                 adj = spark.read.schema("a long, b array<long>").parquet(f"{base}/graph/lists")
             else:
-                adj = adjacency(rows, src, dest)
+                adj = adjacency(rows, src, dest, once=True)
             adj_rows, buckets = _write_adjacency(adj, base)
             if manifest is not None:
                 manifest.done("adjacency", rows=adj_rows, buckets=buckets)

@@ -61,7 +61,7 @@ def reach(rows: DataFrame, seeds: DataFrame, src: str, dest: str) -> tuple[DataF
     """``(card)``: what ``closure.trace(..., stop="set")`` ends with over ``rows``; and the
     rounds of contraction. A null end is reached with its other end and leads nowhere."""
     path = scratch_path(rows.sparkSession, "contraction")
-    graph = encoded.encode(closure.adjacency(rows, src, dest), path)
+    graph = encoded.encode(closure.adjacency(rows, src, dest, once=True), path)
     found, rounds = components(graph.pairs, path)
     # nodes whose only neighbours are themselves or null are components of their own
     nodes = graph.ids.join(found, F.col("id") == F.col("node"), "left").select(CARD, "id", F.coalesce("component", "id").alias("component"))

@@ -59,7 +59,7 @@ class DayClosure:
         version = max((f["version"] for f in done.values()), default=0)
         same = F.col("a").eqNullSafe(F.col("__a")) & F.col("b").eqNullSafe(F.col("__b"))
         kept = self._pairs(done).select(F.col("a").alias("__a"), F.col("b").alias("__b"))
-        n_pairs = write_counted(adjacency(rows, src, dest).join(kept, same, "left_anti"), f"{self.path}/pairs/{day}")
+        n_pairs = write_counted(adjacency(rows, src, dest, once=True).join(kept, same, "left_anti"), f"{self.path}/pairs/{day}")
         known = self._distances(version)
         pairs, probe = self._pairs([day]), known
         waves, improved, wave_path = 0, 0, f"{self.path}/waves"

@@ -177,7 +177,7 @@ def test_large_known_set_plan_agrees(spark):
 
 def test_an_edge_is_shuffled_once(spark):
     edges = [("b", "a"), ("a", "b"), ("c", "c"), ("c", None), (None, "d"), (None, None), ("", "a")]
-    adj = closure.adjacency(spark.createDataFrame(edges, SCHEMA), "s", "d")
+    adj = closure.adjacency(spark.createDataFrame(edges, SCHEMA), "s", "d", once=True)
     got = sorted(((r["a"], r["b"]) for r in adj.collect()), key=str)
     assert got == sorted([("a", "b"), ("b", "a"), ("c", "c"), ("c", None), ("d", None), ("", "a"), ("a", "")], key=str)
     plan = adj._jdf.queryExecution().optimizedPlan().toString()
